@@ -1,11 +1,12 @@
-"""Trading calendar of the New York exchange as rules on a date column.
+"""Trading calendar of the New York exchange.
 
-Every rule is a plain expression, so a date can be classified anywhere without a join; the session list with
-positions is built only over the days of the data at hand (a few hundred rows a year).
+The rules give the special days of 1971-2100 (about 1,500 dates, a fixed size). They enter a plan as one small relation that
+Spark broadcasts by its own size check; a day's kind is then a lookup, and no rule is evaluated per bar.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import date, timedelta
 from functools import lru_cache
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..constants import ADHOC_CLOSURES, ADHOC_EARLY_CLOSES, EXCHANGE_TZ, MARKETS
 
 MON, TUE, WED, THU, FRI = range(5)
+FIRST_DAY, LAST_DAY = date(1971, 1, 1), date(2100, 12, 31)
 
 
 class UnknownMarket(ValueError):
@@ -26,9 +28,6 @@ def calendar_code(market: str) -> str:
     return MARKETS[market]
 
 
-FIRST_YEAR, LAST_YEAR = 1971, 2200
-
-
 def _easter(year: int) -> date:
     """Gregorian Easter Sunday (anonymous algorithm)."""
     golden, century, rest = year % 19, year // 100, year % 100
@@ -39,70 +38,80 @@ def _easter(year: int) -> date:
     return date(year, code // 31, code % 31 + 1)
 
 
-@lru_cache(maxsize=1)
-def _good_fridays() -> str:
-    """One letter per year: days from 1 March to Good Friday. Keeps the rule out of the generated code of every row."""
-    gap = [(_easter(y) - timedelta(days=2) - date(y, 3, 1)).days for y in range(FIRST_YEAR, LAST_YEAR + 1)]
-    return "".join(chr(48 + g) for g in gap)
-
-
-def good_friday(year: Column) -> Column:
-    letter = F.substring(F.lit(_good_fridays()), year - (FIRST_YEAR - 1), F.lit(1))
-    return F.date_add(F.make_date(year, F.lit(3), F.lit(1)), F.ascii(letter) - 48)
+def _nth(year: int, month: int, weekday: int, n: int) -> date:
+    """The n-th given weekday of a month; n = -1 is the last."""
+    if n > 0:
+        first = date(year, month, 1)
+        return first + timedelta(days=(weekday - first.weekday()) % 7 + 7 * (n - 1))
+    last = date(year + month // 12, month % 12 + 1, 1) - timedelta(days=1)
+    return last - timedelta(days=(last.weekday() - weekday) % 7)
 
 
-def is_holiday(d: Column) -> Column:
-    """Weekday on which the exchange is closed (rules in force since 1971, up to the year 2200)."""
-    y, m, day, wd = F.year(d), F.month(d), F.dayofmonth(d), F.weekday(d)
+def _observed(d: date) -> date:
+    """Saturday is kept on Friday, Sunday on Monday."""
+    return d + timedelta(days={5: -1, 6: 1}.get(d.weekday(), 0))
 
-    def nth(month: int, weekday: int, first: int, last: int) -> Column:
-        return (m == month) & (wd == weekday) & day.between(first, last)
 
-    def observed(month: int, on: int) -> Column:
-        """Saturday is kept on Friday, Sunday on Monday."""
-        return (m == month) & ((day == on) | ((day == on - 1) & (wd == FRI)) | ((day == on + 1) & (wd == MON)))
+def holidays(year: int) -> Iterator[date]:
+    """Closed weekdays of a year (rules in force since 1971)."""
+    new_year = date(year, 1, 1)
+    if new_year.weekday() != 5:  # a Saturday is not made up for
+        yield _observed(new_year)
+    if year >= 1998:
+        yield _nth(year, 1, MON, 3)
+    yield _nth(year, 2, MON, 3)
+    yield _easter(year) - timedelta(days=2)
+    yield _nth(year, 5, MON, -1)
+    if year >= 2022:
+        yield _observed(date(year, 6, 19))
+    yield _observed(date(year, 7, 4))
+    yield _nth(year, 9, MON, 1)
+    yield _nth(year, 11, THU, 4)
+    yield _observed(date(year, 12, 25))
 
-    rules = [
-        (m == 1) & ((day == 1) | ((day == 2) & (wd == MON))),
-        nth(1, MON, 15, 21) & (y >= 1998),
-        nth(2, MON, 15, 21),
-        m.isin(3, 4) & (wd == FRI) & (d == good_friday(y)),
-        nth(5, MON, 25, 31),
-        observed(6, 19) & (y >= 2022),
-        observed(7, 4),
-        nth(9, MON, 1, 7),
-        nth(11, THU, 22, 28),
-        observed(12, 25),
-        d.isin([F.to_date(F.lit(x)) for x in ADHOC_CLOSURES]),
-    ]
-    any_rule = rules[0]
-    for r in rules[1:]:
-        any_rule = any_rule | r
-    return (wd < 5) & any_rule
 
-
-def is_session(d: Column) -> Column:
-    return (F.weekday(d) < 5) & ~is_holiday(d)
+def early_closes(year: int) -> Iterator[date]:
+    """Sessions that end at 13:00 local time (rules in force since 1993)."""
+    if year >= 1993:
+        yield _nth(year, 11, THU, 4) + timedelta(days=1)
+        if date(year, 12, 24).weekday() <= THU:
+            yield date(year, 12, 24)
+    third = date(year, 7, 3).weekday()
+    if (year >= 1995 and third in (MON, TUE, THU)) or (year >= 2013 and third == WED):
+        yield date(year, 7, 3)
+    if 1996 <= year <= 2012 and third == WED:
+        yield date(year, 7, 5)
 
 
-def is_early_close(d: Column) -> Column:
-    """Sessions that end at 13:00 local time (rules in force since 1993)."""
-    y, m, day, wd = F.year(d), F.month(d), F.dayofmonth(d), F.weekday(d)
-    after_thanksgiving = (m == 11) & (wd == FRI) & day.between(23, 29) & (y >= 1993)
-    christmas_eve = (m == 12) & (day == 24) & (wd <= THU) & (y >= 1993)
-    before_fourth = (m == 7) & (day == 3) & ((wd.isin(MON, TUE, THU) & (y >= 1995)) | ((wd == WED) & (y >= 2013)))
-    after_fourth = (m == 7) & (day == 5) & (wd == FRI) & y.between(1996, 2012)
-    adhoc = d.isin([F.to_date(F.lit(x)) for x in ADHOC_EARLY_CLOSES])
-    return is_session(d) & (after_thanksgiving | christmas_eve | before_fourth | after_fourth | adhoc)
-
-
-def day_kind(d: Column) -> Column:
-    return (
-        F.when(F.weekday(d) >= 5, F.lit("WEEKEND"))
-        .when(is_holiday(d), F.lit("HOLIDAY"))
-        .when(is_early_close(d), F.lit("EARLY_CLOSE"))
+@lru_cache(maxsize=1)
+def _special_days() -> str:
+    years = range(FIRST_DAY.year, LAST_DAY.year + 1)
+    shut = {d for y in years for d in holidays(y)} | {date.fromisoformat(x) for x in ADHOC_CLOSURES}
+    early = {d for y in years for d in early_closes(y)} | {date.fromisoformat(x) for x in ADHOC_EARLY_CLOSES}
+    shut = {d for d in shut if d.weekday() < 5}
+    early = {d for d in early if d.weekday() < 5} - shut
+    return ",".join(sorted([f"H{d}" for d in shut] + [f"E{d}" for d in early]))
+
+
+def special_days(spark: SparkSession) -> DataFrame:
+    """(date, special): H closed, E early close."""
+    x = spark.range(1).select(F.explode(F.split(F.lit(_special_days()), ",")).alias("s"))
+    return x.select(F.to_date(F.substring("s", 2, 10)).alias("date"), F.substring("s", 1, 1).alias("special"))
+
+
+def with_kind(df: DataFrame, col: str = "date") -> DataFrame:
+    """Adds ``kind``: TRADING, EARLY_CLOSE, WEEKEND or HOLIDAY."""
+    x = df.join(special_days(df.sparkSession).withColumnRenamed("date", col), col, "left")
+    kind = (
+        F.when(F.weekday(col) >= 5, F.lit("WEEKEND"))
+        .when(F.col("special") == "H", F.lit("HOLIDAY"))
+        .when(F.col("special") == "E", F.lit("EARLY_CLOSE"))
         .otherwise(F.lit("TRADING"))
     )
+    return x.withColumn("kind", kind).drop("special")
+
+
+SESSION = "kind IN ('TRADING', 'EARLY_CLOSE')"
 
 
 def at_exchange(d: Column, minutes: Column) -> Column:
@@ -115,14 +124,6 @@ def session_open(d: Column) -> Column:
     return at_exchange(d, F.lit(9 * 60 + 30))
 
 
-def session_minutes(d: Column) -> Column:
-    return F.when(is_early_close(d), F.lit(210)).otherwise(F.lit(390))
-
-
-def session_close(d: Column) -> Column:
-    return at_exchange(d, F.lit(9 * 60 + 30) + session_minutes(d))
-
-
 def exchange_date(ts: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, EXCHANGE_TZ))
 
@@ -140,7 +141,7 @@ def data_range(df: DataFrame, col: str = "date") -> DataFrame:
 
 
 def classify_days(days: DataFrame) -> DataFrame:
-    return days.select("date", day_kind(F.col("date")).alias("kind"))
+    return with_kind(days.select("date"))
 
 
 def sessions(days: DataFrame) -> DataFrame:
@@ -148,25 +149,23 @@ def sessions(days: DataFrame) -> DataFrame:
 
     The window is un-partitioned on purpose: it runs on calendar days (about 250 rows a year), never on data.
     """
-    s = days.where(is_session(F.col("date")))
+    s = with_kind(days.select("date")).where(SESSION)
     return s.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("pos"))
 
 
 def session_table(spark: SparkSession) -> DataFrame:
     """All sessions of 1971-2100 with their window: a dimension of fixed size (33k rows) that Spark broadcasts by its
     own size check. Looking a bar's session up here is cheaper than evaluating the rules on every bar."""
-    days = spark.range((date(2101, 1, 1) - date(FIRST_YEAR, 1, 1)).days).select(
-        F.date_add(F.lit(date(FIRST_YEAR, 1, 1)), F.col("id").cast("int")).alias("date")
-    )
+    days = spark.range((LAST_DAY - FIRST_DAY).days + 1).select(F.date_add(F.lit(FIRST_DAY), F.col("id").cast("int")).alias("date"))
     w = session_windows(days)
     return w.select(F.col("date").alias("session"), F.unix_micros("open_utc").alias("open_us"), F.col("minutes").alias("len"))
 
 
 def session_windows(days: DataFrame) -> DataFrame:
-    d = F.col("date")
-    return days.where(is_session(d)).select(
-        "date", session_open(d).alias("open_utc"), session_close(d).alias("close_utc"), session_minutes(d).alias("minutes")
-    )
+    x = with_kind(days.select("date")).where(SESSION)
+    x = x.withColumn("minutes", F.when(F.col("kind") == "EARLY_CLOSE", F.lit(210)).otherwise(F.lit(390)))
+    close = at_exchange(F.col("date"), F.lit(9 * 60 + 30) + F.col("minutes"))
+    return x.select("date", session_open(F.col("date")).alias("open_utc"), close.alias("close_utc"), "minutes")
 
 
 def minute_grid(days: DataFrame) -> DataFrame:

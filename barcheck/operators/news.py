@@ -104,7 +104,7 @@ class News:
         ok = self.news.where(F.col("ts").isNotNull() & ~F.col("future") & ~F.col("ancient"))
         counts = ok.groupBy(cal.exchange_date(F.col("ts")).alias("date")).agg(F.count("*").alias("k"))
         span = ok.agg(F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi"))
-        days = cal.days_between(span).where(cal.is_session(F.col("date")))
+        days = cal.classify_days(cal.days_between(span)).where(cal.SESSION)
         return days.join(counts, "date", "left").select("date", F.coalesce("k", F.lit(0)).alias("k"))
 
     def coverage_gaps(self) -> DataFrame:

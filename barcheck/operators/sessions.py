@@ -22,7 +22,7 @@ class DailySessions:
         self.daily, self.dataset_id = daily, dataset_id
         self.liquid_min_volume, self.partial_frac = liquid_min_volume, partial_frac
         self.seen = daily.groupBy("ticker", "date").agg(F.count("*").alias("bars"))
-        self.per_date = self.seen.groupBy("date").agg(F.count("*").alias("tickers"), F.sum("bars").alias("bars"))
+        self.per_date = cal.with_kind(self.seen.groupBy("date").agg(F.count("*").alias("tickers"), F.sum("bars").alias("bars")))
         self.range = self.per_date.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
         self.days = cal.days_between(self.range)
         self.sessions = cal.sessions(self.days)
@@ -38,13 +38,13 @@ class DailySessions:
         return as_gaps(runs, self.dataset_id, CHECK, "MISSING_SESSION_MARKETWIDE", MATERIAL, detail, start=F.col("a"), end=F.col("b"), n=F.col("n"))
 
     def non_trading_days(self) -> DataFrame:
-        off = self.per_date.where(~cal.is_session(F.col("date"))).withColumn("why", cal.day_kind(F.col("date")))
-        detail = F.format_string("%d bars on a closed day (%s): calendar or provider is wrong", "bars", "why")
+        off = self.per_date.where(f"NOT {cal.SESSION}")
+        detail = F.format_string("%d bars on a closed day (%s): calendar or provider is wrong", "bars", "kind")
         d = F.col("date")
         return as_gaps(off, self.dataset_id, CHECK, "DATA_ON_NON_TRADING_DAY", MATERIAL, detail, start=d, end=d)
 
     def partial_sessions(self) -> DataFrame:
-        cov = self.per_date.where(cal.is_session(F.col("date")))
+        cov = self.per_date.where(cal.SESSION)
         med = cov.agg(F.median("tickers")).scalar()
         low = cov.withColumn("med", med).where(F.col("tickers") < F.lit(self.partial_frac) * F.col("med"))
         detail = F.format_string("%d tickers against a median of %d", F.col("tickers"), F.col("med").cast("int"))
@@ -63,8 +63,8 @@ class DailySessions:
         if "list_date" not in master.columns:
             master = master.withColumn("list_date", F.lit(None).cast("date"))
         past_end = self.range.select(F.col("lo"), F.date_add("hi", 1).alias("hi"))
-        day = cal.days_between(past_end)
-        inside = F.when(cal.is_session(F.col("date")), 1).otherwise(0)
+        day = cal.classify_days(cal.days_between(past_end))
+        inside = F.when(F.expr(cal.SESSION), 1).otherwise(0)
         # calendar rows only
         before = day.select("date", (F.sum(inside).over(Window.orderBy("date")) - inside).alias("k"))
         lo = self.range.select("lo").scalar()
@@ -122,8 +122,11 @@ class DailySessions:
         day = self.days.join(s.select("date", F.lit(1).alias("is_open")), "date", "left")
         day = day.select("date", F.coalesce("is_open", F.lit(0)).alias("is_open"))
         day = day.withColumn("k", F.sum("is_open").over(Window.orderBy("date")) - F.col("is_open"))
+        # closed days count only as a ticker's first or last bar: inside its span they must not cut a run in two
+        own = Window.partitionBy("ticker")
         mine = self.seen.select("ticker", "date").join(day, "date")
-        step = mine.select("ticker", (F.col("k") + F.col("is_open")).alias("lo"), F.lead("k").over(Window.partitionBy("ticker").orderBy("date")).alias("nxt"))
+        mine = mine.withColumn("d0", F.min("date").over(own)).withColumn("d1", F.max("date").over(own))
+        step = mine.where("is_open = 1 OR date = d0 OR date = d1").select("ticker", (F.col("k") + F.col("is_open")).alias("lo"), F.lead("k").over(Window.partitionBy("ticker").orderBy("date")).alias("nxt"))
         hole = step.where("nxt > lo").select("ticker", "lo", (F.col("nxt") - 1).alias("hi"))
         at = s.select("i", "seg")
         hole = hole.join(at.toDF("lo", "s0"), "lo").join(at.toDF("hi", "s1"), "hi")

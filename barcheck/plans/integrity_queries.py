@@ -64,7 +64,7 @@ def bars_minute(spark, folder):
 def calendar_days(spark, folder):
     """Day kinds over the range of the bars, with the bars each kind of day carries."""
     s = _sessions(spark, folder)
-    k = cal.classify_days(s.days).join(s.per_date, "date", "left")
+    k = cal.classify_days(s.days).join(s.per_date.drop("kind"), "date", "left")
     return k.select(F.col("date").cast("string").alias("date"), "kind", F.coalesce("bars", F.lit(0)).alias("bars"))
 
 
