@@ -92,7 +92,7 @@ def exclude_cells(panel: DataFrame, gaps: DataFrame) -> DataFrame:
 
 
 def trailing(panel: DataFrame, bars: int = 20, min_obs: int = 5) -> DataFrame:
-    """Adds next_open, last_alive inputs and trailing dollar volume / volatility, as of this bar and as of the next one.
+    """Adds the next bar's open, spread and tradability, and trailing dollar volume and volatility as of this bar and the next.
 
     Frames are RANGE frames on the bar index, so absent rows count as bars without volume, as in a dense grid. Rows are
     windowed in chunks of the index with a halo: a name with a very long history is spread over many tasks.
@@ -100,6 +100,12 @@ def trailing(panel: DataFrame, bars: int = 20, min_obs: int = 5) -> DataFrame:
     p = with_halo(panel, "t", BAR_CHUNK, back=bars + 1, ahead=1)
     w = Window.partitionBy("ticker", "_c").orderBy("t")
     p = p.withColumn("next_open", F.when(F.lead("t").over(w) == F.col("t") + 1, F.lead("open").over(w)))
+    step = F.lead("t").over(w) == F.col("t") + 1
+    ok = F.col("alive") & F.col("open").isNotNull() & ~F.col("excluded")
+    p = p.withColumn("next_ok", F.coalesce(step & F.lead(ok).over(w), F.lit(False)))
+    if "spread_bps" not in p.columns:
+        p = p.withColumn("spread_bps", F.lit(None).cast("double"))
+    p = p.withColumn("spread_next", F.when(step, F.lead("spread_bps").over(w)))
     prev = F.when(F.lag("t").over(w) == F.col("t") - 1, F.lag("close").over(w))
     p = p.withColumn("_ret", F.col("close") / F.nullif(prev, F.lit(0.0)) - 1).withColumn("_dollar", F.coalesce(F.col("close") * F.col("volume"), F.lit(0.0)))
 
