@@ -7,6 +7,7 @@ Acklam's rational approximation followed by one Halley step.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -69,26 +70,37 @@ def _horner(coeffs: tuple[float, ...], x: Column) -> Column:
     return acc
 
 
-def norm_cdf(x: Column) -> Column:
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """Binds ``x`` once: without it a nested formula repeats its argument exponentially often in the plan."""
+    return F.get(F.transform(F.array(x), body), 0)
+
+
+def _cdf(x: Column) -> Column:
     a = F.abs(x)
     tail = F.exp(-a * a / 2.0)
     body = tail * _horner(HART_NUM, a) / _horner(HART_DEN, a)
     far = a + 1.0 / (a + 2.0 / (a + 3.0 / (a + 4.0 / (a + 0.65))))
     upper = F.when(a > 37.0, F.lit(0.0)).when(a < 7.07106781186547, body).otherwise(tail / far / 2.506628274631)
-    return F.when(x > 0, 1.0 - upper).otherwise(upper)
+    return let(upper, lambda u: F.when(x > 0, 1.0 - u).otherwise(u))
+
+
+def _ppf_start(p: Column) -> Column:
+    tail = F.sqrt(-2.0 * F.log(F.least(p, 1.0 - p)))
+    outer = let(tail, lambda t: _horner(ACKLAM_C, t) / _horner(ACKLAM_D + (1.0,), t))
+    q = p - 0.5
+    mid = let(q * q, lambda r: _horner(ACKLAM_A, r) / _horner(ACKLAM_B + (1.0,), r)) * q
+    return F.when(p < ACKLAM_LOW, outer).when(p > 1 - ACKLAM_LOW, -outer).otherwise(mid)
+
+
+def norm_cdf(x: Column) -> Column:
+    return let(x, _cdf)
 
 
 def norm_ppf(p: Column) -> Column:
     """Quantile for 0 < p < 1."""
-    low = F.sqrt(-2.0 * F.log(p))
-    high = F.sqrt(-2.0 * F.log(1.0 - p))
-    q = p - 0.5
-    r = q * q
-    mid = _horner(ACKLAM_A, r) * q / _horner(ACKLAM_B + (1.0,), r)
-    start = (
-        F.when(p < ACKLAM_LOW, _horner(ACKLAM_C, low) / _horner(ACKLAM_D + (1.0,), low))
-        .when(p > 1 - ACKLAM_LOW, -_horner(ACKLAM_C, high) / _horner(ACKLAM_D + (1.0,), high))
-        .otherwise(mid)
-    )
-    step = (norm_cdf(start) - p) * math.sqrt(2 * math.pi) * F.exp(start * start / 2.0)
-    return start - step / (1.0 + start * step / 2.0)
+
+    def refine(p0: Column, z: Column) -> Column:
+        step = (_cdf(z) - p0) * math.sqrt(2 * math.pi) * F.exp(z * z / 2.0)
+        return let(step, lambda e: z - e / (1.0 + z * e / 2.0))
+
+    return let(p, lambda p0: let(_ppf_start(p0), lambda z: refine(p0, z)))

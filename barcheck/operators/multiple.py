@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.shape import order_sums, split_index
@@ -49,8 +50,8 @@ def pbo(returns: DataFrame, slices: int = 16, max_combos: int = 3000, seed: int
     s = min(slices, 16)
     s -= s % 2
     total = returns.agg(F.max("t") + 1).scalar()
-    x = returns.select("strategy_id", "t", F.col(r).alias("r"), total.alias("T"))
-    x = x.withColumn("s", split_index(F.col("t"), F.col("T"), s))
+    x = returns.select("strategy_id", "t", F.col(r).alias("r"), total.alias("bars"))
+    x = x.withColumn("s", split_index(F.col("t"), F.col("bars"), s))
     per = [F.count_if(F.col("s") == i).cast("double").alias(f"n{i}") for i in range(s)]
     per += [F.sum(F.when(F.col("s") == i, F.col("r")).otherwise(0.0)).alias(f"a{i}") for i in range(s)]
     per += [F.sum(F.when(F.col("s") == i, F.col("r") * F.col("r")).otherwise(0.0)).alias(f"b{i}") for i in range(s)]
@@ -116,15 +117,20 @@ def effective_trials(returns: DataFrame, corr_thresh: float = 0.7, r: str = "r",
             break
         lead = spark.sparkContext.broadcast(np.stack(leaders))
 
-        @F.pandas_udf("boolean")
-        def apart(v: pd.Series, lead=lead) -> pd.Series:
-            u = np.stack([_unit(np.asarray(x, float)) for x in v])
-            return pd.Series((np.abs(u @ lead.value.T) < corr_thresh).all(axis=1))
-
-        left = cut_lineage(left.where(F.col("strategy_id") > mark).where(apart("v")))
+        left = cut_lineage(left.where(F.col("strategy_id") > mark).where(_apart(lead, corr_thresh)("v")))
     return returns.agg(F.lit(clusters).alias("effective"), F.countDistinct("strategy_id").alias("variants"))
 
 
+def _apart(lead: Broadcast, limit: float):
+    """Filter: series that correlate with none of the leaders."""
+
+    def apart(v: pd.Series) -> pd.Series:
+        u = np.stack([_unit(np.asarray(x, float)) for x in v])
+        return pd.Series((np.abs(u @ lead.value.T) < limit).all(axis=1))
+
+    return F.pandas_udf(apart, "boolean")
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     """Centred, scaled to length 1; a constant series correlates with nothing."""
     c = v - v.mean()

@@ -9,10 +9,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(xx, xy):
@@ -21,7 +21,7 @@ def _solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _errors(xx: pd.Series, meat: pd.Series) -> pd.Series:
     """Standard errors of the sandwich."""
     out = []

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.noise import hash32, uniform, uniform_int
 
@@ -23,17 +23,17 @@ def bootstrap_index(spark: SparkSession, total: Column, replicates: int, mean_bl
     maximum. Replicates are generated in parallel, one replicate has one row per bar.
     """
     p = 1.0 / max(mean_block, 1.0)
-    x = spark.range(replicates).select(F.col("id").cast("int").alias("b"), total.cast("int").alias("T"))
-    x = x.select("b", "T", F.explode(F.sequence(F.lit(0), F.col("T") - 1)).alias("t"))
+    x = spark.range(replicates).select(F.col("id").cast("int").alias("b"), total.cast("int").alias("bars"))
+    x = x.select("b", "bars", F.explode(F.sequence(F.lit(0), F.col("bars") - 1)).alias("t"))
     again = (F.col("t") == 0) | (uniform(seed, "p", F.col("b"), F.col("t")) < p)
-    begin = F.when(again, F.struct(F.col("t").alias("t0"), uniform_int(F.col("T"), seed, "s", F.col("b"), F.col("t")).alias("s0")))
+    begin = F.when(again, F.struct(F.col("t").alias("t0"), uniform_int(F.col("bars"), seed, "s", F.col("b"), F.col("t")).alias("s0")))
     w = Window.partitionBy("b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("k", F.max(begin).over(w))
-    return x.select("b", "t", ((F.col("k.s0") + F.col("t") - F.col("k.t0")) % F.col("T")).alias("idx"))
+    return x.select("b", "t", ((F.col("k.s0") + F.col("t") - F.col("k.t0")) % F.col("bars")).alias("idx"))
 
 
 def replicate_sums(returns: DataFrame, replicates: int, mean_block: float = 10, seed: int = 0, keys: Sequence[str] = ("strategy_id",), r: str = "r") -> DataFrame:
-    """(keys, b, T, s1, s2): sums of r and r^2 over each replicate.
+    """(keys, b, bars, s1, s2): sums of r and r^2 over each replicate.
 
     Replicates are reduced to how often each bar occurs before they meet the returns, and the joined rows are summed
     map-side, so the shuffle carries one row per (strategy, replicate) and task.
@@ -43,11 +43,11 @@ def replicate_sums(returns: DataFrame, replicates: int, mean_block: float = 10,
     times = bootstrap_index(spark, total, replicates, mean_block, seed).groupBy("b", F.col("idx").alias("t")).agg(F.count("*").alias("k"))
     x = returns.select(*keys, "t", F.col(r).alias("r")).join(times, "t")
     s = x.groupBy(*keys, "b").agg(F.sum(F.col("k") * F.col("r")).alias("s1"), F.sum(F.col("k") * F.col("r") * F.col("r")).alias("s2"))
-    return s.withColumn("T", total)
+    return s.withColumn("bars", total)
 
 
 def sharpe_interval(sums: DataFrame, keys: Sequence[str] = ("strategy_id",), ppy: int = 252, level: float = 0.95) -> DataFrame:
-    n = F.col("T")
+    n = F.col("bars")
     mean = F.col("s1") / n
     sd = F.sqrt(F.greatest((F.col("s2") - n * mean * mean) / (n - 1), F.lit(0.0)))
     x = sums.withColumn("sr", mean / F.greatest(sd, F.lit(1e-18)) * math.sqrt(ppy))
@@ -63,19 +63,19 @@ def reality_check(returns: DataFrame, replicates: int = 1000, mean_block: float
     """White's reality check over all variants: one row (p, replicates)."""
     s = replicate_sums(returns, replicates, mean_block, seed) if sums is None else sums
     m = variant_means(returns)
-    root = F.sqrt(F.col("T").cast("double"))
-    boot = s.join(m, "strategy_id").groupBy("b").agg(F.max(root * (F.col("s1") / F.col("T") - F.col("mu"))).alias("vb"), F.max(root * F.col("mu")).alias("v"))
+    root = F.sqrt(F.col("bars").cast("double"))
+    boot = s.join(m, "strategy_id").groupBy("b").agg(F.max(root * (F.col("s1") / F.col("bars") - F.col("mu"))).alias("vb"), F.max(root * F.col("mu")).alias("v"))
     return boot.agg(F.avg(F.when(F.col("vb") >= F.col("v"), 1.0).otherwise(0.0)).alias("p"), F.count("*").alias("replicates"))
 
 
 def spa_test(returns: DataFrame, replicates: int = 1000, mean_block: float = 10, seed: int = 0, sums: DataFrame | None = None) -> DataFrame:
     """Hansen's test: studentised, poor variants re-centred, statistics clamped at 0."""
     s = replicate_sums(returns, replicates, mean_block, seed) if sums is None else sums
-    root = F.sqrt(F.col("T").cast("double"))
-    x = s.join(variant_means(returns), "strategy_id").withColumn("d", root * (F.col("s1") / F.col("T") - F.col("mu")))
+    root = F.sqrt(F.col("bars").cast("double"))
+    x = s.join(variant_means(returns), "strategy_id").withColumn("d", root * (F.col("s1") / F.col("bars") - F.col("mu")))
     om = x.groupBy("strategy_id").agg(F.greatest(F.stddev_samp("d"), F.lit(1e-12)).alias("om"))
     x = x.join(om, "strategy_id").withColumn("ts", root * F.col("mu") / F.col("om"))
-    bar = -F.sqrt(2 * F.log(F.log(F.greatest(F.col("T"), F.lit(3)).cast("double"))))
+    bar = -F.sqrt(2 * F.log(F.log(F.greatest(F.col("bars"), F.lit(3)).cast("double"))))
     g = F.when(F.col("ts") <= bar, F.col("mu")).otherwise(F.lit(0.0))
     z = F.col("d") / F.col("om") + root * g / F.col("om")
     zero = F.lit(0.0)
@@ -86,7 +86,7 @@ def spa_test(returns: DataFrame, replicates: int = 1000, mean_block: float = 10,
 # ------------------------------------------------------------------ permutations
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _circular_sums(total: pd.Series, wt: pd.Series, wv: pd.Series, rt: pd.Series, rv: pd.Series) -> pd.Series:
     """All circular lag sums of two sparse series by the convolution theorem."""
     out = []
@@ -116,10 +116,10 @@ def shifted_means(held: DataFrame, returns: DataFrame, total: Column, draws: int
     r = returns.where("r <> 0").groupBy("ticker").agg(pack("r").alias("r"))
     shifts = shift_draws(spark, total, draws, min_shift, seed)
     wanted = shifts.agg(F.array_union(F.array(F.lit(0)), F.collect_set("k"))).scalar()
-    x = w.join(r, "ticker").withColumn("T", total.cast("int"))
-    x = x.withColumn("c", _circular_sums("T", F.col("w.t"), F.col("w.w"), F.col("r.t"), F.col("r.r")))
-    x = x.select(*keys, "T", "c", F.explode(wanted).alias("k")).select(*keys, "T", "k", F.get("c", F.col("k") % F.col("T")).alias("s"))
-    per = x.groupBy(*keys, "k").agg((F.sum("s") / F.first("T")).alias("null_mean"))
+    x = w.join(r, "ticker").withColumn("bars", total.cast("int"))
+    x = x.withColumn("c", _circular_sums("bars", F.col("w.t"), F.col("w.w"), F.col("r.t"), F.col("r.r")))
+    x = x.select(*keys, "bars", "c", F.explode(wanted).alias("k")).select(*keys, "bars", "k", F.get("c", F.col("k") % F.col("bars")).alias("s"))
+    per = x.groupBy(*keys, "k").agg((F.sum("s") / F.first("bars")).alias("null_mean"))
     every = shifts.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("i"), F.lit(0).alias("k")))
     return per.join(every, "k").select(*keys, "i", "k", "null_mean")
 

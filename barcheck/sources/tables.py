@@ -147,11 +147,12 @@ def variant_returns(spark: SparkSession, folder: str) -> DataFrame:
     )
     mean = o.agg(F.expr("sum(cents) div count(*)").alias("m"))
     per = o.groupBy("strategy_id", "date").agg(F.sum("cents").alias("s"), F.count("*").alias("k"))
-    idx = dense_index(o, "date", "t", F.trunc("date", "month"))
-    long = per.join(idx, "date").select("strategy_id", "t", ((F.col("s") - F.col("k") * mean.scalar()) / F.lit(1e10)).alias("r"))
-    last = idx.agg(F.max("t")).scalar()
-    grid = per.select("strategy_id").distinct().select("strategy_id", F.explode(F.sequence(F.lit(0), last)).alias("t"))
-    return grid.join(long, ["strategy_id", "t"], "left").select("strategy_id", "t", F.coalesce("r", F.lit(0.0)).alias("r"))
+    idx = dense_index(o, "date", "pos", F.trunc("date", "month"))
+    long = per.join(idx, "date").select("strategy_id", "pos", ((F.col("s") - F.col("k") * mean.scalar()) / F.lit(1e10)).alias("v"))
+    last = idx.agg(F.max("pos")).scalar()
+    grid = per.select("strategy_id").distinct().select("strategy_id", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
+    full = grid.join(long, ["strategy_id", "pos"], "left")
+    return full.select("strategy_id", F.col("pos").alias("t"), F.coalesce("v", F.lit(0.0)).alias("r"))
 
 
 def market_returns(spark: SparkSession, folder: str) -> DataFrame:

@@ -67,7 +67,8 @@ def main() -> int:
             else:
                 x, y = rows_of(df.columns, [tuple(r) for r in got]), rows_of(cols, want)
                 if x != y:
-                    msg.append(f"rows {len(x)} vs {len(y)}; only spark {[r for r in x if r not in set(y)][:2]}; only sql {[r for r in y if r not in set(x)][:2]}")
+                    sx, sy = set(x), set(y)
+                    msg.append(f"rows {len(x)} vs {len(y)}; only spark {[r for r in x if r not in sy][:2]}; only sql {[r for r in y if r not in sx][:2]}")
             types = {d[0]: str(d[1]) for d in cur.description}
             wide = [f"{c}:{t}" for c, t in types.items() if "HUGEINT" in t or "DECIMAL" in t]
             bad += bool(msg)
