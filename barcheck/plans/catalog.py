@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import integrity_queries, ledger_queries, portfolio_queries, stats_queries
+from . import integrity_queries, ledger_queries, portfolio_queries, scorecard_queries, stats_queries
 
 
 def catalog() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    return {**integrity_queries.QUERIES, **ledger_queries.QUERIES, **portfolio_queries.QUERIES, **stats_queries.QUERIES}
+    modules = (integrity_queries, ledger_queries, portfolio_queries, stats_queries, scorecard_queries)
+    return {name: entry for m in modules for name, entry in m.QUERIES.items()}
