@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import BASELINE_EXEC, REGIMES, THRESHOLDS
+from ..session import cut_lineage
 from ..operators import leakage, moments, multiple, panel as pan, portfolio as pf, regression, resampling as rs, scorecard as sc, trades
 
 
@@ -31,21 +32,21 @@ def evaluate(
     th: dict = THRESHOLDS,
     base: dict = BASELINE_EXEC,
     capitals: Sequence[float] = (1e3, 1e4, 1e5, 1e6, 1e7),
-    persist: bool = False,
+    stage: bool = True,
 ) -> Evaluation:
     """All strategies of ``weights`` are one search family. ``findings`` and ``leaks`` carry (strategy_id, hard_fails).
 
-    With ``persist`` the cells are kept for the statistics that share them; a lost executor only recomputes its blocks.
+    With ``stage`` the cells and returns are written once to the shared folder for the statistics that share them.
     """
     keep = {k: base[k] for k in ("mode", "capital", "max_weight", "max_gross")}
     fan = [{**r, **keep} for r in REGIMES] + pf.delay_ladder(base) + pf.capacity_ladder(base, capitals)
     acc = pf.Accounts(panel, weights, fan, terminal)
     cells = acc.cells()
-    if persist:
-        cells = cells.persist()
+    if stage:
+        cells = cut_lineage(cells)
     ret = acc.returns(cells)
-    if persist:
-        ret = ret.persist()
+    if stage:
+        ret = cut_lineage(ret)
     at = lambda s: ret.where(F.col("scenario") == s)
     b = at("baseline").select("strategy_id", "t", F.col("net").alias("r"), "gross", "cost")
     ladders = moments.sharpe_table(ret, "net", ("strategy_id", "scenario"))
@@ -65,6 +66,8 @@ def evaluate(
     total = panel.agg(F.max("t") + 1).scalar()
     perm = rs.shift_pvalue(rs.shifted_means(held, nxt, total, th["n_perm"], 20, th["seed"])).select("strategy_id", F.col("p").alias("perm_p"))
     sums = rs.replicate_sums(b, th["n_boot"], 10, th["seed"])
+    if stage:
+        sums = cut_lineage(sums)
     spa = rs.spa_test(b, sums=sums).select(F.col("p").alias("spa_p"), one)
     rc = rs.reality_check(b, sums=sums).select(F.col("p").alias("rc_p"), one)
     over = multiple.pbo(b).select("pbo", one)

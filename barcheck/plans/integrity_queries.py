@@ -34,7 +34,7 @@ def _gap_sql(ds, check, kind, sev, body, ticker="NULL", start="NULL", end="NULL"
 
 
 def _sessions(spark: SparkSession, folder: str) -> DailySessions:
-    return DailySessions(src.daily_bars(spark, folder), DS, LIQUID_DAILY)
+    return DailySessions(src.staged_daily_bars(spark, folder), DS, LIQUID_DAILY)
 
 
 def _minutes(spark: SparkSession, folder: str) -> MinuteBars:
@@ -46,7 +46,7 @@ def _news(spark: SparkSession, folder: str) -> News:
 
 
 def _corporate(spark: SparkSession, folder: str) -> CorporateActions:
-    return CorporateActions(src.daily_bars(spark, folder), src.splits(spark, folder), DS)
+    return CorporateActions(src.staged_daily_bars(spark, folder), src.splits(spark, folder), DS)
 
 
 # ------------------------------------------------------------------ calendar and bars
@@ -332,7 +332,7 @@ DUPLICATES = {
                    "e WHERE n > 0", n="n"),
     ),
     "stale_daily": (
-        lambda s, f: _show(check_stale_daily(src.daily_bars(s, f, FLAT_STEP), DS, 10.0)),
+        lambda s, f: _show(check_stale_daily(src.staged_daily_bars(s, f, FLAT_STEP), DS, 10.0)),
         q.with_ctes(*FLAT).replace("median(volume) >= 30", "median(volume) >= 10")
         + _gap_sql(DS, "'stale'", "'STALE_DAILY_PRICES'", "'MATERIAL'", "r WHERE ticker IN (SELECT ticker FROM liq)", "ticker", n="n")
         + " UNION ALL " + _gap_sql(DS, "'stale'", "'ZERO_VOLUME_BARS'", "'MINOR'", "liq WHERE zeros > 0", "ticker", n="zeros"),
@@ -346,7 +346,7 @@ DUPLICATES = {
 
 
 def _thin(spark, folder):
-    return src.daily_bars(spark, folder).withColumn("volume", F.col("volume") - 10)
+    return src.staged_daily_bars(spark, folder).withColumn("volume", F.col("volume") - 10)
 
 
 # ------------------------------------------------------------------ news

@@ -9,6 +9,7 @@ from ..operators import audits, eventlog, ledger, panel as pan
 from ..operators.corporate import CorporateActions
 from ..operators.duplicates import check_duplicates
 from ..operators.gaps import union_all
+from ..session import cut_lineage
 from ..sources import tables as src
 from . import integrity_queries as iq, sqltext as q
 from .integrity_run import IntegrityRun
@@ -19,14 +20,14 @@ from .integrity_run import IntegrityRun
 def _gaps(spark: SparkSession, folder: str) -> DataFrame:
     """Gaps of the daily bars, every one of them written twice so that the merge has work to do."""
     s = iq._sessions(spark, folder)
-    c = CorporateActions(src.daily_bars(spark, folder), src.splits(spark, folder), iq.DS)
+    c = CorporateActions(s.daily, src.splits(spark, folder), iq.DS)
     parts = [s.non_trading_days(), s.partial_sessions(), s.listing_gaps(src.security_master(spark, folder)), c.split_gaps(),
              c.delisting_gaps(src.security_master(spark, folder)), check_duplicates(iq._lines(spark, folder), ["l_orderkey", "l_linenumber"], "lines")]
     return union_all(parts).withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
 
 
 def _ledger(spark, folder):
-    return ledger.merge(_gaps(spark, folder))
+    return cut_lineage(ledger.merge(_gaps(spark, folder)))
 
 
 def _transitions(led: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ REASONS = (
 
 def _all_checks(spark, folder):
     run = IntegrityRun()
-    run.daily(src.daily_bars(spark, folder), iq.DS, src.security_master(spark, folder), src.splits(spark, folder), iq.LIQUID_DAILY)
+    run.daily(src.staged_daily_bars(spark, folder), iq.DS, src.security_master(spark, folder), src.splits(spark, folder), iq.LIQUID_DAILY)
     run.minutes(src.raw_minutes(spark, folder), "minutes", iq.LIQUID_MINUTES)
     run.news(src.news(spark, folder), "news", iq.RETRIEVED)
     return ledger.summary(run.ledger())
@@ -159,12 +160,12 @@ GRID = (
 
 
 def _observed(spark, folder):
-    return pan.observed_panel(src.daily_bars(spark, folder))
+    return pan.observed_panel(src.staged_daily_bars(spark, folder))
 
 
 PANEL = {
     "panel_grid": (
-        lambda s, f: pan.densify(src.daily_bars(s, f)).select("t", F.col("ts").cast("string").alias("ts"), "ticker", "open", "close", "volume", "alive", "excluded"),
+        lambda s, f: pan.densify(src.staged_daily_bars(s, f)).select("t", F.col("ts").cast("string").alias("ts"), "ticker", "open", "close", "volume", "alive", "excluded"),
         q.with_ctes(*GRID) + "SELECT t, date::VARCHAR AS ts, ticker, open, close, volume, alive, excluded FROM grid",
     ),
     "panel_slice": (
@@ -172,15 +173,15 @@ PANEL = {
         q.with_ctes(*GRID) + "SELECT t - 100 AS t, ticker, close FROM grid WHERE close IS NOT NULL AND t >= 100 AND t < 400",
     ),
     "tradable_cells": (
-        lambda s, f: pan.in_bars(pan.densify(src.daily_bars(s, f))).groupBy("t").agg(F.count("*").alias("names")),
+        lambda s, f: pan.in_bars(pan.densify(src.staged_daily_bars(s, f))).groupBy("t").agg(F.count("*").alias("names")),
         q.with_ctes(*GRID) + "SELECT t, count(*) AS names FROM grid WHERE alive AND open IS NOT NULL AND close IS NOT NULL AND NOT excluded GROUP BY t",
     ),
     "survivor_panel": (
-        lambda s, f: pan.survivors(pan.densify(src.daily_bars(s, f))).groupBy("ticker").agg(F.count("close").alias("bars")),
+        lambda s, f: pan.survivors(pan.densify(src.staged_daily_bars(s, f))).groupBy("ticker").agg(F.count("close").alias("bars")),
         q.with_ctes(*GRID) + "SELECT ticker, count(close) AS bars FROM grid WHERE ticker IN (SELECT ticker FROM grid WHERE alive AND t = (SELECT max(t) FROM idx)) GROUP BY ticker",
     ),
     "market_proxy": (
-        lambda s, f: pan.market_proxy(pan.densify(src.daily_bars(s, f))).withColumn("market_return", F.round("market_return", 6)),
+        lambda s, f: pan.market_proxy(pan.densify(src.staged_daily_bars(s, f))).withColumn("market_return", F.round("market_return", 6)),
         q.with_ctes(*GRID, "n AS (SELECT *, lead(open) OVER (PARTITION BY ticker ORDER BY t) AS nx FROM grid)")
         + "SELECT t, round(coalesce(avg(nx / open - 1) FILTER (alive), 0), 6) AS market_return FROM n GROUP BY t",
     ),
@@ -209,11 +210,11 @@ def _cell_gaps(spark, folder):
 
 def _broken_panel(spark, folder):
     """Dense panel of coarse prices with planted defects by index arithmetic: bad highs, zero closes, lost prices, listing holes."""
-    p = pan.densify(src.daily_bars(spark, folder, iq.FLAT_STEP))
+    p = pan.densify(src.staged_daily_bars(spark, folder, iq.FLAT_STEP))
     k = F.regexp_extract("ticker", r"(\d+)", 1).cast("int")
     p = p.withColumn("high", F.when(F.col("t") % 50 == 1, F.col("low") - 1).otherwise(F.col("high")))
     p = p.withColumn("alive", F.col("alive") & ~((k % 3 == 0) & (F.col("t") % 400).between(100, 120)))
-    return p
+    return cut_lineage(p)
 
 
 BROKEN = (
@@ -293,7 +294,7 @@ AUDITS = {
         " UNION ALL SELECT 'universe_survivorship', date::VARCHAR, ticker FROM uj WHERE delist_date < date",
     ),
     "survivorship": (
-        lambda s, f: audits.survivorship(pan.survivors(pan.densify(src.daily_bars(s, f))), _dated_master(s, f)).select("check", "severity", "n"),
+        lambda s, f: audits.survivorship(pan.survivors(pan.densify(src.staged_daily_bars(s, f))), _dated_master(s, f)).select("check", "severity", "n"),
         q.with_ctes(*GRID, "alive AS (SELECT ticker FROM grid WHERE alive AND t = (SELECT max(t) FROM idx))", "dead AS (SELECT DISTINCT p_brand AS ticker FROM part)")
         + "SELECT 'survivorship_bias' AS \"check\", 'FAIL' AS severity, count(*) AS n FROM dead WHERE ticker NOT IN (SELECT ticker FROM alive) HAVING count(*) / (SELECT count(*) FROM dead) > 0.02",
     ),
@@ -338,7 +339,7 @@ def _known(spark, folder):
 
 
 def _sealed(spark, folder):
-    return eventlog.seal_events(_known(spark, folder))
+    return cut_lineage(eventlog.seal_events(_known(spark, folder)))
 
 
 def _tampered(spark, folder):

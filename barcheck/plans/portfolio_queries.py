@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..constants import BASELINE_EXEC, REGIMES
 from ..operators import leakage, moments, panel as pan, portfolio as pf, signals as sg
+from ..session import cut_lineage
 from ..sources import tables as src
 from . import sqltext as q
 from .integrity_queries import _round
@@ -14,7 +15,7 @@ VARIANTS = [sg.variant("mom10", window=10), sg.variant("mom20", window=20), sg.v
 
 
 def _panel(spark, folder) -> DataFrame:
-    return pan.observed_panel(src.daily_bars(spark, folder))
+    return cut_lineage(pan.observed_panel(src.staged_daily_bars(spark, folder)))
 
 
 def _terminal(spark, folder) -> DataFrame:
@@ -26,7 +27,7 @@ def _terminal(spark, folder) -> DataFrame:
 
 def _accounts(spark, folder, scenarios=REGIMES, **kw) -> pf.Accounts:
     p = _panel(spark, folder)
-    w = sg.momentum(p, VARIANTS[:1]).unionByName(sg.reversal(p))
+    w = cut_lineage(sg.momentum(p, VARIANTS[:1]).unionByName(sg.reversal(p)))
     return pf.Accounts(p, w, scenarios, _terminal(spark, folder), **kw)
 
 
@@ -217,7 +218,7 @@ POSITIONS = {
 
 def _holes(spark, folder):
     """Dense panel in which no hole is documented."""
-    return pan.densify(src.daily_bars(spark, folder)).withColumn("excluded", F.lit(False))
+    return pan.densify(src.staged_daily_bars(spark, folder)).withColumn("excluded", F.lit(False))
 
 
 def _undocumented(spark, folder):

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import INTERESTING, LIVE, PAPER_VALIDATED, REJECTED, ROBUST, ROBUST_DEV, THRESHOLDS
 from ..operators import audits, eventlog, leakage, moments, panel as pan, regression, resampling as rs, scorecard as sc, signals as sg
+from ..session import cut_lineage, shared_folder
 from ..sources import tables as src
 from ..streaming import checks
 from . import integrity_queries as iq, ledger_queries as lq, sqltext as q, stats_queries as sq
@@ -24,8 +24,8 @@ def _measures(spark, folder) -> DataFrame:
     r = sq._vr(spark, folder)
     m = moments.power_table(r).select("strategy_id", F.col("sharpe").alias("baseline_sharpe"), "power")
     dsr = moments.deflated_sharpe(r, n_trials=sq.N_TRIALS).select("strategy_id", "dsr")
-    a = sq._alpha(spark, folder).select("strategy_id", "alpha_t")
-    return m.join(dsr, "strategy_id").join(sc.subperiod_share(r), "strategy_id").join(a, "strategy_id")
+    a = regression.factor_regression(r, src.market_returns(r), ["b"]).select("strategy_id", "alpha_t")
+    return cut_lineage(m.join(dsr, "strategy_id").join(sc.subperiod_share(r), "strategy_id").join(a, "strategy_id"))
 
 
 def _gates(spark, folder):
@@ -114,7 +114,8 @@ PAPER = (
 
 
 def _regimes(spark, folder):
-    return sc.regime_sharpe(sq._vr(spark, folder), src.market_returns(spark, folder))
+    r = sq._vr(spark, folder)
+    return sc.regime_sharpe(r, src.market_returns(r))
 
 
 def _data_gate(spark, folder):
@@ -135,7 +136,7 @@ def _full(spark, folder):
     """The whole evaluation of a momentum grid and a leaky control on the brand panel."""
     p = _panel(spark, folder)
     grid = [sg.variant(f"mom{w}", window=w) for w in (5, 10, 20)]
-    w = sg.momentum(p, grid).unionByName(sg.leaky_next_return(p))
+    w = cut_lineage(sg.momentum(p, grid).unionByName(sg.leaky_next_return(p)))
     leaks = leak_failures(
         leakage.truncation_diffs(lambda x: sg.momentum(x, grid[:1]).unionByName(sg.leaky_next_return(x)), p, (0.5,)).withColumn("passed", F.col("max_abs_diff") <= 1e-9)
     )
@@ -214,15 +215,12 @@ def _stream(spark: SparkSession, folder: str, columns: DataFrame | None = None)
 def _drain(df: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over everything available into parquet and reads it back.
 
-    The folder is the shared one the session names; the tests set their own, and only a local master may fall back to a
-    temporary folder.
+    Output and stream state live in the shared folder the session names.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = shared_folder(spark)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
     base = os.path.join(root, f"stream-{uuid.uuid4().hex}")
     out = f"{base}/out"
     q_ = df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import EULER_GAMMA
 from ..operators import moments, multiple, panel as pan, regression, resampling as rs, signals as sg, trades
 from ..operators.portfolio import Accounts, scenario
+from ..session import cut_lineage
 from ..sources import tables as src
 from . import sqltext as q
 from .integrity_queries import _round
@@ -20,11 +21,12 @@ N_TRIALS = 50.0
 
 
 def _vr(spark, folder):
-    return src.variant_returns(spark, folder)
+    return cut_lineage(src.variant_returns(spark, folder))
 
 
 def _alpha(spark, folder):
-    return regression.factor_regression(_vr(spark, folder), src.market_returns(spark, folder), ["b"])
+    r = _vr(spark, folder)
+    return regression.factor_regression(r, src.market_returns(r), ["b"])
 
 
 MOM = (
@@ -145,7 +147,7 @@ DRAWS = 60
 
 def _shift_accounts(spark, folder):
     p = _panel(spark, folder)
-    return Accounts(p, sg.momentum(p, VARIANTS[:1]), SHIFT_SCEN, _terminal(spark, folder)), p
+    return Accounts(p, cut_lineage(sg.momentum(p, VARIANTS[:1])), SHIFT_SCEN, _terminal(spark, folder)), p
 
 
 def _shift(spark, folder):

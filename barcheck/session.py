@@ -7,6 +7,8 @@ session and only set by the tests, where it is unset.
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,15 +37,25 @@ def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder named by the session in ``spark.checkpoint.dir``; a local master without one gets a fresh temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names in ``spark.checkpoint.dir``.
+    """``df`` written once as a table in the shared folder and read back.
 
-    Without such a folder the plan is returned as it is: correct, only longer.
+    A relation that several branches of a plan use is then computed once, survives lost executors, keeps column pruning
+    and has exact sizes for join planning. Without a shared folder the plan is returned as it is: correct, only longer.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    if spark.sparkContext.getCheckpointDir() is None:
+    folder = shared_folder(spark)
+    if folder is None:
         return df
-    return df.checkpoint()
+    path = f"{folder.rstrip('/')}/barcheck-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

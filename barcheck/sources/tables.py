@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.shape import dense_index
+from ..session import cut_lineage
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +48,11 @@ def daily_bars(spark: SparkSession, folder: str, flat_step: float | None = None)
     )
 
 
+def staged_daily_bars(spark: SparkSession, folder: str, flat_step: float | None = None) -> DataFrame:
+    """Daily bars as the table they are in practice: built from the lines once, however many checks read them."""
+    return cut_lineage(daily_bars(spark, folder, flat_step))
+
+
 def ticks(spark: SparkSession, folder: str) -> DataFrame:
     """Events as trades: ticker = event type, price = value, size 1, instants in UTC."""
     return table(spark, folder, "events").select(
@@ -155,9 +161,9 @@ def variant_returns(spark: SparkSession, folder: str) -> DataFrame:
     return full.select("strategy_id", F.col("pos").alias("t"), F.coalesce("v", F.lit(0.0)).alias("r"))
 
 
-def market_returns(spark: SparkSession, folder: str) -> DataFrame:
+def market_returns(variants: DataFrame) -> DataFrame:
     """Benchmark (t, b): the mean of all variants on the bar."""
-    return variant_returns(spark, folder).groupBy("t").agg((F.sum(F.round(F.col("r") * F.lit(1e10)).cast("long")) / F.lit(1.5e11)).alias("b"))
+    return variants.groupBy("t").agg((F.sum(F.round(F.col("r") * F.lit(1e10)).cast("long")) / F.lit(1.5e11)).alias("b"))
 
 
 def experiment_events(spark: SparkSession, folder: str) -> DataFrame:
