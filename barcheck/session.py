@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,10 +41,14 @@ def use_utc(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder named by the session in ``spark.checkpoint.dir``; a local master without one gets a fresh temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder or not spark.sparkContext.master.startswith("local"):
+        return folder
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=4)
+def _local_folder(app: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

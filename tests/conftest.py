@@ -1,5 +1,4 @@
 import sys
-import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,6 +12,5 @@ from barcheck.session import local_session, use_utc  # noqa: E402
 def spark():
     s = local_session(shuffle_partitions=4, app="tests")
     use_utc(s)
-    s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     yield s
     s.stop()
