@@ -54,7 +54,7 @@ def gates(measures: DataFrame, th: dict = TH) -> DataFrame:
     return measures.select("strategy_id", F.explode(F.array_compact(rows)).alias("g")).select("strategy_id", "g.*")
 
 
-def neighbourhood(sharpes: DataFrame, chosen: dict[str, str] | DataFrame) -> DataFrame:
+def neighbourhood(sharpes: DataFrame, chosen: DataFrame) -> DataFrame:
     """sharpes(strategy_id, sharpe); chosen(strategy_id, neighbor): share of positive neighbours and their median over the chosen."""
     x = chosen.join(sharpes.withColumnRenamed("strategy_id", "neighbor").withColumnRenamed("sharpe", "s"), "neighbor").where("neighbor <> strategy_id")
     m = x.groupBy("strategy_id").agg(F.avg(F.when(F.col("s") > 0, 1.0).otherwise(0.0)).alias("neighbor_pos"), F.median("s").alias("_med"))
