@@ -24,7 +24,7 @@ class MinuteBars:
         self.dataset_id, self.floor, self.max_gap = dataset_id, liquid_min_session_volume, max_gap_minutes
         kind = bars.schema["ts"].dataType
         self.naive = isinstance(kind, T.TimestampNTZType)
-        ts = F.timestamp_millis("ts") if isinstance(kind, (T.LongType, T.IntegerType, T.DoubleType)) else F.col("ts").cast("timestamp")
+        ts = F.timestamp_millis(F.col("ts").cast("long")) if isinstance(kind, (T.LongType, T.IntegerType, T.DoubleType)) else F.col("ts").cast("timestamp")
         b = bars.withColumn("ts", ts).withColumn("session", cal.exchange_date(F.col("ts")))
         self.bars = b.join(cal.session_table(bars.sparkSession), "session", "left")
         self.tagged = self.bars.where(F.col("len").isNotNull()).withColumn("us", F.unix_micros("ts") - F.col("open_us"))

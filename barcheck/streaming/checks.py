@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -83,8 +84,10 @@ def ledger_sink(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         try:
-            have = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001  - the first batch finds no ledger
+            have = spark.read.schema(batch.schema).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # only the first batch may find no ledger
+                raise
             have = None
         ledger.merge(batch, existing=have).write.mode("append").parquet(path)
 
