@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -218,10 +217,7 @@ def _drain(df: DataFrame, mode: str = "append") -> DataFrame:
     Output and stream state live in the shared folder the session names.
     """
     spark = df.sparkSession
-    root = shared_folder(spark)
-    if root is None:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    base = os.path.join(root, f"stream-{uuid.uuid4().hex}")
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
     q_ = df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q_.awaitTermination()

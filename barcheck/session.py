@@ -1,15 +1,13 @@
 """Session helpers.
 
-Nothing here pins a machine-local path on a cluster: the checkpoint folder is read from the
-session and only set by the tests, where it is unset.
+Nothing here pins a machine-local path: staged tables go to the folder that the session names in
+``spark.checkpoint.dir`` and, where it is unset, to the session's warehouse.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,29 +36,28 @@ def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder named by the session in ``spark.checkpoint.dir``; a local master without one gets a fresh temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder or not spark.sparkContext.master.startswith("local"):
-        return folder
-    return _local_folder(spark.sparkContext.applicationId)
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for staged tables: the one named in ``spark.checkpoint.dir``, else one under the session's warehouse.
 
-
-@lru_cache(maxsize=4)
-def _local_folder(app: str) -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    Both are shared between the driver and the executors; a machine-local temporary folder is never used.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back.
 
     A relation that several branches of a plan use is then computed once, survives lost executors, keeps column pruning
-    and has exact sizes for join planning. Without a shared folder the plan is returned as it is: correct, only longer.
+    and has exact sizes for join planning. The file system removes the folder when the application ends.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return df
-    path = f"{folder.rstrip('/')}/barcheck-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/barcheck-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
