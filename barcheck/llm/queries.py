@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_urls, op6_lines, op7_mixing, op8_sharding
+from . import op3_urls, op4_minmax, op6_lines, op7_mixing, op8_sharding
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_url_filter": (op3_urls.op3_url_filter, op3_urls.oracle()),
+    "op4_near_dedup": (op4_minmax.op4_near_dedup, op4_minmax.ORACLE),
     "op6_line_dedup": (op6_lines.op6_line_dedup, op6_lines.ORACLE),
     "op7_mixing": (op7_mixing.op7_mixing, op7_mixing.ORACLE),
     "op8_sharding": (op8_sharding.op8_sharding, None),
