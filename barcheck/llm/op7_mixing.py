@@ -10,7 +10,7 @@ from .common import cut_lineage, table, word_count
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: The hash has LEVELS * BITS bits; each level splits the boundary bucket of the level before it in 2**BITS.
-LEVELS, BITS = 4, 15
+LEVELS, BITS = 5, 12
 
 
 def row_hash(doc_id: Column) -> Column:
