@@ -18,6 +18,8 @@ WORDS, SHARE = 5, (75, 100)
 PERMS, ROWS = 64, 4
 #: Of the 128 values at least so many agree before full sets are fetched: at 0.75 fewer do with probability 3e-7.
 AGREE = 71
+#: Nodes of one block of a bucket, and columns of its membership matrix at a time.
+BLOCK, COLUMNS = 512, 4096
 
 _rng = np.random.default_rng(20_240_602)
 _A = _rng.integers(0, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,9 +112,8 @@ def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _full_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """node, shingles (packed hashes) for the nodes in ``pairs``, from the whole text of one of their documents."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _full_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node, shingles (sorted hashes) for ``nodes``, from the whole text of one document of each."""
     one = rows.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("node", F.col("r.doc_id").alias("id"), F.col("r.text_hash").alias("h"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     texts = keyed.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h"))).select("node", "text")
@@ -120,10 +121,10 @@ def _full_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, k: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            sets = [shingles(words_of(t.as_py()), hashes, k).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+            sets = [shingles(words_of(t.as_py()), hashes, k).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return texts.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -135,7 +136,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Dat
         for x in batches:
             keep = []
             for s, t in zip(x.column(2), x.column(3), strict=True):
-                u, v = (np.frombuffer(y.as_py(), np.uint64) for y in (s, t))
+                u, v = (np.asarray(y.values) for y in (s, t))
                 common = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(share[1] * common >= share[0] * (len(u) + len(v) - common))
             yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -143,13 +144,73 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> Dat
     return both.mapInArrow(run, "a long, b long")
 
 
+def _reachable(open_: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Rows (key, node, root, n) whose node can still have a link to another component, with ``r``.
+
+    ``r`` is the number of a node's shingles that nodes of other components have. A link to a node of size m needs a
+    common part of at least share * (n + m), so a row stays only if ``r`` allows that for the smallest m that its bucket
+    offers. This is exact, and it is what keeps a large group of loose copies from being paired: what sets its
+    members apart are shingles that nobody else has.
+    """
+    top, whole = share[0], share[0] + share[1]
+    nodes = open_.select("node", "root").distinct()
+    each = nodes.join(sets, "node").select("node", "root", F.explode("shingles").alias("x"))
+    common = each.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("x")
+    r = each.join(common, "x").groupBy("node").agg(F.count("*").alias("r"))
+    least = open_.groupBy("key").agg(F.min("n").alias("least"))
+    fit = open_.join(r, "node").join(least, "key")
+    other = F.greatest(F.col("least"), F.ceil(F.col("n") * top / share[1]))
+    return fit.where(whole * F.col("r") >= top * (F.col("n") + other)).drop("least")
+
+
+def _within_buckets(left: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Confirmed links (a, b) between nodes of one bucket and different roots; only links leave a task, never pairs.
+
+    A bucket is cut in blocks of about BLOCK nodes by hash, and every two blocks meet in one task with their full sets,
+    so a task's memory is bounded however large a bucket is.
+    """
+    blocks = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cut = left.join(blocks, "key").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = cut.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "root")
+
+    def run(t: pa.Table) -> pa.Table:
+        node, root = t["node"].to_numpy(), t["root"].to_numpy()
+        lists = t["shingles"].combine_chunks()
+        flat, sizes = np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))
+        row = np.repeat(np.arange(len(node)), sizes)
+        _, col, count = np.unique(flat, return_inverse=True, return_counts=True)
+        many = count[col] > 1
+        row, col = row[many], (np.cumsum(count > 1) - 1)[col[many]]
+        common = np.zeros((len(node), len(node)), np.float32)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for c in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+            lo, hi = np.searchsorted(col, [c, c + COLUMNS])
+            x = np.zeros((len(node), COLUMNS), np.float32)
+            x[row[lo:hi], col[lo:hi] - c] = 1
+            common += x @ x.T
+        ok = share[1] * common >= share[0] * (sizes[:, None] + sizes[None, :] - common)
+        a, b = np.nonzero(ok & (root[:, None] != root[None, :]) & (node[:, None] < node[None, :]))
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+
+    return rows.join(sets, "node").groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    return placed.join(keys, "key")
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS, share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept for every row of ``docs`` (doc_id long, text).
 
     Documents with equal shingle sets form one node. In every band bucket all nodes are held against one of them; the
-    confirmed links are contracted to components. Then all pairs of a bucket that still lie in different components
-    are held against each other, so no link between two components is lost and members of one component are never
-    paired. ``component_id`` is the smallest doc_id reachable, ``kept`` marks the row that has it.
+    confirmed links are contracted to components. Then the pairs of a bucket that lie in different components and can
+    still be linked, by size and by the number of shingles that they share with anyone, are held against each other. No
+    link between two components is lost and members of one component are never paired. ``component_id`` is the
+    smallest doc_id reachable, ``kept`` marks the row that has it.
 
     NULL and empty texts and texts without words have no shingles, are linked with nothing and kept. Repeated rows
     are one node; repeats of the smallest doc_id are all marked kept. A NULL doc_id is never a component_id while
@@ -158,23 +219,35 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, share: tuple[int, int] = SH
     """
     sig = cut_lineage(signatures(docs, k))
     rows = sig.select("doc_id", "text_hash", "n_shingles", "node")
-    nodes = sig.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("n_shingles").alias("n"))
-    nodes = cut_lineage(nodes)
-    keys = nodes.select(F.explode("bands").alias("key"), "node")
+    nodes = cut_lineage(sig.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.min("n_shingles").alias("n")))
+    keys = nodes.select(F.explode("bands").alias("key"), "node", "n")
     buckets = keys.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead")
     shared = cut_lineage(keys.join(buckets, "key"))
-    star = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links, tried = _round(docs, rows, nodes, star, k, share)
-    first = components(links)
-
+    sets = cut_lineage(_full_sets(docs, rows, shared.select("node").distinct(), k))
+    sketches = nodes.select("node", "sketch")
+
+    top, whole = share[0], share[0] + share[1]
+    sized = shared.groupBy("node").agg(F.min("n").alias("n"))
+    star = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
+    star = star.join(sized.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").where(share[1] * F.least("na", "nb") >= top * F.greatest("na", "nb"))
+    able = (share[1] * F.least("n", "nb") >= top * F.greatest("n", "nb")) & (whole * F.least("r", "r2") >= top * (F.col("n") + F.col("nb")))
+    tried = cut_lineage(star.select("a", "b"))
+    links = cut_lineage(_confirmed(_agreeing(tried, sketches), sets, share))
     root = F.coalesce("root", "node")
-    placed = cut_lineage(shared.join(first, "node", "left").select("key", "node", root.alias("root")))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = placed.join(mixed, "key")
-    other = open_.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    cross = open_.join(other, "key").where("root <> rb AND node < b").select(F.col("node").alias("a"), "b").distinct()
-    more, _ = _round(docs, rows, nodes, cross.join(tried, ["a", "b"], "left_anti"), k, share)
-    roots = components(links.union(more))
+    roots = components(links)
+    while True:
+        placed = cut_lineage(_mixed(shared.drop("lead").join(roots, "node", "left").select("key", "node", "n", root.alias("root"))))
+        left = cut_lineage(_mixed(_reachable(placed, sets, share)))
+        heart = left.groupBy("key").agg(F.max_by(F.struct("node", "root", "n", "r"), F.struct("r", "node")).alias("h"))
+        star = left.join(heart.select("key", F.col("h.node").alias("b"), F.col("h.root").alias("rb"), F.col("h.n").alias("nb"), F.col("h.r").alias("r2")), "key")
+        new = cut_lineage(star.where((F.col("root") != F.col("rb")) & able).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        found = cut_lineage(_confirmed(_agreeing(new, sketches), sets, share))
+        tried, links = tried.union(new), links.union(found)
+        if not found.limit(1).count():
+            break
+        roots = components(links)
+
+    roots = components(links.union(_within_buckets(left, sets, share)))
 
     reps = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")).join(roots, "node", "left").select("node", "rep", root.alias("root"))
     smallest = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -183,17 +256,6 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, share: tuple[int, int] = SH
     return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _round(docs: DataFrame, rows: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links and the pairs that were tried."""
-    sized = nodes.select("node", "n")
-    tried = cut_lineage(pairs)
-    fit = tried.join(sized.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    fit = fit.where(share[1] * F.least("na", "nb") >= share[0] * F.greatest("na", "nb")).select("a", "b")
-    likely = cut_lineage(_agreeing(fit, nodes.select("node", "sketch")))
-    sets = cut_lineage(_full_sets(docs, rows, likely, k))
-    return cut_lineage(_confirmed(likely, sets, share)), tried
-
-
 def one_per_component(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component, in all their columns."""
     keep = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
