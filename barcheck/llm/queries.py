@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_urls, op4_minmax, op6_lines, op7_mixing, op8_sharding, op9_fingerprints
+from . import op10_toxicity, op3_urls, op4_minmax, op6_lines, op7_mixing, op8_sharding, op9_fingerprints
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_url_filter": (op3_urls.op3_url_filter, op3_urls.oracle()),
@@ -15,4 +15,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op7_mixing": (op7_mixing.op7_mixing, op7_mixing.ORACLE),
     "op8_sharding": (op8_sharding.op8_sharding, None),
     "op9_fingerprints": (op9_fingerprints.op9_fingerprints, None),
+    "op10_toxicity": (op10_toxicity.op10_toxicity, None),
 }
