@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op10_toxicity, op3_urls, op4_minmax, op6_lines, op7_mixing, op8_sharding, op9_fingerprints
+from . import op10_toxicity, op3_urls, op4_minmax, op5_secrets, op6_lines, op7_mixing, op8_sharding, op9_fingerprints
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_url_filter": (op3_urls.op3_url_filter, op3_urls.oracle()),
     "op4_near_dedup": (op4_minmax.op4_near_dedup, op4_minmax.ORACLE),
+    "op5_secret_scan": (op5_secrets.op5_secret_scan, None),
     "op6_line_dedup": (op6_lines.op6_line_dedup, op6_lines.ORACLE),
     "op7_mixing": (op7_mixing.op7_mixing, op7_mixing.ORACLE),
     "op8_sharding": (op8_sharding.op8_sharding, None),
