@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op10_toxicity, op1_pieces, op3_urls, op4_minmax, op5_secrets, op6_lines, op7_mixing, op8_sharding, op9_fingerprints
+from . import op10_toxicity, op1_pieces, op2_search, op3_urls, op4_minmax, op5_secrets, op6_lines, op7_mixing, op8_sharding, op9_fingerprints
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_pieces": (op1_pieces.op1_pieces, None),
+    "op2_search": (op2_search.op2_search, op2_search.ORACLE),
     "op3_url_filter": (op3_urls.op3_url_filter, op3_urls.oracle()),
     "op4_near_dedup": (op4_minmax.op4_near_dedup, op4_minmax.ORACLE),
     "op5_secret_scan": (op5_secrets.op5_secret_scan, None),
