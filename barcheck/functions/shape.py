@@ -21,6 +21,12 @@ def dense_index(df: DataFrame, col: str, out: str, bucket: Column) -> DataFrame:
     return vals.withColumn("_i", local).join(before, "_b").select(col, (F.col("_off") + F.col("_i")).cast("int").alias(out))
 
 
+def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """Adds ``_k``, the keys and the chunk as one struct: structs are equal where their fields are, NULLs included, so rows
+    without a key or a date keep their place in grouped, windowed and joined relations."""
+    return df.withColumn("_k", F.struct(*[F.col(k).alias(k) for k in keys], chunk.alias("_c"))).repartition("_k")
+
+
 def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], chunk: Column) -> DataFrame:
     """Adds ``prev_<col>``: the value in the preceding row, by ``order`` within ``keys``.
 
@@ -29,12 +35,12 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
     the same exchange.
     """
     keys = list(keys)
-    d = df.withColumn("_c", chunk).repartition(*keys, "_c")
+    d = _chunked(df, keys, chunk)
     packed = F.struct(*[F.col(c).alias(f"prev_{c}") for c in cols])
-    tails = d.groupBy(*keys, "_c").agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
-    carry = tails.select(*keys, "_c", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_c")).alias("_carry"))
-    local = F.lag(packed).over(Window.partitionBy(*keys, "_c").orderBy(*order))
-    joined = d.withColumn("_local", local).join(carry, [*keys, "_c"])
+    tails = d.groupBy("_k").agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
+    carry = tails.select("_k", F.lag("_tail").over(Window.partitionBy(*[f"_k.{c}" for c in keys]).orderBy("_k._c")).alias("_carry"))
+    local = F.lag(packed).over(Window.partitionBy("_k").orderBy(*order))
+    joined = d.withColumn("_local", local).join(carry, "_k")
     out = F.coalesce(F.col("_local"), F.col("_carry"))
     return joined.select(*df.columns, *[out[f"prev_{c}"].alias(f"prev_{c}") for c in cols])
 
@@ -42,11 +48,11 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, chunk: Column) -> DataFrame:
     """Inclusive running sum of ``value`` by ``order`` within ``keys``; chunk totals carry over, so no key is one task."""
     keys = list(keys)
-    d = df.withColumn("_c", chunk).withColumn("_v", value).repartition(*keys, "_c")
-    totals = d.groupBy(*keys, "_c").agg(F.sum("_v").alias("_s"))
-    carry = totals.select(*keys, "_c", (F.sum("_s").over(Window.partitionBy(*keys).orderBy("_c")) - F.col("_s")).alias("_carry"))
-    local = F.sum("_v").over(Window.partitionBy(*keys, "_c").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    joined = d.withColumn("_local", local).join(carry, [*keys, "_c"])
+    d = _chunked(df.withColumn("_v", value), keys, chunk)
+    totals = d.groupBy("_k").agg(F.sum("_v").alias("_s"))
+    carry = totals.select("_k", (F.sum("_s").over(Window.partitionBy(*[f"_k.{c}" for c in keys]).orderBy("_k._c")) - F.col("_s")).alias("_carry"))
+    local = F.sum("_v").over(Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = d.withColumn("_local", local).join(carry, "_k")
     return joined.select(*df.columns, (F.col("_local") + F.col("_carry")).alias(out))
 
 

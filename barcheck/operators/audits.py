@@ -61,7 +61,7 @@ def cell_findings(panel: DataFrame, max_gap_ret: float = 0.6, stale_run: int = 5
     per_ticker = per_run.groupBy("ticker").agg(F.max("run").alias("run"), F.sum("born").alias("born"))
     t = per_ticker.agg(F.count_if(F.col("run") >= stale_run).alias("stale"), F.count_if(F.col("born") > 1).alias("relisted"))
     return union_all([
-        finding(counts, "ohlc_consistency", "FAIL", F.col("ohlc"), "%d bars with inconsistent OHLC"),
+        finding(counts, "ohlc_consistency", "FAIL", F.col("ohlc"), "%d bars whose open or close lies outside their low and high"),
         finding(counts, "nonpositive_price", "FAIL", F.col("nonpos"), "%d closes at or below 0"),
         finding(counts, "missing_alive", "WARN", F.col("missing"), "%d listed bars without a price"),
         finding(counts, "bad_ticks_or_unadjusted_splits", "WARN", F.col("jumps"), "%d extreme close-to-close moves"),
@@ -127,13 +127,19 @@ def asof_join(decisions: DataFrame, filings: DataFrame, keys: list[str], left_ts
     packed = F.struct(*[F.col(c) for c in order])
     left_cols = decisions.columns
     l = decisions.select(*keys, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*left_cols).alias("_l"))
-    r = filings.select(*keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), packed.alias("_r"))
-    both = l.unionByName(r, allowMissingColumns=True).withColumn("_b", F.date_trunc(bucket, "_ts")).repartition(*keys, "_b")
-    tails = both.groupBy(*keys, "_b").agg(F.max("_r").alias("_tail"))
-    past = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select(*keys, "_b", F.max("_tail").over(past).alias("_carry"))
-    w = Window.partitionBy(*keys, "_b").orderBy("_ts", "_side")
+    r = filings.where(F.col(right_ts).isNotNull()).select(*keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), packed.alias("_r"))
+    both = l.unionByName(r, allowMissingColumns=True)
+    # one struct of keys and bucket: NULLs in it are equal, so decisions without a key or an instant stay
+    both = both.withColumn("_k", F.struct(*keys, F.date_trunc(bucket, "_ts").alias("_b"))).repartition("_k")
+    tails = both.groupBy("_k").agg(F.max("_r").alias("_tail"))
+    past = Window.partitionBy(*[f"_k.{k}" for k in keys]).orderBy("_k._b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select("_k", F.max("_tail").over(past).alias("_carry"))
+    w = Window.partitionBy("_k").orderBy("_ts", "_side")
     seen = F.max("_r").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    x = both.withColumn("_seen", seen).where("_side = 1").join(carry, [*keys, "_b"])
-    hit = F.coalesce(F.col("_seen"), F.col("_carry"))
+    x = both.withColumn("_seen", seen).where("_side = 1").join(carry, "_k")
+    # a NULL key, like a NULL instant, matches nothing
+    known = F.col("_ts").isNotNull() & F.lit(True)
+    for k in keys:
+        known = known & F.col(f"_k.{k}").isNotNull()
+    hit = F.when(known, F.coalesce(F.col("_seen"), F.col("_carry")))
     return x.select(F.col("_l.*"), hit[right_ts].alias(right_ts), *[hit[v].alias(v) for v in values])

@@ -20,7 +20,7 @@ class CorporateActions:
         d = previous_row(d, ["ticker"], ["date", "open", "close"], ["close"], F.trunc("date", "month"))
         self.moves = d.select("ticker", "date", (F.col("open") / F.nullif(F.col("prev_close"), F.lit(0.0))).alias("r"))
         copies = splits.groupBy("ticker", "execution_date", "split_from", "split_to").agg(F.count("*").alias("copies"))
-        self.splits = copies.withColumn("ratio", F.col("split_to") / F.col("split_from"))
+        self.splits = copies.withColumn("ratio", F.try_divide("split_to", "split_from"))
         # the +-4 day window as exact days: an equi-join instead of a range join
         around = F.sequence(F.date_sub("execution_date", reach), F.date_add("execution_date", reach), F.expr("interval 1 day"))
         self.near = self.splits.select("ticker", "execution_date", "split_from", "split_to", "copies", "ratio", F.explode(around).alias("date"))

@@ -154,13 +154,18 @@ def final_test_eligibility(candidates: DataFrame, events: DataFrame) -> DataFram
     return x.select(*candidates.columns, why.isNull().alias("eligible"), why.alias("refusal"))
 
 
+def _lane_sum(lane: str) -> Column:
+    """Sum modulo 2**62: decimals do not overflow, however many rows there are, and any order gives the same sum."""
+    return (F.sum(F.col(lane).cast("decimal(18,0)")) % F.lit(1 << 62).cast("decimal(19,0)")).cast("long")
+
+
 def fingerprint(df: DataFrame, ts: str, ticker: str) -> DataFrame:
     """Order-insensitive content fingerprint: two 32-bit lanes of a row digest summed, with counts and range."""
     row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in df.columns]))
     lane = lambda i: F.conv(F.substring(row, i, 8), 16, 10).cast("long")
     return df.select(F.col(ts), F.col(ticker), lane(1).alias("a"), lane(9).alias("b")).agg(
         F.count("*").alias("rows"), F.countDistinct(ts).alias("n_bars"), F.countDistinct(ticker).alias("n_tickers"),
-        F.min(ts).cast("string").alias("start"), F.max(ts).cast("string").alias("end"), F.sum("a").alias("lane_a"), F.sum("b").alias("lane_b"),
+        F.min(ts).cast("string").alias("start"), F.max(ts).cast("string").alias("end"), _lane_sum("a").alias("lane_a"), _lane_sum("b").alias("lane_b"),
     )
 
 

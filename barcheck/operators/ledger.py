@@ -21,11 +21,13 @@ TRANSITION = T.StructType([
 def merge(gaps: DataFrame, seq: Column | None = None, existing: DataFrame | None = None) -> DataFrame:
     """New ledger rows: the first row of each gap id, ids already in the ledger left out.
 
-    A hash aggregation with map-side combine, so an id repeated in a third of the rows is reduced before the shuffle.
+    First is what ``seq`` says, by default the place of the row in ``gaps``; what a row holds decides between rows of one
+    place only. A hash aggregation with map-side combine, so an id repeated in a third of the rows is reduced before the shuffle.
     """
     rest = [c for c in gaps.columns if c != "gap_id"]
-    order = F.struct(*([seq] if seq is not None else []), *[F.col(c) for c in rest])
-    out = gaps.groupBy("gap_id").agg(F.min_by(F.struct(*rest), order).alias("g")).select("g.*", "gap_id")
+    placed = gaps.withColumn("_at", seq if seq is not None else F.monotonically_increasing_id())
+    order = F.struct(F.col("_at"), *[F.col(c) for c in rest])
+    out = placed.groupBy("gap_id").agg(F.min_by(F.struct(*rest), order).alias("g")).select("g.*", "gap_id")
     if existing is not None:
         out = out.join(existing.select("gap_id"), "gap_id", "left_anti")
     return out.select(*[c for c in GAP_COLUMNS if c in out.columns])

@@ -17,10 +17,12 @@ def bh(pvalues: DataFrame, q: float = 0.05, p: str = "p", family: Sequence[str]
     """Adds ``keep`` (discoveries at rate q) and ``p_adj`` to every row.
 
     Ranks come from ``order_sums``: equal p-values are collapsed and the order is built over many tasks, so a family
-    may hold all hypotheses of a run.
+    may hold all hypotheses of a run. A row without p-value stays, with NULL results, and does not count as a trial.
     """
-    family = list(family)
-    f = order_sums(pvalues, family, p)
+    # one struct holds the family, so that a NULL in it is a family of its own
+    pvalues = pvalues.withColumn("_family", F.struct(F.lit(0), *family))
+    family = ["_family"]
+    f = order_sums(pvalues.where(F.col(p).isNotNull()), family, p)
     # the last of equal p-values decides, so the inclusive count is the rank
     f = f.withColumn("_ok", F.col(p) <= q * F.col("cum_cnt") / F.col("tot_cnt")).withColumn("_raw", F.col(p) * F.col("tot_cnt") / F.col("cum_cnt"))
     up = Window.partitionBy(*family, "_b").orderBy(F.col(p).desc())
@@ -34,31 +36,39 @@ def bh(pvalues: DataFrame, q: float = 0.05, p: str = "p", family: Sequence[str]
     f = f.join(per, [*family, "_b"])
     adj = F.least(F.lit(1.0), F.col("_min"), F.col("_later"))
     flat = f.select(*family, p, F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False)).alias("keep"), adj.alias("p_adj"))
-    return pvalues.join(flat, [*family, p])
+    key = lambda d: d.withColumn("_k", F.struct(*family, p))
+    out = key(pvalues).join(key(flat).select("_k", "keep", "p_adj"), "_k", "left")
+    return out.drop("_k", "_family")
 
 
 # ------------------------------------------------------------------ overfitting probability
 
 
-def pbo(returns: DataFrame, slices: int = 16, max_combos: int = 3000, seed: int = 0, r: str = "r") -> DataFrame:
+MOST_SLICES = 16
+
+
+def pbo(returns: DataFrame, slices: int = MOST_SLICES, r: str = "r") -> DataFrame:
     """Probability of backtest overfitting by symmetric cross-validation: one row (pbo, n_combos, variants).
 
     Every variant is reduced to count, sum and square sum per slice; a split of the slices is then 16 additions, whatever
-    the number of bars. Splits are enumerated as bit masks; above ``max_combos`` the first in keyed order are taken.
+    the number of bars. All splits are taken, 12,870 for 16 slices, as bit masks. There are at most as many slices as
+    bars, and an even number of them; ``slices`` above MOST_SLICES is refused. With fewer than two variants nothing can be
+    overfitted: pbo is NULL and n_combos 0.
     """
-    spark = returns.sparkSession
-    s = min(slices, 16)
-    s -= s % 2
-    total = returns.agg(F.max("t") + 1).scalar()
+    if not 2 <= slices <= MOST_SLICES:
+        raise ValueError(f"slices must be between 2 and {MOST_SLICES}")
+    bars = returns.agg((F.max("t") + 1).alias("n")).first()["n"] or 0
+    s = min(slices, bars) // 2 * 2
+    if s < 2:
+        return returns.agg(F.lit(None).cast("double").alias("pbo"), F.lit(0).cast("long").alias("n_combos"), F.countDistinct("strategy_id").alias("variants"))
+    total = F.lit(bars)
     x = returns.select("strategy_id", "t", F.col(r).alias("r"), total.alias("bars"))
     x = x.withColumn("s", split_index(F.col("t"), F.col("bars"), s))
     per = [F.count_if(F.col("s") == i).cast("double").alias(f"n{i}") for i in range(s)]
     per += [F.sum(F.when(F.col("s") == i, F.col("r")).otherwise(0.0)).alias(f"a{i}") for i in range(s)]
     per += [F.sum(F.when(F.col("s") == i, F.col("r") * F.col("r")).otherwise(0.0)).alias(f"b{i}") for i in range(s)]
     v = x.groupBy("strategy_id").agg(*per)
-    masks = spark.range(1 << s).where(F.bit_count("id") == s // 2).withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))))
-    masks = masks.orderBy("h", "id").limit(max_combos)
-    chosen = masks.agg(F.collect_list(F.col("id").cast("int"))).scalar()  # at most C(16, 8) integers
+    chosen = F.filter(F.sequence(F.lit(0), F.lit((1 << s) - 1)), lambda m: F.bit_count(m) == s // 2)
     y = v.withColumn("mask", F.explode(chosen))
 
     def ratio(inside: bool):
@@ -84,7 +94,9 @@ def pbo(returns: DataFrame, slices: int = 16, max_combos: int = 3000, seed: int
     w = (F.col("below") + 0.5 * (F.col("same") - 1) + 0.5) / F.col("K")
     w = F.greatest(F.least(w, F.lit(1 - 1e-6)), F.lit(1e-6))
     z = z.withColumn("logit", F.log(w / (1 - w)))
-    return z.agg(F.avg(F.when(F.col("logit") <= 0, 1.0).otherwise(0.0)).alias("pbo"), F.count("*").alias("n_combos"), F.max("K").alias("variants"))
+    some = z.agg(F.avg(F.when(F.col("logit") <= 0, 1.0).otherwise(0.0)).alias("pbo"), F.count("*").alias("n_combos"), F.max("K").alias("variants"))
+    many = F.col("variants") > 1
+    return some.select(F.when(many, F.col("pbo")).alias("pbo"), F.when(many, F.col("n_combos")).otherwise(0).alias("n_combos"), "variants")
 
 
 # ------------------------------------------------------------------ effective trials

@@ -91,8 +91,11 @@ class News:
     def syndicated_titles(self) -> DataFrame:
         """Normalised headlines carried by more than one publisher (distinct pairs first: a hot headline stays cheap)."""
         x = self.news.select(headline_key(F.col("title")).alias("headline"), "publisher_name", "ts").dropna()
-        x = x.where(F.length("headline") > 15).select("headline", "publisher_name").distinct()
-        return x.groupBy("headline").agg(F.count("*").alias("publishers")).where("publishers > 1")
+        # headlines may be whole texts: pairs are told apart by digest, and only the headlines of several publishers are fetched
+        x = x.where(F.length("headline") > 15).select(F.sha2("headline", 256).alias("_d"), "publisher_name", "headline")
+        pairs = x.select("_d", "publisher_name").distinct()
+        several = pairs.groupBy("_d").agg(F.count("*").alias("publishers")).where("publishers > 1")
+        return x.join(several, "_d").groupBy("_d", "publishers").agg(F.first("headline").alias("headline")).select("headline", "publishers")
 
     def syndication(self) -> DataFrame:
         x = self.syndicated_titles().agg(F.count("*").alias("n")).where("n > 0")

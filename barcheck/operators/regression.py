@@ -17,17 +17,17 @@ def _solve(xx: pd.Series, xy: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(xx, xy):
         p = len(b)
-        out.append(np.linalg.solve(np.asarray(a, float).reshape(p, p), np.asarray(b, float)))
+        out.append(np.linalg.pinv(np.asarray(a, float).reshape(p, p), hermitian=True) @ np.asarray(b, float))
     return pd.Series(out)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _errors(xx: pd.Series, meat: pd.Series) -> pd.Series:
-    """Standard errors of the sandwich."""
+    """Standard errors of the sandwich; with collinear or constant factors those of the shortest solution."""
     out = []
     for a, m in zip(xx, meat):
         p = int(round(len(a) ** 0.5))
-        bread = np.linalg.inv(np.asarray(a, float).reshape(p, p))
+        bread = np.linalg.pinv(np.asarray(a, float).reshape(p, p), hermitian=True)
         half = np.asarray(m, float).reshape(p, p)
         out.append(np.sqrt(np.diag(bread @ (half + half.T) @ bread)))
     return pd.Series(out)

@@ -427,7 +427,7 @@ def _coarse_news(spark, folder, unit):
     e = src.table(spark, folder, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"))
     n = src.table(spark, folder, "documents").select("doc_id", "text", "source").join(e, "doc_id")
     old = F.date_format(F.date_trunc(unit, F.add_months("ts", -480)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return News(n.select(F.col("doc_id").cast("string").alias("id"), old.alias("published_utc"), F.substring("text", 1, 80).alias("title"),
+    return News(n.select(F.col("doc_id").cast("string").alias("id"), old.alias("published_utc"), F.col("text").alias("title"),
                          F.col("source").alias("publisher_name")), "news", RETRIEVED)
 
 

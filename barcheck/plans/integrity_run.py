@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import ledger
 from ..operators.corporate import CorporateActions
@@ -46,7 +46,8 @@ class IntegrityRun:
         return self
 
     def ledger(self, existing: DataFrame | None = None) -> DataFrame:
-        return ledger.merge(union_all(self.parts), existing=existing)
+        placed = [p.withColumn("_place", F.lit(i)) for i, p in enumerate(self.parts)]
+        return ledger.merge(union_all(placed), F.col("_place"), existing)
 
     def checks_run(self) -> DataFrame:
         spark = self.parts[0].sparkSession

@@ -108,7 +108,7 @@ NEWS = (
     " ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS published_utc,"
     " CASE WHEN doc_id % 17 = 0 OR doc_id % 29 = 0 OR doc_id % 11 = 0 THEN NULL ELSE date_trunc('second', ts) END AS ts,"
     " CASE WHEN doc_id % 17 = 0 THEN 'null' WHEN doc_id % 29 = 0 THEN 'bad' WHEN doc_id % 11 = 0 THEN 'nozone' ELSE 'ok' END AS st,"
-    " substr(text, 1, 80) AS title, source AS publisher_name,"
+    " text AS title, source AS publisher_name,"
     " CASE WHEN doc_id % 7 = 0 THEN '[]' ELSE '[\"' || upper(lang) || '\"]' END AS tickers"
     " FROM documents JOIN events ON doc_id = event_id)"
 )

@@ -123,12 +123,12 @@ def _conc(spark, folder):
     return _round(_round(c, *CONC_SHARES), *CONC_NETS, digits=4)
 
 
-S = 8
+S = 16
 PBO_SQL = (
     f"WITH {q.VARIANTS}, tt AS (SELECT max(t) + 1 AS n FROM vr), sl AS (SELECT strategy_id, r, CASE WHEN t < (n % {S}) * (n // {S} + 1) THEN t // (n // {S} + 1) ELSE n % {S} +"
-    f" (t - (n % {S}) * (n // {S} + 1)) // (n // {S}) END AS s FROM vr, tt), mk AS (SELECT unnest(range({1 << S})) AS m), ms AS (SELECT m FROM mk WHERE bit_count(m::INT) = {S // 2} ORDER BY"
-    f" md5('3|' || m), m LIMIT 60), ag AS (SELECT m, strategy_id, count(*) FILTER ((m >> s) & 1 = 1) AS ni, sum(r) FILTER ((m >> s) & 1 = 1) AS ai, sum(r * r) FILTER ((m >> s) & 1 = 1) AS bi,"
-    " count(*) FILTER ((m >> s) & 1 = 0) AS no, sum(r) FILTER ((m >> s) & 1 = 0) AS ao, sum(r * r) FILTER ((m >> s) & 1 = 0) AS bo FROM sl, ms GROUP BY 1, 2),"
+    f" (t - (n % {S}) * (n // {S} + 1)) // (n // {S}) END AS s FROM vr, tt), mk AS (SELECT unnest(range({1 << S})) AS m), ms AS (SELECT m FROM mk WHERE bit_count(m::INT) = {S // 2}),"
+    f" ps AS (SELECT strategy_id, s, count(*) AS n, sum(r) AS a, sum(r * r) AS b FROM sl GROUP BY 1, 2), ag AS (SELECT m, strategy_id, sum(n) FILTER ((m >> s) & 1 = 1) AS ni, sum(a) FILTER ((m >> s) & 1 = 1) AS ai, sum(b) FILTER ((m >> s) & 1 = 1) AS bi,"
+    " sum(n) FILTER ((m >> s) & 1 = 0) AS no, sum(a) FILTER ((m >> s) & 1 = 0) AS ao, sum(b) FILTER ((m >> s) & 1 = 0) AS bo FROM ps, ms GROUP BY 1, 2),"
     " sr AS (SELECT m, strategy_id, ai / ni / sqrt((bi - ai * ai / ni) / (ni - 1)) AS i, ao / no / sqrt((bo - ao * ao / no) / (no - 1)) AS o FROM ag),"
     " be AS (SELECT m, arg_max(o, i) AS best, count(*) AS k FROM sr GROUP BY m), rk AS (SELECT sr.m, (count(*) FILTER (o < best) + 0.5 * (count(*) FILTER (o = best) - 1) + 0.5) / any_value(k) AS w"
     " FROM sr JOIN be USING (m) GROUP BY sr.m) SELECT round(avg(CASE WHEN w <= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS pbo, count(*) AS n_combos, (SELECT max(k) FROM be) AS variants FROM rk"
@@ -257,7 +257,7 @@ QUERIES = {
                     "aj AS (SELECT o_orderkey, p, least(1, min(p * m / i) OVER (ORDER BY i DESC)) AS a FROM rk)")
         + "SELECT o_orderkey, coalesce(p <= (SELECT c FROM ct), false) AS keep, round(min(a) OVER (PARTITION BY p), 6) AS p_adj FROM aj",
     ),
-    "pbo": (lambda s, f: _round(multiple.pbo(_vr(s, f), S, 60, 3), "pbo"), PBO_SQL),
+    "pbo": (lambda s, f: _round(multiple.pbo(_vr(s, f), S), "pbo"), PBO_SQL),
     "effective_trials": (lambda s, f: multiple.effective_trials(_vr(s, f), THR, block=4), EFF_SQL),
     "shift_null": (_shift, SHIFT_SQL),
     "sign_flip": (lambda s, f: _round(rs.sign_flip_pvalue(_vr(s, f), FLIPS, SEED), "p"), FLIP_SQL),

@@ -100,7 +100,7 @@ def news(spark: SparkSession, folder: str) -> DataFrame:
     return d.join(e, "doc_id").select(
         F.concat(F.lit("a"), (F.col("doc_id") - F.when(F.col("doc_id") % 23 == 1, F.lit(1)).otherwise(F.lit(0))).cast("string")).alias("id"),
         stamp.alias("published_utc"),
-        F.substring("text", 1, 80).alias("title"),
+        F.col("text").alias("title"),
         F.col("source").alias("publisher_name"),
         F.when(F.col("doc_id") % 7 == 0, F.lit("[]")).otherwise(F.concat(F.lit('["'), F.upper("lang"), F.lit('"]'))).alias("tickers"),
     )
