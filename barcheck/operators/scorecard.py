@@ -17,12 +17,14 @@ MEASURES = (
 )
 
 
-def data_gate(findings: DataFrame) -> DataFrame:
-    """findings(strategy_id, check, severity) -> data dimension and hard failures."""
-    return findings.groupBy("strategy_id").agg(
-        F.when(F.count_if(F.col("severity") == "FAIL") > 0, F.lit("FAIL")).otherwise(F.lit("WARN")).alias("data_integrity"),
-        F.count_if(F.col("severity") == "FAIL").alias("hard_fails"),
-    )
+def data_gate(findings: DataFrame, strategies: DataFrame | None = None) -> DataFrame:
+    """findings(strategy_id, check, severity) -> data dimension and hard failures; PASS for ``strategies`` without findings."""
+    found = findings.select("strategy_id", "severity")
+    if strategies is not None:
+        found = found.unionByName(strategies.select("strategy_id", F.lit(None).cast("string").alias("severity")))
+    fails = F.count_if(F.col("severity") == "FAIL")
+    state = F.when(fails > 0, F.lit("FAIL")).when(F.count("severity") > 0, F.lit("WARN")).otherwise(F.lit("PASS"))
+    return found.groupBy("strategy_id").agg(state.alias("data_integrity"), fails.alias("hard_fails"))
 
 
 def gates(measures: DataFrame, th: dict = TH) -> DataFrame:
@@ -94,11 +96,11 @@ def flags(sharpes: DataFrame, ablation_of: DataFrame | None = None, keep: float
 
 
 def trials_for_deflation(trial_counts: DataFrame, effective: DataFrame, variance: DataFrame) -> DataFrame:
-    """One row: n_trials = max(logged variants, effective trials, 1) and the variance of the variants' Sharpe ratios."""
+    """Per family: n_trials = max(its logged variants, effective trials, 1) and the variance of the variants' Sharpe ratios."""
     one = F.lit(1).alias("_one")
-    t = trial_counts.agg(F.coalesce(F.max("variants"), F.lit(0)).alias("logged"))
+    t = trial_counts.groupBy("family").agg(F.max("variants").alias("logged"))
     x = t.select("*", one).join(effective.select("effective", one), "_one").join(variance.select("var_sr", one), "_one")
-    return x.select("logged", "effective", F.greatest("logged", "effective", F.lit(1)).cast("double").alias("n_trials"), "var_sr")
+    return x.select("family", "logged", "effective", F.greatest("logged", "effective", F.lit(1)).cast("double").alias("n_trials"), "var_sr")
 
 
 def power_dimension(power: Column, th: dict = TH) -> Column:

@@ -55,7 +55,8 @@ def evaluate(
     pess = at("pessimistic").groupBy("strategy_id").agg(F.avg("net").alias("pessimistic_mean"))
     be = pf.break_even(at("baseline")).select("strategy_id", F.col("cost_multiple").alias("gross_to_cost"))
     eff = multiple.effective_trials(b)
-    logged = trial_counts if trial_counts is not None else eff.select(F.lit(0).alias("variants"))
+    # the job evaluates one family; ``trial_counts`` holds that family's row
+    logged = (trial_counts.agg(F.max("variants").alias("variants")) if trial_counts is not None else eff.select(F.lit(0).alias("variants"))).withColumn("family", F.lit("this"))
     trials = sc.trials_for_deflation(logged, eff, moments.sharpe_variance(b))
     names = weights.select("strategy_id").distinct()
     one = F.lit(1).alias("_one")

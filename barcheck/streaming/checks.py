@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
@@ -29,46 +30,47 @@ def first_bars(bars: DataFrame, lateness: str = "10 minutes") -> DataFrame:
 
 
 def duplicate_counts(bars: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Repeated timestamps per (ticker, minute), with a conflict mark, in append mode."""
-    x = bars.withWatermark("ts", lateness).groupBy(F.window("ts", "1 minute"), "ticker").agg(
+    """Repeated instants per ticker, with a conflict mark, in append mode; two instants of one minute are no duplicates."""
+    x = bars.withWatermark("ts", lateness).groupBy("ticker", "ts").agg(
         F.count("*").alias("n"), *[f(c).alias(f"{c}_{k}") for c in ("open", "high", "low", "close", "volume") for k, f in (("lo", F.min), ("hi", F.max))]
     )
     conflict = F.lit(False)
     for c in ("open", "high", "low", "close", "volume"):
         conflict = conflict | (F.col(f"{c}_lo") != F.col(f"{c}_hi"))
-    return x.where("n > 1").select("ticker", F.col("window.start").alias("minute"), "n", conflict.alias("conflict"))
+    return x.where("n > 1").select("ticker", "ts", "n", conflict.alias("conflict"))
 
 
 def gap_alerts(bars: DataFrame, max_gap_minutes: int = 5, lateness: str = "10 minutes") -> DataFrame:
     """(ticker, session, start, end, minutes) for pauses between consecutive bars of a session.
 
-    State is the last timestamp per (ticker, exchange session) and ends with the watermark, so it never grows with the
-    stream. Rows of one micro-batch are sorted before they meet the state.
+    Timestamps are held until the watermark has passed them, so a late bar within ``lateness`` still closes a pause. State per
+    (ticker, exchange session) is the last settled timestamp and those not yet passed; it ends with the watermark.
     """
     us = max_gap_minutes * 60_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        stamps = sorted({int(v) for pdf in batches for v in pdf["us"]})
-        last = state.get[0] if state.exists else None
-        rows = []
-        for v in stamps:
-            if last is not None and v - last > us:
-                rows.append((key[0], key[1], last, v, (v - last) // 60_000_000))
-            last = v if last is None else max(last, v)
-        state.update((last,))
+        last, held = state.get if state.exists else (None, [])
+        new = [] if state.hasTimedOut else [pdf["us"].to_numpy(np.int64) for pdf in batches]
+        stamps = np.unique(np.concatenate([np.asarray(held, np.int64), *new]))
         mark = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(mark, last // 1000) + 24 * 3600 * 1000)
-        if rows:
-            yield pd.DataFrame(rows, columns=["ticker", "session", "start_us", "end_us", "minutes"])
+        settled, open_ = stamps[stamps <= mark * 1000], stamps[stamps > mark * 1000]
+        chain = settled if last is None else np.concatenate([[last], settled[settled > last]])
+        at = np.flatnonzero(np.diff(chain) > us)
+        last = int(chain[-1]) if len(chain) else None
+        if state.hasTimedOut and not len(open_):
+            state.remove()
+        else:
+            state.update((last, open_.tolist()))
+            state.setTimeoutTimestamp(max(mark, int(stamps[-1]) // 1000 if len(stamps) else mark) + 1)
+        if len(at):
+            start, end = chain[at], chain[at + 1]
+            yield pd.DataFrame({"ticker": key[0], "session": key[1], "start_us": start, "end_us": end, "minutes": (end - start) // 60_000_000})
 
     keyed = bars.withWatermark("ts", lateness).select(
         "ticker", "ts", F.date_format(F.from_utc_timestamp("ts", EXCHANGE_TZ), "yyyy-MM-dd").alias("session"), F.unix_micros("ts").alias("us")
     )
     return keyed.groupBy("ticker", "session").applyInPandasWithState(
-        step, "ticker string, session string, start_us long, end_us long, minutes long", "last long", "append", GroupStateTimeout.EventTimeTimeout
+        step, "ticker string, session string, start_us long, end_us long, minutes long", "last long, held array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
