@@ -80,6 +80,7 @@ class Lattices:
     def __init__(self, v: Vocabulary):
         self.v = v
         pieces = list(v.logs)
+        self.byte_ids = np.array(v.byte_ids, np.int64)
         self.ids = np.array([v.ids[p] for p in pieces], np.int32)
         #: 32 to the length is the same for all segmentations of a unit and keeps products near one.
         self.by_place = np.array([math.exp(x) * 32.0 ** len(p) for p, x in v.logs.items()])
@@ -97,8 +98,10 @@ class Lattices:
         self.first: list[int] = []
         self.last: list[int] = []
         self.nodes = 0
-        self.edges = [np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)]
-        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        #: Per edge its cumulative probability within its end node, the node it comes from and its piece; per node its number of edges.
+        self.edges = [np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.edge = np.zeros(0, np.int64)
 
     def add(self, units: list[str]) -> np.ndarray:
         """Numbers of the units; forward filtering for those that are new."""
@@ -121,6 +124,7 @@ class Lattices:
         if self.new:
             self.edges = [np.concatenate([a, *b]) for a, b in zip(self.edges, zip(*self.new, strict=True), strict=True)]
             self.new = []
+            self.edge = np.cumsum(self.edges[3], dtype=np.int64) - self.edges[3]
         return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
 
     def _filter_group(self, units: list[str], n: int) -> None:
@@ -135,11 +139,12 @@ class Lattices:
             found = self.lookup(h)
             piece[:, k:, k] = np.where(found >= 0, self.ids[found], 0)
             weight[:, k:, k] = np.where(found >= 0, self.by_place[found], 0.0)
-        #: A character without a piece of its own may be spelled in bytes; -1 - c stands for it.
+        #: A character without a piece of its own is spelled in bytes; -1 - c stands for it if there are several.
         spelled = weight[:, 1:, 1] == 0
         long = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
         weight[:, 1:, 1] = np.where(spelled, 32.0 * np.exp(self.v.byte_log * long), weight[:, 1:, 1])
-        piece[:, 1:, 1] = np.where(spelled, -1 - codes.astype(np.int64), piece[:, 1:, 1])
+        one = self.byte_ids[np.minimum(codes, 0x7F)]
+        piece[:, 1:, 1] = np.where(spelled, np.where(long == 1, one, -1 - codes.astype(np.int64)), piece[:, 1:, 1])
         f = np.ones((rows, n + 1))
         for j in range(1, n + 1):
             m = min(j, longest)
@@ -148,13 +153,15 @@ class Lattices:
             if j % 8 == 0:
                 #: Only ratios of neighbouring values matter, so they are brought back to the range of floats.
                 f[:, max(0, j - longest) : j + 1] /= f[:, j : j + 1]
-        cum = np.cumsum(weight[:, 1:], axis=2)
+        #: Long pieces first: they are the likelier ones.
+        weight, piece = weight[:, 1:, :0:-1], piece[:, 1:, :0:-1]
+        cum = np.cumsum(weight, axis=2)
         base = self.nodes + (n + 1) * np.arange(rows)
-        node = base[:, None] + np.arange(1, n + 1)
-        place = cum / cum[:, :, -1:] + node[:, :, None]
-        some = weight[:, 1:] > 0
-        back = node[:, :, None] - np.arange(longest + 1)
-        self.new.append((place[some], back[some].astype(np.int32), piece[:, 1:][some]))
+        some = weight > 0
+        back = (base[:, None] + np.arange(1, n + 1))[:, :, None] - np.arange(longest, 0, -1)
+        number = np.zeros((rows, n + 1), np.int32)
+        number[:, 1:] = some.sum(axis=2)
+        self.new.append(((cum / cum[:, :, -1:])[some], back[some].astype(np.int32), piece[some], number.ravel()))
         self.first += base.tolist()
         self.last += (base + n).tolist()
         self.nodes += rows * (n + 1)
@@ -174,20 +181,22 @@ class Lattices:
     def _filter(self, u: str) -> None:
         """Forward filtering of one long unit, with logarithms."""
         n, base = len(u), self.nodes
-        cum, prev, piece = [], [], []
+        cum, prev, piece, number = [], [], [], [0]
         ids, longest, logs = self.v.ids, self.v.longest, self.v.logs
         f = [0.0] * (n + 1)
         for j in range(1, n + 1):
             found = [(i, f[i] + logs[u[i:j]], ids[u[i:j]]) for i in range(max(0, j - longest), j) if u[i:j] in logs]
             if u[j - 1] not in ids:
-                found.append((j - 1, f[j - 1] + self.v.byte_log * len(u[j - 1].encode("utf-8", "surrogatepass")), -1 - ord(u[j - 1])))
+                c = ord(u[j - 1])
+                found.append((j - 1, f[j - 1] + self.v.byte_log * len(u[j - 1].encode("utf-8", "surrogatepass")), self.v.byte_ids[c] if c < 0x80 else -1 - c))
             top = max(x for _, x, _ in found)
             part = np.cumsum([math.exp(x - top) for _, x, _ in found])
             f[j] = top + math.log(part[-1])
-            cum += (base + j + part / part[-1]).tolist()
+            cum += (part / part[-1]).tolist()
+            number.append(len(found))
             prev += [base + i for i, _, _ in found]
             piece += [p for _, _, p in found]
-        self.new.append((np.array(cum), np.array(prev, np.int32), np.array(piece, np.int32)))
+        self.new.append((np.array(cum), np.array(prev, np.int32), np.array(piece, np.int32), np.array(number, np.int32)))
         self.first.append(base)
         self.last.append(base + n)
         self.nodes = base + n + 1
@@ -195,14 +204,18 @@ class Lattices:
     def sample(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling for all units at once: (pieces in text order, pieces per unit). ``key`` seeds each unit."""
         start, at = np.array(self.first, np.int64)[unit], np.array(self.last, np.int64)[unit]
-        cum, prev, piece = self.edges
+        cum, prev, piece, _ = self.edges
         open_ = np.arange(len(unit))
         taken: list[tuple[np.ndarray, np.ndarray]] = []
         count = np.zeros(len(unit), np.int64)
         step = 0
         while len(open_):
             u = uniform(key[open_], step)
-            e = np.searchsorted(cum, np.minimum(at[open_] + u, np.nextafter(at[open_] + 1.0, 0)), side="right")
+            e = self.edge[at[open_]]
+            on = np.flatnonzero(cum[e] <= u)
+            while len(on):
+                e[on] += 1
+                on = on[cum[e[on]] <= u[on]]
             taken.append((open_, piece[e]))
             count[open_] += 1
             at[open_] = prev[e]
