@@ -18,9 +18,9 @@ K, K1, B = 10, 1.2, 0.75
 SHARD_DOCS, SHARD_POSTINGS, BLOCK = 16_384, 3_000_000, 64
 #: Terms in at least one of DENSE documents of a shard are kept as rows of a matrix instead of lists.
 DENSE = 16
-#: Query terms that are broadcast at a time (16 bytes each), queries scored against a matrix at a time, and the part of
-#: the shards that is searched first for a lower bound of each query's k-th score.
-QUERY_TERMS, QUERY_ROWS, FIRST = 1_000_000, 64, 16
+#: Query terms that are broadcast at a time (16 bytes each), queries scored against a matrix at a time, and the number of
+#: shards that are searched first; every later phase takes in GROW times as many.
+QUERY_TERMS, QUERY_ROWS, FIRST, GROW = 1_000_000, 64, 4, 4
 
 _INDEX = "shard long, n_docs long, n_words long, doc_ids binary, lengths binary, terms array<long>, dfs array<int>, docs binary, tfs binary"
 
@@ -199,6 +199,15 @@ def _searched(index: DataFrame, block: Block, mean: float, k: int) -> DataFrame:
     return index.mapInArrow(run, "query_id long, doc_id long, score double")
 
 
+def _phases(shards: int) -> list[float]:
+    """Ends of the parts of the shards that are searched one after the other; the last one is 1."""
+    ends, n = [], FIRST
+    while n < shards:
+        ends.append(n / shards)
+        n *= GROW
+    return [*ends, 1.0]
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -209,8 +218,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     A query is the set of words of its whole text; the score is BM25 under the statistics of all documents; equal
     scores (to nine digits) are ordered by doc_id. The queries are taken in blocks of a bounded number of terms, the only
-    thing that is broadcast. A sixteenth of the shards gives each query a lower bound of its k-th score, with which
-    the others skip the blocks of documents that cannot reach it; the result is exact.
+    thing that is broadcast. A few shards give each query a lower bound of its k-th score, with which the next, larger
+    part of the shards skips the blocks of documents that cannot reach it, and so on; a query then sends about k * GROW
+    rows per phase, however many shards there are. The result is exact.
 
     NULL and empty texts match nothing, as documents and as queries. Rows without a doc_id count in the statistics but
     cannot be named, so they are not returned; queries without one are left out. Repeated documents are results of
@@ -227,7 +237,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     blocks = max(1, math.ceil(asked.count() / QUERY_TERMS))
     known = asked.join(df, "term").select("query_id", "term", weight.alias("w"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
     packed = cut_lineage(known.groupBy("block", "query_id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("t")))
-    first = F.pmod(F.xxhash64("shard"), F.lit(FIRST)) == 0
+    place = F.pmod(F.xxhash64("shard"), F.lit(1 << 20)) / (1 << 20)
+    ends = _phases(index.count())
     out = None
     for b in range(blocks):
         #: At most about QUERY_TERMS terms, whatever the number of queries.
@@ -237,13 +248,15 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         sizes = np.array([len(x) for x in t["term"]], np.int64)
         flat = [t[c].combine_chunks().flatten().to_numpy() for c in ("term", "w")]
         block = Block(t["query_id"].to_numpy(), sizes, flat[0], flat[1], np.full(len(sizes), 0.0))
-        head = cut_lineage(_top(_searched(index.where(first), block, mean, k), k))
-        bound = {r["query_id"]: r["s"] for r in head.where(F.col("rank") == k).select("query_id", F.col("score").alias("s")).collect()}
-        block = Block(block.ids, sizes, flat[0], flat[1], np.array([bound.get(i, 0.0) for i in block.ids.tolist()]))
-        rest = _searched(index.where(~first), block, mean, k)
-        part = _top(head.drop("rank").union(rest), k)
-        part = part if blocks == 1 else cut_lineage(part)
-        out = part if out is None else out.union(part)
+        best = None
+        for low, high in zip([0.0, *ends], ends):
+            found = _searched(index.where((place >= low) & (place < high)), block, mean, k)
+            best = cut_lineage(_top(found if best is None else found.union(best.drop("rank")), k))
+            if high < 1.0:
+                #: One number for each query of the block.
+                bound = {r["query_id"]: r["s"] for r in best.where(F.col("rank") == k).select("query_id", F.col("score").alias("s")).collect()}
+                block.bounds = np.array([bound.get(i, 0.0) for i in block.ids.tolist()])
+        out = best if out is None else out.union(best)
     if out is None:
         return spark.createDataFrame([], "query_id long, doc_id long, rank int, score double")
     return out.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))

@@ -28,7 +28,7 @@ def brute(docs, queries, k):
 def test_equals_brute_force_over_shards_and_query_blocks(make, monkeypatch, shard, terms):
     monkeypatch.setattr(op, "SHARD_DOCS", shard)
     monkeypatch.setattr(op, "QUERY_TERMS", terms)
-    monkeypatch.setattr(op, "FIRST", 3)
+    monkeypatch.setattr(op, "FIRST", 2)
     monkeypatch.setattr(op, "BLOCK", 8)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
