@@ -75,7 +75,7 @@ def _halves(spark, folder):
     cut = r.agg(F.floor(F.max("t") * 2 / 3)).scalar()
     dev = moments.sharpe_table(r.where(F.col("t") < cut)).withColumnRenamed("sharpe", "dev_sharpe")
     oos = r.where(F.col("t") >= cut)
-    p = rs.sign_flip_pvalue(oos, 64, sq.SEED).withColumnRenamed("p", "oos_p")
+    p = rs.sign_flip_pvalue(oos, sq.FLIPS, sq.SEED).withColumnRenamed("p", "oos_p")
     o = moments.sharpe_table(oos).withColumnRenamed("sharpe", "oos_sharpe")
     pess = moments.sharpe_table(oos.withColumn("r", F.col("r") - 2e-5)).withColumnRenamed("sharpe", "pess_sharpe")
     return sc.out_of_sample(dev.join(o, "strategy_id").join(p, "strategy_id").join(pess, "strategy_id"))
@@ -85,7 +85,7 @@ OOS = (
     q.VARIANTS, "ct AS (SELECT floor(max(t) * 2 / 3) AS c FROM vr)",
     "dv AS (SELECT strategy_id, avg(r) / stddev_samp(r) * sqrt(252) AS d FROM vr, ct WHERE t < c GROUP BY 1)", "ov AS (SELECT vr.* FROM vr, ct WHERE t >= c)",
     "os AS (SELECT strategy_id, avg(r) / stddev_samp(r) * sqrt(252) AS o, avg(r - 2e-5) / stddev_samp(r - 2e-5) * sqrt(252) AS pe, sum(r) AS tot FROM ov GROUP BY 1)",
-    f"fx AS (SELECT t, g, ('0x' || substr(md5(concat_ws('|', '{sq.SEED}', 'flip', g, t)), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT t FROM ov), LATERAL (SELECT unnest(range(2)) AS g))",
+    f"fx AS (SELECT t, g, ('0x' || substr(md5(concat_ws('|', '{sq.SEED}', 'flip', g, t)), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT t FROM ov), LATERAL (SELECT unnest(range({sq.FLIPS // 32})) AS g))",
     "fb AS (SELECT t, g, j, CASE WHEN (h >> j) & 1 = 1 THEN 1 ELSE -1 END AS s FROM fx, LATERAL (SELECT unnest(range(32)) AS j))",
     "fn AS (SELECT strategy_id, g, j, sum(s * r) AS x FROM ov JOIN fb USING (t) GROUP BY 1, 2, 3)",
     "fp AS (SELECT strategy_id, (1 + count(*) FILTER (x >= tot)) / (1 + count(*)) AS p FROM fn JOIN os USING (strategy_id) GROUP BY 1)",

@@ -16,7 +16,7 @@ from . import sqltext as q
 from .integrity_queries import _round
 from .portfolio_queries import BASE, VARIANTS, _panel, engine_sql, momentum_sql, _terminal
 
-B, BLOCK, SEED = 40, 10, 7
+B, BLOCK, SEED = 1000, 10, 7
 N_TRIALS = 50.0
 
 
@@ -142,7 +142,7 @@ EFF_SQL = (
 )
 
 SHIFT_SCEN = [scenario("base")]
-DRAWS = 60
+DRAWS = 1000
 
 
 def _shift_accounts(spark, folder):
@@ -167,7 +167,7 @@ SHIFT_SQL = (
     + "SELECT strategy_id, round(any_value(o.m), 6) AS observed, round((1 + count(*) FILTER (sm.m >= o.m)) / (1 + count(*)), 6) AS p, round(avg(sm.m), 6) AS null_avg FROM sm JOIN"
     " (SELECT strategy_id, m FROM sm WHERE i < 0) o USING (strategy_id) WHERE i >= 0 GROUP BY 1"
 )
-FLIPS = 96
+FLIPS = 5024
 FLIP_SQL = (
     q.with_ctes(q.VARIANTS, f"fx AS (SELECT t, g, ('0x' || substr(md5(concat_ws('|', '{SEED}', 'flip', g, t)), 1, 8))::BIGINT AS h FROM (SELECT DISTINCT t FROM vr), LATERAL (SELECT"
                 f" unnest(range({FLIPS // 32})) AS g))", "fb AS (SELECT t, g, j, CASE WHEN (h >> j) & 1 = 1 THEN 1 ELSE -1 END AS s FROM fx, LATERAL (SELECT unnest(range(32)) AS j))",
