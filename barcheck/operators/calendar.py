@@ -1,6 +1,7 @@
 """Trading calendar of the New York exchange.
 
-The rules give the special days of 1971-2100 (about 1,500 dates, a fixed size). They enter a plan as one small relation that
+The rules and the unscheduled closures give the special days of 1985-2100 (about 1,300 dates, a fixed size); days outside
+are UNKNOWN, never guessed. They enter a plan as one small relation that
 Spark broadcasts by its own size check; a day's kind is then a lookup, and no rule is evaluated per bar.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..constants import ADHOC_CLOSURES, ADHOC_EARLY_CLOSES, EXCHANGE_TZ, MARKETS
 
 MON, TUE, WED, THU, FRI = range(5)
-FIRST_DAY, LAST_DAY = date(1971, 1, 1), date(2100, 12, 31)
+FIRST_DAY, LAST_DAY = date(1985, 1, 1), date(2100, 12, 31)
 
 
 class UnknownMarket(ValueError):
@@ -100,12 +101,13 @@ def special_days(spark: SparkSession) -> DataFrame:
 
 
 def with_kind(df: DataFrame, col: str = "date") -> DataFrame:
-    """Adds ``kind``: TRADING, EARLY_CLOSE, WEEKEND or HOLIDAY."""
+    """Adds ``kind``: TRADING, EARLY_CLOSE, WEEKEND, HOLIDAY, or UNKNOWN for a weekday outside the verified years."""
     x = df.join(special_days(df.sparkSession).withColumnRenamed("date", col), col, "left")
     kind = (
         F.when(F.weekday(col) >= 5, F.lit("WEEKEND"))
         .when(F.col("special") == "H", F.lit("HOLIDAY"))
         .when(F.col("special") == "E", F.lit("EARLY_CLOSE"))
+        .when(~F.col(col).between(F.lit(FIRST_DAY), F.lit(LAST_DAY)), F.lit("UNKNOWN"))
         .otherwise(F.lit("TRADING"))
     )
     return x.withColumn("kind", kind).drop("special")
@@ -154,7 +156,7 @@ def sessions(days: DataFrame) -> DataFrame:
 
 
 def session_table(spark: SparkSession) -> DataFrame:
-    """All sessions of 1971-2100 with their window: a dimension of fixed size (33k rows) that Spark broadcasts by its
+    """All sessions of 1985-2100 with their window: a dimension of fixed size (29k rows) that Spark broadcasts by its
     own size check. Looking a bar's session up here is cheaper than evaluating the rules on every bar."""
     days = spark.range((LAST_DAY - FIRST_DAY).days + 1).select(F.date_add(F.lit(FIRST_DAY), F.col("id").cast("int")).alias("date"))
     w = session_windows(days)

@@ -38,11 +38,17 @@ class DailySessions:
         return as_gaps(runs, self.dataset_id, CHECK, "MISSING_SESSION_MARKETWIDE", MATERIAL, detail, start=F.col("a"), end=F.col("b"), n=F.col("n"))
 
     def non_trading_days(self) -> DataFrame:
-        off = self.per_date.where(f"NOT {cal.SESSION}")
+        off = self.per_date.where(f"NOT {cal.SESSION} AND kind <> 'UNKNOWN'")
         detail = F.format_string("%d bars on a closed day (%s): calendar or provider is wrong", "bars", "kind")
         d = F.col("date")
         return as_gaps(off, self.dataset_id, CHECK, "DATA_ON_NON_TRADING_DAY", MATERIAL, detail, start=d, end=d)
 
+    def unknown_days(self) -> DataFrame:
+        """Days with bars outside the years the calendar is verified for: nothing can be said about them."""
+        x = self.per_date.where("kind = 'UNKNOWN'")
+        d = F.col("date")
+        return as_gaps(x, self.dataset_id, CHECK, "CALENDAR_UNKNOWN", MATERIAL, F.format_string("%d bars outside the verified calendar", "bars"), start=d, end=d)
+
     def partial_sessions(self) -> DataFrame:
         cov = self.per_date.where(cal.SESSION)
         med = cov.agg(F.median("tickers")).scalar()
@@ -154,7 +160,7 @@ class DailySessions:
 
     # ------------------------------------------------------------ all, statistics
     def gaps(self, master: DataFrame | None = None) -> DataFrame:
-        parts = [self.marketwide_missing(), self.non_trading_days(), self.partial_sessions(), self.ticker_gaps()]
+        parts = [self.marketwide_missing(), self.non_trading_days(), self.unknown_days(), self.partial_sessions(), self.ticker_gaps()]
         if master is not None:
             parts.append(self.listing_gaps(master))
         return union_all(parts)

@@ -116,22 +116,28 @@ def leaky_full_sample_scale(panel: DataFrame, base: dict, target: float = 0.02)
 # ------------------------------------------------------------------ noise family
 
 
-def noise_family(panel: DataFrame, variants: int, rebalance: int = 5, phi: float = 0.97, shock: float = 0.25, reach: int = 200) -> DataFrame:
-    """Weights of many signals without information: smoothed keyed noise per (variant, name), held between rebalances.
+def noise_scores(panel: DataFrame, variants: int, phi: float = 0.97, shock: float = 0.25, chunk: int = 200) -> DataFrame:
+    """(v, t, ticker, score): smoothed keyed noise per (variant, name).
 
-    The smoothing sums the last ``reach`` shocks with weights phi^lag (the rest is below 0.3 % of the variance), so it is a
-    bounded frame and no recursion; every shock depends on its key only.
+    A score is the sum of all shocks so far with weights phi^lag. Each chunk of bars sums its own shocks; the states at the
+    ends of the chunks before it, one number each, carry over exactly. Every shock depends on its key only.
     """
     cells = panel.where("alive").select("t", "ticker")
     x = cells.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
     x = x.withColumn("e", gaussian("noise", F.col("v"), F.col("ticker"), F.col("t")) * shock)
-    block = F.floor(F.col("t") / F.lit(reach))
-    # frames start anew every two blocks, so the scaled powers stay within range
-    x = x.withColumn("b", F.explode(F.array(block, block + 1)))
-    scaled = F.col("e") * F.pow(F.lit(phi), -(F.col("t") - (F.col("b") - 1) * reach))
-    w = Window.partitionBy("v", "ticker", "b").orderBy("t").rangeBetween(-reach, 0)
-    x = x.withColumn("score", F.sum(scaled).over(w) * F.pow(F.lit(phi), F.col("t") - (F.col("b") - 1) * reach))
-    x = x.where((F.floor(F.col("t") / F.lit(reach)) == F.col("b")) & (F.col("t") % rebalance == 0))
+    x = x.withColumn("b", F.floor(F.col("t") / F.lit(chunk))).withColumn("o", F.col("t") - F.col("b") * chunk)
+    ends = x.groupBy("v", "ticker", "b").agg(F.sum(F.col("e") * F.pow(F.lit(phi), chunk - 1 - F.col("o"))).alias("end"))
+    before = F.collect_list(F.struct("b", "end")).over(Window.partitionBy("v", "ticker").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+    state = F.aggregate("before", F.lit(0.0), lambda s, z: s + z["end"] * F.pow(F.lit(phi), (F.col("b") - 1 - z["b"]) * chunk))
+    carry = ends.withColumn("before", before).select("v", "ticker", "b", state.alias("carry"))
+    scaled = F.sum(F.col("e") * F.pow(F.lit(phi), -F.col("o"))).over(Window.partitionBy("v", "ticker", "b").orderBy("o"))
+    x = x.withColumn("own", scaled * F.pow(F.lit(phi), F.col("o"))).join(carry, ["v", "ticker", "b"])
+    return x.select("v", "t", "ticker", (F.col("own") + F.col("carry") * F.pow(F.lit(phi), F.col("o") + 1)).alias("score"))
+
+
+def noise_family(panel: DataFrame, variants: int, rebalance: int = 5) -> DataFrame:
+    """Weights of many signals without information: noise scores, held between rebalances."""
+    x = noise_scores(panel, variants).where(F.col("t") % rebalance == 0)
     x = x.select(F.format_string("noise%04d", F.col("v")).alias("strategy_id"), "t", "ticker", "score")
     book = from_score(x)
     last = panel.agg(F.max("t")).scalar()
