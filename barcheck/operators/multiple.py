@@ -50,7 +50,7 @@ MOST_SLICES = 16
 def pbo(returns: DataFrame, slices: int = MOST_SLICES, r: str = "r") -> DataFrame:
     """Probability of backtest overfitting by symmetric cross-validation: one row (pbo, n_combos, variants).
 
-    Every variant is reduced to count, sum and square sum per slice; a split of the slices is then 16 additions, whatever
+    Every variant is reduced to count, sum and square sum per slice; a split of the slices is then a few additions, whatever
     the number of bars. All splits are taken, 12,870 for 16 slices, as bit masks. There are at most as many slices as
     bars, and an even number of them; ``slices`` above MOST_SLICES is refused. With fewer than two variants nothing can be
     overfitted: pbo is NULL and n_combos 0.
@@ -69,17 +69,18 @@ def pbo(returns: DataFrame, slices: int = MOST_SLICES, r: str = "r") -> DataFram
     per += [F.sum(F.when(F.col("s") == i, F.col("r") * F.col("r")).otherwise(0.0)).alias(f"b{i}") for i in range(s)]
     v = x.groupBy("strategy_id").agg(*per)
     chosen = F.filter(F.sequence(F.lit(0), F.lit((1 << s) - 1)), lambda m: F.bit_count(m) == s // 2)
-    y = v.withColumn("mask", F.explode(chosen))
-
-    def ratio(inside: bool):
-        on = lambda i: (F.col("mask").bitwiseAND(F.lit(1 << i)) != 0) if inside else (F.col("mask").bitwiseAND(F.lit(1 << i)) == 0)
-        tot = lambda c: sum((F.when(on(i), F.col(f"{c}{i}")).otherwise(0.0) for i in range(s)), F.lit(0.0))
-        return tot("n"), tot("a"), tot("b")
+    # sums over the slices of every low and every high half of a mask, once per variant; a split then adds two of them
+    half = s // 2
 
-    def named(prefix: str, parts):
-        return {f"{prefix}{k}": c for k, c in zip("nab", parts)}
+    def halves(c: str, first: int):
+        own = [F.col(f"{c}{first + i}") for i in range(half)]
+        pick = lambda m: sum((F.when(F.getbit(m, F.lit(i)) == 1, x).otherwise(0.0) for i, x in enumerate(own)), F.lit(0.0))
+        return F.transform(F.sequence(F.lit(0), F.lit((1 << half) - 1)), pick)
 
-    y = y.select("strategy_id", "mask", *[c.alias(k) for k, c in {**named("i", ratio(True)), **named("o", ratio(False))}.items()])
+    v = v.select("strategy_id", *[halves(c, k * half).alias(f"{c}_{k}") for c in "nab" for k in (0, 1)], *[sum(F.col(f"{c}{i}") for i in range(s)).alias(f"{c}_all") for c in "nab"])
+    y = v.withColumn("mask", F.explode(chosen))
+    inside = {c: F.element_at(f"{c}_0", F.col("mask").bitwiseAND(F.lit((1 << half) - 1)) + 1) + F.element_at(f"{c}_1", F.shiftright("mask", half) + 1) for c in "nab"}
+    y = y.select("strategy_id", "mask", *[x.alias(f"i{c}") for c, x in inside.items()], *[(F.col(f"{c}_all") - x).alias(f"o{c}") for c, x in inside.items()])
 
     def sr(p: str):
         n, a, b = F.col(f"{p}n"), F.col(f"{p}a"), F.col(f"{p}b")
