@@ -20,7 +20,11 @@ LANDMARKS, BACKGROUND, NEGATIVES, HARD = 160, 16, 20_000, 5_000
 #: are numbered by a hash of SLOTS values for each length.
 SPAN, DECAY, CODES, PIECE = 7, 0.6, 64, 32
 SLOTS = 1 << 18
+#: Words whose kernel rows, and words whose decision values, are worked out together.
+ROWS, WORDS = 512, 20_000
 CUT = 0.3
+#: Characters whose words are held and decided together.
+STEP_CHARS = 2_000_000
 #: Least log-likelihood ratio of a word that counts as toxic by itself: chance gives it to one word in 400,000.
 EXCESS = 13.0
 
@@ -121,10 +125,11 @@ class Kernel:
         owner, groups = _pieces(words)
         k = np.zeros((len(owner), len(self.landmarks)))
         for rows, codes in groups:
-            part = np.zeros((len(rows), len(self.landmarks)))
-            for t, w in _runs(codes):
-                part += w * self.features[self.index[t]].sum(axis=1)
-            k[rows] = part / _scale(codes.shape[1])
+            for i in range(0, len(rows), ROWS):
+                part = np.zeros((len(rows[i : i + ROWS]), len(self.landmarks)))
+                for t, w in _runs(codes[i : i + ROWS]):
+                    part += w * self.features[self.index[t]].sum(axis=1)
+                k[rows[i : i + ROWS]] = part / _scale(codes.shape[1])
         if len(owner) == len(words):
             return k
         out = np.zeros((len(words), len(self.landmarks)))
@@ -146,6 +151,8 @@ class Model:
     shift: float
 
     def decide(self, words: list[str]) -> np.ndarray:
+        if len(words) > WORDS:
+            return np.concatenate([self.decide(words[i : i + WORDS]) for i in range(0, len(words), WORDS)])
         owner, groups = _pieces(words)
         f = np.zeros(len(owner))
         for rows, codes in groups:
@@ -161,7 +168,7 @@ class Model:
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     """Weights (the last one is the bias) of a linear machine with squared hinge loss, by damped Newton steps on the primal."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     unit = np.full(x.shape[1], ridge)
     unit[-1] = 1e-6
 
@@ -171,9 +178,14 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -
     w = np.zeros(x.shape[1])
     now = loss(w)
     for _ in range(50):
-        active = y * (x @ w) < 1
-        a, s = x[active], weight[active]
-        step = np.linalg.solve(a.T @ (a * s[:, None]) + np.diag(unit), a.T @ (s * y[active])) - w
+        h, g = np.diag(unit), np.zeros(len(w))
+        active = np.flatnonzero(y * (x @ w) < 1)
+        for i in range(0, len(active), 4096):
+            rows = active[i : i + 4096]
+            a = x[rows].astype(np.float64)
+            h += a.T @ (a * weight[rows, None])
+            g += a.T @ (weight[rows] * y[rows])
+        step = np.linalg.solve(h, g) - w
         t = 1.0
         while t > 1e-4 and (new := loss(w + t * step)) >= now:
             t /= 2
@@ -313,10 +325,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
 
     #: The sample has a fixed bound, so it is broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("y", "text").mapInArrow(run, "y int, words array<string>")
-    bags = sorted(((r["words"], int(r["y"] > 0)) for r in rows.toLocalIterator()), key=lambda x: (x[0][:3], len(x[0]), x[1]))
+    #: One string object for each distinct word, whatever the number of documents that have it.
+    pool: dict[str, str] = {}
+    bags = [([pool.setdefault(w, w) for w in r["words"]], int(r["y"] > 0)) for r in rows.toLocalIterator()]
+    bags.sort(key=lambda x: (x[0][:3], len(x[0]), x[1]))
     return fit([(set(w), y) for w, y in bags])
 
 
+def _best_words(model: Model, bags: list[set[str]]) -> list[float]:
+    """Decision value of the most toxic word of each bag; every distinct word is decided once."""
+    words = list(set().union(*bags))
+    f = dict(zip(words, model.decide(words).tolist(), strict=True)) if words else {}
+    return [max(map(f.__getitem__, b), default=-2.0) for b in bags]
+
+
 def score_texts(docs: DataFrame, model: Model | None, text: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` with a column ``out`` (0 to 1): the probability of its most toxic word. A column of that name is replaced.
 
@@ -329,11 +351,15 @@ def score_texts(docs: DataFrame, model: Model | None, text: str = "text", out: s
 
     @F.pandas_udf("double")
     def score(texts):
-        bags = [units(t) for t in texts]
-        words = list(set().union(*bags))
-        f = dict(zip(words, model.decide(words).tolist(), strict=True)) if words else {}
-        best = np.array([max(map(f.__getitem__, b), default=-2.0) for b in bags])
-        return type(texts)(model.probability(best))
+        best, bags, size = [], [], 0
+        for t in texts:
+            bags.append(units(t))
+            size += len(t or "")
+            if size >= STEP_CHARS:
+                best += _best_words(model, bags)
+                bags, size = [], 0
+        best += _best_words(model, bags)
+        return type(texts)(model.probability(np.array(best, float)))
 
     return docs.withColumn(out, score(F.col(text)))
 
