@@ -18,7 +18,7 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, ALPHA = 20_240_604, 1.0
 #: Characters that one step works on, and lattice nodes that are remembered; both bound a task's memory.
-STEP_CHARS, MOST_NODES = 1_000_000, 3_000_000
+STEP_CHARS, MOST_NODES = 700_000, 1_200_000
 #: Units up to this length are filtered GROUP at a time with plain weights, longer ones with logarithms.
 PLAIN, GROUP = 64, 4096
 
@@ -98,10 +98,10 @@ class Lattices:
         self.first: list[int] = []
         self.last: list[int] = []
         self.nodes = 0
-        #: Per edge its cumulative probability within its end node, the node it comes from and its piece; per node its number of edges.
-        self.edges = [np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)]
+        #: Per edge its cumulative probability within its end node, its length and its piece; per node its number of edges.
+        self.edges = [np.zeros(0, np.float32), np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.uint8)]
         self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        self.edge = np.zeros(0, np.int64)
+        self.edge = np.zeros(0, np.int32)
 
     def add(self, units: list[str]) -> np.ndarray:
         """Numbers of the units; forward filtering for those that are new."""
@@ -124,7 +124,7 @@ class Lattices:
         if self.new:
             self.edges = [np.concatenate([a, *b]) for a, b in zip(self.edges, zip(*self.new, strict=True), strict=True)]
             self.new = []
-            self.edge = np.cumsum(self.edges[3], dtype=np.int64) - self.edges[3]
+            self.edge = np.cumsum(self.edges[3], dtype=np.int32) - self.edges[3]
         return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
 
     def _filter_group(self, units: list[str], n: int) -> None:
@@ -158,10 +158,10 @@ class Lattices:
         cum = np.cumsum(weight, axis=2)
         base = self.nodes + (n + 1) * np.arange(rows)
         some = weight > 0
-        back = (base[:, None] + np.arange(1, n + 1))[:, :, None] - np.arange(longest, 0, -1)
-        number = np.zeros((rows, n + 1), np.int32)
+        back = np.broadcast_to(np.arange(longest, 0, -1, dtype=np.uint8), some.shape)
+        number = np.zeros((rows, n + 1), np.uint8)
         number[:, 1:] = some.sum(axis=2)
-        self.new.append(((cum / cum[:, :, -1:])[some], back[some].astype(np.int32), piece[some], number.ravel()))
+        self.new.append(((cum / cum[:, :, -1:])[some].astype(np.float32), back[some], piece[some], number.ravel()))
         self.first += base.tolist()
         self.last += (base + n).tolist()
         self.nodes += rows * (n + 1)
@@ -181,7 +181,7 @@ class Lattices:
     def _filter(self, u: str) -> None:
         """Forward filtering of one long unit, with logarithms."""
         n, base = len(u), self.nodes
-        cum, prev, piece, number = [], [], [], [0]
+        cum, back, piece, number = [], [], [], [0]
         ids, longest, logs = self.v.ids, self.v.longest, self.v.logs
         f = [0.0] * (n + 1)
         for j in range(1, n + 1):
@@ -194,9 +194,9 @@ class Lattices:
             f[j] = top + math.log(part[-1])
             cum += (part / part[-1]).tolist()
             number.append(len(found))
-            prev += [base + i for i, _, _ in found]
+            back += [j - i for i, _, _ in found]
             piece += [p for _, _, p in found]
-        self.new.append((np.array(cum), np.array(prev, np.int32), np.array(piece, np.int32), np.array(number, np.int32)))
+        self.new.append((np.array(cum, np.float32), np.array(back, np.uint8), np.array(piece, np.int32), np.array(number, np.uint8)))
         self.first.append(base)
         self.last.append(base + n)
         self.nodes = base + n + 1
@@ -204,7 +204,7 @@ class Lattices:
     def sample(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling for all units at once: (pieces in text order, pieces per unit). ``key`` seeds each unit."""
         start, at = np.array(self.first, np.int64)[unit], np.array(self.last, np.int64)[unit]
-        cum, prev, piece, _ = self.edges
+        cum, back, piece, _ = self.edges
         open_ = np.arange(len(unit))
         taken: list[tuple[np.ndarray, np.ndarray]] = []
         count = np.zeros(len(unit), np.int64)
@@ -218,7 +218,7 @@ class Lattices:
                 on = on[cum[e[on]] <= u[on]]
             taken.append((open_, piece[e]))
             count[open_] += 1
-            at[open_] = prev[e]
+            at[open_] -= back[e]
             open_ = open_[at[open_] > start[open_]]
             step += 1
         end = np.cumsum(count)
