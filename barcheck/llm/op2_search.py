@@ -21,6 +21,8 @@ DENSE = 16
 #: Query terms that are broadcast at a time (16 bytes each), queries scored against a matrix at a time, and the number of
 #: shards that are searched first; every later phase takes in GROW times as many.
 QUERY_TERMS, QUERY_ROWS, FIRST, GROW = 1_000_000, 64, 4, 4
+#: Bounds are scores rounded to nine digits, upper bounds of blocks are not; a block is skipped only below this slack.
+SLACK = 1e-8
 
 _INDEX = "shard long, n_docs long, n_words long, doc_ids binary, lengths binary, terms array<long>, dfs array<int>, docs binary, tfs binary"
 
@@ -156,7 +158,7 @@ class Shard:
         #: Blocks in the order of their bounds, in growing steps, until no bound reaches the k-th score so far.
         while done < len(order):
             take = order[done : done + step]
-            take = take[upper[take] >= max(bound, 1e-12)]
+            take = take[upper[take] >= max(bound - SLACK, 1e-12)]
             if not len(take):
                 break
             live = np.zeros(self.n_blocks, bool)

@@ -44,3 +44,20 @@ def test_edges(make, edges):
     assert {tuple(r) for r in op.search(make([e for e in edges if e[0] != 4]), make(asked), 3).collect()} == brute([e for e in edges if e[0] != 4], asked, 3)
     assert op.search(make([]), make([(1, "a")])).count() == 0
     assert op.search(make([(1, "a")]), make([])).count() == 0
+
+
+def test_copies_whose_score_rounds_up_keep_the_smallest_ids(make, monkeypatch):
+    monkeypatch.setattr(op, "SHARD_DOCS", 150)
+    monkeypatch.setattr(op, "BLOCK", 8)
+    copy, n_copies = "alpha beta gamma", 3_000
+
+    def score(others):
+        n, size = n_copies + others, 3
+        mean = (n_copies * size + others * 2) / n
+        return 3 * math.log(1 + (n - n_copies + 0.5) / (n_copies + 0.5)) * (op.K1 + 1) / (1 + op.K1 * (1 - op.B + op.B * size / mean))
+
+    others = next(n for n in range(500, 600) if round(score(n), 9) > score(n) + 2e-10)
+    rows = [(i, copy) for i in range(n_copies)] + [(n_copies + i, f"x{i} y{i}") for i in range(others)]
+    random.Random(11).shuffle(rows)
+    got = op.search(make(rows, 4), make([(7, copy)]), 10).collect()
+    assert sorted((r["rank"], r["doc_id"]) for r in got) == [(i + 1, i) for i in range(10)]
