@@ -12,10 +12,18 @@ from .common import cut_lineage, table
 
 #: Candidates: long runs of letters, digits and the characters of keys, or what a word for a secret is set to.
 CANDIDATE = r"[A-Za-z0-9_+/=.\-]{16,}"
+KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "credential", "bearer", "auth")
+#: What a word for a secret is set to, of any length: the word and the rest of its name (camel or snake case, or a plural),
+#: = or :, and a value in quotes or up to the next blank, without the quotes and commas that end it there.
+SET_BY = r"(?i:" + "|".join(KEYWORDS) + r")(?i:orization|entication)?s?(?:[A-Z0-9_\-][A-Za-z0-9_\-]*)?[\"'`]?[ \t]*(?:=>|:=|[=:])[ \t]*(?:(?i:bearer|basic)[ \t]+)?"
+VALUE = r"""(?:"[^"\r\n]+(?=")|'[^'\r\n]+(?=')|`[^`\r\n]+(?=`)|["'`]?[^\s"'`]\S*?(?=["'`,;]{0,3}(?:\s|$)|[&,;][A-Za-z_]\w*=))"""
+#: A value's lead takes in its opening quote; a value with other characters is also searched for runs.
+LEAD, OTHER = SET_BY + "[\"'`]?", r"[^A-Za-z0-9_+/=.\-]"
 #: Provider formats whose match is a labelled finding, and shapes that look random without being secret.
-PROVIDER = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk-[A-Za-z0-9]{20,}$|^AIza[A-Za-z0-9_-]{35}$"
+FORMATS = r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35})"
+#: A run may take in the dot of a sentence or a path around a key.
+PROVIDER = rf"(?:^|[./=]){FORMATS}(?:$|[./=])|^[./=\-]+{FORMATS}[./=\-]*$|^{FORMATS}[./=\-]+$"
 HARMLESS = r"^[0-9.\-]+$|^[A-Za-z.\-_/+=]+$|@|^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$|\.(com|net|org)\b"
-KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "credential", "bearer", "auth")
 SOFT_WORDS = ("example", "sample", "dummy", "placeholder", "sha1", "sha256", "md5", "commit", "checksum", "uuid", "http", "www", "mail")
 TEST_PATHS = r"(?i)test|mock|fixture|example|sample|doc"
 #: Letter pairs that are common in words of the corpus's languages; their share tells words from random letters.
@@ -31,31 +39,61 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def candidates(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, position (code points from 1), candidate, before, after, path: every candidate of every whole text."""
-    where = F.col(path) if path else F.lit("").cast("string")
-    whole = docs.select("doc_id", F.col(text).alias("text"), F.coalesce(where, F.lit("")).alias("path"))
-    #: Texts without a long run of key characters that has a digit are passed over in the scan itself.
-    some = whole.where(F.col("text").rlike(CANDIDATE))
-    #: Splitting at candidates gives what stands between them, so positions are running sums of lengths.
-    found = some.select("doc_id", "path", F.regexp_extract_all("text", F.lit(f"({CANDIDATE})"), F.lit(1)).alias("c"), F.split("text", CANDIDATE, -1).alias("g"))
-    each = F.transform(
-        F.arrays_zip("c", F.slice("g", F.lit(1), F.size("c")).alias("b"), F.slice("g", F.lit(2), F.size("c")).alias("a")),
-        lambda z: F.struct(z["c"].alias("candidate"), z["b"].alias("between"), F.substring(z["a"], 1, NEAR).alias("after")),
+def _placed(pieces: Column, start: Column, before: Column, after: Column) -> Column:
+    """start, piece, hit, before, after of all pieces of a text: places are running sums of lengths, and the neighbours are
+    carried over pieces shorter than NEAR."""
+    part = "start:bigint,piece:string,hit:boolean,before:string"
+    there = F.aggregate(
+        pieces,
+        F.struct(start.cast("long").alias("next"), before.alias("tail"), F.array().cast(f"array<struct<{part}>>").alias("out")),
+        lambda s, p: F.struct(
+            (s["next"] + F.char_length(p["piece"])).alias("next"),
+            F.right(F.concat(s["tail"], p["piece"]), F.lit(NEAR)).alias("tail"),
+            F.concat(s["out"], F.array(F.struct(s["next"].alias("start"), p["piece"].alias("piece"), p["hit"].alias("hit"), s["tail"].alias("before")))).alias("out"),
+        ),
+        lambda s: s["out"],
     )
-    empty = F.struct(F.lit(1).cast("long").alias("next"), F.array().cast("array<struct<position:bigint,candidate:string,before:string,after:string>>").alias("out"))
-    step = F.aggregate(
-        each,
-        empty,
-        lambda s, z: F.struct(
-            (s["next"] + F.char_length(z["between"]) + F.char_length(z["candidate"])).alias("next"),
-            F.concat(
-                s["out"],
-                F.array(F.struct((s["next"] + F.char_length(z["between"])).alias("position"), z["candidate"].alias("candidate"), F.right(z["between"], F.lit(NEAR)).alias("before"), z["after"].alias("after"))),
-            ).alias("out"),
+    return F.aggregate(
+        F.reverse(there),
+        F.struct(after.alias("head"), F.array().cast(f"array<struct<{part},after:string>>").alias("out")),
+        lambda s, x: F.struct(
+            F.left(F.concat(x["piece"], s["head"]), F.lit(NEAR)).alias("head"),
+            F.concat(s["out"], F.array(F.struct(*[x[c].alias(c) for c in ("start", "piece", "hit", "before")], s["head"].alias("after")))).alias("out"),
         ),
+        lambda s: s["out"],
+    )
+
+
+def _pieces(text: Column, pattern: str, lead: str | None = None) -> Column:
+    """The text cut at the matches of a pattern: (piece, hit). What ``lead`` finds at the start of a match stands before it."""
+    found, gaps = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1)
+    pairs = F.transform(found, lambda c: F.struct((F.regexp_extract(c, f"^({lead})", 1) if lead else F.lit("")).alias("lead"), c.alias("c")))
+    piece = lambda p, hit: F.struct(p.alias("piece"), F.lit(hit).alias("hit"))
+    cut = F.zip_with(
+        F.slice(gaps, F.lit(1), F.size(found)),
+        pairs,
+        lambda g, z: F.array(piece(F.concat(g, z["lead"]), False), piece(F.substring(z["c"], F.char_length(z["lead"]) + 1, F.char_length(z["c"])), True)),
     )
-    return found.select("doc_id", "path", F.explode(step["out"]).alias("x")).select("doc_id", "path", "x.*")
+    return F.concat(F.flatten(cut), F.array(piece(F.element_at(gaps, -1), False)))
+
+
+def candidates(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """doc_id, position (code points from 1), candidate, before, after, path: every candidate of every whole text.
+
+    First the values that a word for a secret is set to are cut out, then the long runs of key characters are found in what
+    stands between them, and in values that also have other characters. ``before`` and ``after`` are the next characters of
+    the whole text, other candidates included.
+    """
+    where = F.col(path) if path else F.lit("").cast("string")
+    whole = docs.select("doc_id", F.col(text).alias("text"), F.coalesce(where, F.lit("")).alias("path"))
+    #: Texts without a long run of key characters or a value set by a word for a secret are passed over in the scan itself.
+    some = whole.where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(SET_BY + VALUE))
+    parts = some.select("doc_id", "path", F.explode(_placed(_pieces(F.col("text"), SET_BY + VALUE, LEAD), F.lit(1), F.lit(""), F.lit(""))).alias("p"))
+    value = F.col("p.hit") & (F.col("p.piece") != "")
+    runs_in = F.when(~F.col("p.hit") | F.col("p.piece").rlike(OTHER), F.col("p.piece")).otherwise(F.lit(""))
+    runs = F.filter(_placed(_pieces(runs_in, CANDIDATE), F.col("p.start"), F.col("p.before"), F.col("p.after")), lambda x: x["hit"])
+    found = parts.select("doc_id", "path", F.explode(F.concat(F.filter(F.array("p"), lambda x: value), runs)).alias("x"))
+    return found.select("doc_id", "path", F.col("x.start").alias("position"), F.col("x.piece").alias("candidate"), "x.before", "x.after")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -65,7 +103,8 @@ def with_features(found: DataFrame) -> DataFrame:
     before, after = F.lower("before"), F.lower("after")
     has = lambda text, words: F.greatest(*[F.contains(text, F.lit(w)).cast("double") for w in words])
     #: ``password=...`` is one run of key characters: what stands before the last = is its name, the rest the value.
-    d = found.withColumn("name", F.lower(F.regexp_extract("candidate", r"^([A-Za-z_\-]+)=[^=]", 1)))
+    set_by = F.col("before").rlike(f"(?:{LEAD})$")
+    d = found.withColumn("name", F.when(set_by, "").otherwise(F.lower(F.regexp_extract("candidate", r"^([A-Za-z_\-]+)=[^=]", 1))))
     d = d.withColumn("value", F.when(F.col("name") != "", F.expr("substring(candidate, char_length(name) + 2)")).otherwise(F.col("candidate")))
     return d.withColumns(
         {
@@ -77,8 +116,8 @@ def with_features(found: DataFrame) -> DataFrame:
             "pairs": _count(low, "(?=" + "|".join(PAIRS) + ")") / n,
             "spread": F.size(F.array_distinct(F.split(c, ""))).cast("double") / n,
             "hexlike": c.rlike("^[0-9a-f]+$").cast("double"),
-            "keyword": F.greatest(has(F.right(before, F.lit(20)), KEYWORDS), has(F.col("name"), KEYWORDS)),
-            "assigned": F.greatest(before.rlike(r"[=:]\s*[\"']?$").cast("double"), (F.col("name") != "").cast("double")),
+            "keyword": F.greatest(has(F.right(before, F.lit(20)), KEYWORDS), has(F.col("name"), KEYWORDS), set_by.cast("double")),
+            "assigned": F.greatest(before.rlike(r"[=:]\s*[\"']?$").cast("double"), set_by.cast("double"), (F.col("name") != "").cast("double")),
             "quoted": before.rlike("[\"'`]$").cast("double"),
             "soft": F.greatest(has(before, SOFT_WORDS), has(after, SOFT_WORDS), has(low, SOFT_WORDS)),
             "test_path": F.col("path").rlike(TEST_PATHS).cast("double"),
