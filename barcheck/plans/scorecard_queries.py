@@ -136,13 +136,10 @@ def _full(spark, folder):
     p = _panel(spark, folder)
     grid = [sg.variant(f"mom{w}", window=w) for w in (5, 10, 20)]
     w = cut_lineage(sg.momentum(p, grid).unionByName(sg.leaky_next_return(p)))
-    leaks = leak_failures(
-        leakage.truncation_diffs(lambda x: sg.momentum(x, grid[:1]).unionByName(sg.leaky_next_return(x)), p, (0.5,)).withColumn("passed", F.col("max_abs_diff") <= 1e-9)
-    )
+    leaks = leak_failures(leakage.leakage_suite(lambda x: sg.momentum(x, grid).unionByName(sg.leaky_next_return(x)), p))
     names = [g["strategy_id"] for g in grid]
     near = spark.createDataFrame([(a, b) for a in names for b in names], "strategy_id string, neighbor string")
-    th = {**THRESHOLDS, "n_perm": 100, "n_boot": 50}
-    return sc.public(evaluate(p, w, _terminal(spark, folder), leaks=leaks, neighbors=near, th=th).verdicts)
+    return sc.public(evaluate(p, w, _terminal(spark, folder), leaks=leaks, neighbors=near, th=THRESHOLDS).verdicts)
 
 
 SCORE = {
