@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op10_toxicity, op1_pieces, op2_search, op3_urls, op4_minmax, op5_secrets, op6_lines, op7_mixing, op8_sharding, op9_fingerprints
+from . import op10_toxicity, op11_align, op12_chat, op13_runs, op1_pieces, op2_search, op3_urls, op4_minmax, op5_secrets, op6_lines, op7_mixing, op8_sharding, op9_fingerprints
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_pieces": (op1_pieces.op1_pieces, None),
@@ -19,4 +19,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_sharding": (op8_sharding.op8_sharding, None),
     "op9_fingerprints": (op9_fingerprints.op9_fingerprints, None),
     "op10_toxicity": (op10_toxicity.op10_toxicity, None),
+    "op11_align": (op11_align.op11_align, None),
+    "op12_chat": (op12_chat.op12_chat, op12_chat.ORACLE),
+    "op13_runs": (op13_runs.op13_runs, None),
 }
