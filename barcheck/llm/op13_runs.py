@@ -193,12 +193,17 @@ def planted(doc_id: Column, text: Column) -> Column:
     """The text; in a tenth of the documents, by a hash of the id, its words from some place on repeat with a period."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(h / F.lit(10)).cast("long")
+
+    def edited(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n)
+        place = F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).alias("p"))
+        return F.transform(F.array(place), lambda x: F.transform(words, lambda w, i: F.when(i < x["a"], w).otherwise(F.get(words, (x["a"] + F.pmod(i - x["a"], x["p"])).cast("int")))))[0]
+
+    # the argument of a lambda function is worked out once, however often its body uses it
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n = F.size(words)
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-    edited = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + F.pmod(i - a, p)).cast("int"))))
-    return F.when(F.pmod(h, F.lit(10)) == 0, F.array_join(edited, " ")).otherwise(text)
+    again = F.transform(F.array(words), lambda w: F.array_join(edited(w), " "))[0]
+    return F.when(F.pmod(h, F.lit(10)) == 0, again).otherwise(text)
 
 
 def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
