@@ -28,3 +28,11 @@ def word_count(c: Column) -> Column:
 def words_of(text: str | None) -> list[bytes]:
     """The words of a text as UTF-8, A-Z lower-cased. ``bytes.lower`` and ``bytes.split`` know ASCII only, as wanted."""
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -9,9 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import cut_lineage, free_name, table
 
 #: Labelled documents that the model is fitted on at most, taken in the order of a hash of their ids.
 TRAIN_DOCS = 8000
@@ -34,6 +35,12 @@ _TABLE[97:123] = np.arange(3, 29)
 _TABLE[[94, 36]] = 1, 2
 
 
+def _codes(points: np.ndarray) -> np.ndarray:
+    """Code of each character; those behind the table (kana, Han, Hangul, emoji) are spread over the codes that are not letters."""
+    far = (29 + ((points * np.uint32(2654435761)) >> np.uint32(8)) % np.uint32(CODES - 29)).astype(np.int32)
+    return np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], far)
+
+
 def units(text: str | None) -> set[str]:
     """Distinct words of a text, lower-cased; three or more single characters in a row count as one word."""
     words = (text or "").lower().split()
@@ -65,7 +72,7 @@ def _pieces(words: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.nda
     for n in np.unique(lengths[lengths >= 3]):
         rows = np.flatnonzero(lengths == n)
         points = np.frombuffer("".join([cut[r] for r in rows]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        groups.append((rows, _TABLE[np.minimum(points, len(_TABLE) - 1)].reshape(-1, n)))
+        groups.append((rows, _codes(points).reshape(-1, n)))
     return np.array(owner, np.int64), groups
 
 
@@ -218,70 +225,205 @@ def _disguised(words: list[str], rng: np.random.Generator) -> list[str]:
     return out
 
 
+def _crc(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
 def _order(words) -> list[str]:
-    return sorted(words, key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w))
+    return sorted(words, key=lambda w: (_crc(w), w))
+
+
+_PERMS = 16
 
 
-def _unlike(bags: list[tuple[set[str], int]], perms: int = 16, most: int = 8) -> list[tuple[set[str], int]]:
-    """The bags without those that agree with an earlier one in more than ``most`` of ``perms`` minima of word hashes.
+def _minima(words: list[str]) -> list[int]:
+    """The least of the word hashes under each of _PERMS permutations; none without words."""
+    a, b = np.random.default_rng(11).integers(1, 1 << 32, (2, _PERMS, 1), dtype=np.uint64)
+    h = np.fromiter(map(_crc, words), np.uint64, len(words))
+    return ((h * a + b) % np.uint64(4294967291)).min(axis=1).tolist() if words else []
+
+
+def _unlike(minima: list[list[int]], most: int = 8) -> list[int]:
+    """Numbers of the documents without those that agree with an earlier one in more than ``most`` of their minima.
 
     Copies of one toxic document would make each of its rare words look toxic.
     """
-    a, b = np.random.default_rng(11).integers(1, 1 << 32, (2, perms, 1), dtype=np.uint64)
     seen: dict[tuple[int, int], list[int]] = {}
     out = []
-    for i, (bag, y) in enumerate(bags):
-        h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in bag), np.uint64, len(bag))
-        least = ((h * a + b) % np.uint64(4294967291)).min(axis=1).tolist() if bag else []
+    for i, least in enumerate(minima):
         if max(Counter(j for key in enumerate(least) for j in seen.get(key, ())).values(), default=0) <= most:
-            out.append((bag, y))
+            out.append(i)
             for key in enumerate(least):
                 seen.setdefault(key, []).append(i)
     return out
 
 
-def fit(bags: list[tuple[set[str], int]]) -> Model | None:
+def _parts(rows: list[tuple[int, bool, list[int]]]) -> tuple[list[int], list[int]] | None:
+    """(documents to learn from, documents to calibrate on) by number, from (label, chosen for calibration, minima).
+
+    Near copies are left out. A quarter of the documents calibrates, all of them where one class would be missing; None
+    without documents of both classes.
+    """
+    kept = _unlike([least for _, _, least in rows])
+    both = lambda x: len({rows[i][0] for i in x}) == 2
+    learn, held = [i for i in kept if not rows[i][1]], [i for i in kept if rows[i][1]]
+    if not both(learn):
+        learn, held = kept, []
+    return (learn, held if both(held) else kept) if both(learn) else None
+
+
+class Bags:
+    """Labelled documents in memory: the plain form of what ``Sample`` asks of Spark."""
+
+    def __init__(self, bags: list[tuple[list[str], int]]):
+        bags = sorted(((sorted(b), y) for b, y in bags), key=lambda x: (x[0][:3], len(x[0]), x[1]))
+        self.parts = _parts([(y, _calibrates(b), _minima(b)) for b, y in bags])
+        if self.parts is None:
+            return
+        self.learn, self.held = ([bags[i] for i in part] for part in self.parts)
+        self.n, self.toxic = len(self.learn), sum(y for _, y in self.learn)
+        self.inside = Counter(w for b, y in self.learn if y for w in b)
+        self.outside = Counter(w for b, y in self.learn if not y for w in b)
+
+    def suspects(self) -> list[tuple[str, int, int]]:
+        return [(w, n, self.outside[w]) for w, n in self.inside.items() if n >= 2 and n > self.outside[w]]
+
+    def first_inside(self, n: int) -> list[str]:
+        return sorted(self.inside)[:n]
+
+    def common(self, n: int) -> list[str]:
+        return [w for w, _ in sorted(self.outside.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 3][:n]
+
+    def clean(self, n: int) -> list[str]:
+        return _order(self.outside)[:n]
+
+    def hardest(self, model: Model, n: int) -> list[str]:
+        words = _order(self.outside)
+        return [words[i] for i in np.argsort(-model.decide(words), kind="stable")[:n]]
+
+    def unexplained(self, strong: list[str]) -> list[list[str]]:
+        return [[w for w in b if w not in self.outside] for b, y in self.learn if y and not set(b) & set(strong)]
+
+    def decided(self, model: Model) -> list[tuple[float, int]]:
+        return [(_bag(model, b), y) for b, y in self.held]
+
+
+def _calibrates(words: list[str]) -> bool:
+    return _crc("".join(words)) % 4 == 0
+
+
+class Sample:
+    """Labelled documents as a table of their words, written once. Counts, orders and decisions over all words are Spark
+    jobs; what reaches the driver is 16 numbers a document and the words that the machine is fitted on."""
+
+    def __init__(self, documents: DataFrame):
+        """documents(y, text)"""
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            i = TaskContext.get().partitionId() << 40
+            for b in batches:
+                words = [sorted(units(t.as_py())) for t in b.column(1)]
+                ids = np.arange(i, i + len(words))
+                i += len(words)
+                least = pa.array([_minima(w) for w in words], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), b.column(0), pa.array(words, pa.list_(pa.string())), least, pa.array(list(map(_calibrates, words)), pa.bool_())], ["id", "y", "words", "least", "calibrates"])
+
+        self.bags = cut_lineage(documents.select("y", "text").mapInArrow(split, "id long, y int, words array<string>, least array<long>, calibrates boolean"))
+        rows = self.bags.select(F.slice("words", 1, 3).alias("first"), F.size("words").alias("n"), "y", "least", "calibrates", "id").orderBy("first", "n", "y", "least", "id").toArrow()
+        self.parts = _parts(list(zip(*(rows[c].to_pylist() for c in ("y", "calibrates", "least")), strict=True)))
+        if self.parts is None:
+            return
+        ids, y = rows["id"].to_numpy(), rows["y"].to_numpy()
+        self.learn, self.held = (set(ids[part].tolist()) for part in self.parts)
+        self.n, self.toxic = len(self.parts[0]), int(y[self.parts[0]].sum())
+        inside, outside = F.count_if(F.col("y") == 1).alias("inside"), F.count_if(F.col("y") == 0).alias("outside")
+        each = self._some(self.learn).select("y", F.explode("words").alias("word")).groupBy("word").agg(inside, outside)
+        self.words = cut_lineage(each.withColumn("crc", F.crc32(F.col("word").cast("binary"))))
+
+    def _some(self, ids: set[int]) -> DataFrame:
+        """The bags of some documents, at most as many as the sample has."""
+        spark = self.bags.sparkSession
+        return self.bags.select("id", "y", "words").join(F.broadcast(spark.createDataFrame(pa.table({"id": sorted(ids)}), "id long")), "id")
+
+    @staticmethod
+    def _list(words: DataFrame) -> list[str]:
+        return words.select("word").toArrow()["word"].to_pylist()
+
+    def suspects(self) -> list[tuple[str, int, int]]:
+        return [tuple(r) for r in self.words.where("inside >= 2 AND inside > outside").select("word", "inside", "outside").toLocalIterator()]
+
+    def first_inside(self, n: int) -> list[str]:
+        return self._list(self.words.where("inside > 0").orderBy("word").limit(n))
+
+    def common(self, n: int) -> list[str]:
+        return self._list(self.words.where("outside > 0 AND char_length(word) >= 3").orderBy(F.desc("outside"), "word").limit(n))
+
+    def clean(self, n: int) -> list[str]:
+        return self._list(self.words.where("outside > 0").orderBy("crc", "word").limit(n))
+
+    def hardest(self, model: Model, n: int) -> list[str]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.decide(b.column(0).to_pylist()))], ["word", "crc", "f"])
+
+        return self._list(self.words.where("outside > 0").select("word", "crc").mapInArrow(run, "word string, crc long, f double").orderBy(F.desc("f"), "crc", "word").limit(n))
+
+    def unexplained(self, strong: list[str]) -> list[list[str]]:
+        known = set(strong)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([known.isdisjoint(w) for w in b.column(1).to_pylist()], pa.bool_()))
+
+        open_ = self._some(self.learn).where("y = 1").select("id", "words").mapInArrow(run, "id long, words array<string>")
+        rare = open_.select("id", F.explode("words").alias("word")).join(self.words.where("outside > 0").select("word"), "word", "left_anti")
+        return [r["words"] for r in rare.groupBy("id").agg(F.sort_array(F.collect_list("word")).alias("words")).orderBy("id").toLocalIterator()]
+
+    def decided(self, model: Model) -> list[tuple[float, int]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_best_words(model, b.column(1).to_pylist()), pa.float64()), b.column(2)], ["id", "f", "y"])
+
+        rows = self._some(self.held).select("id", "words", "y").mapInArrow(run, "id long, f double, y int").orderBy("id").toArrow()
+        return list(zip(rows["f"].to_pylist(), rows["y"].to_pylist(), strict=True))
+
+
+def fit(sample: Bags | Sample) -> Model | None:
     """The model from labelled documents, each a set of words; None without documents of both classes.
 
     A label holds for the whole document, so which word makes it toxic is found in turns: the machine starts
     from words with many more toxic documents than chance gives, and takes in the most toxic word of each toxic
     document that has none of them, as far as no clean document has it; the clean words nearest to the border are added too.
-    Near copies are left out; a quarter of the documents only calibrates the probability.
+    Where no word exceeds chance by EXCESS the 20 with the largest excess start, else the first 20 words of toxic documents.
+    Of the clean words, NEGATIVES in the order of a hash and, in each turn, the HARD nearest to the border enter the machine.
     """
-    bags = _unlike(bags)
-    part = [zlib.crc32("".join(sorted(b)).encode("utf-8", "surrogatepass")) % 4 == 0 for b, _ in bags]
-    train = [x for x, p in zip(bags, part, strict=True) if not p]
-    held = [x for x, p in zip(bags, part, strict=True) if p]
-    if len({y for _, y in train}) < 2:
-        train, held = bags, []
-    if len({y for _, y in train}) < 2:
+    if sample.parts is None:
         return None
-    toxic = [b for b, y in train if y]
-    inside, outside = Counter(w for b in toxic for w in b), Counter(w for b, y in train if not y for w in b)
-    rate = len(toxic) / len(train)
+    rate = sample.toxic / sample.n
 
-    def excess(w: str) -> float:
-        """Log-likelihood ratio of the word's toxic and clean documents against chance; 0 for a word of clean ones."""
-        k, n = inside[w], inside[w] + outside[w]
+    def excess(k: int, out: int) -> float:
+        """Log-likelihood ratio of a word's toxic and clean documents against chance; 0 for a word of clean ones."""
+        n = k + out
         if k <= rate * n:
             return 0.0
-        return k * np.log(k / (rate * n)) + (outside[w] * np.log(outside[w] / ((1 - rate) * n)) if n > k else 0.0)
+        return k * np.log(k / (rate * n)) + (out * np.log(out / ((1 - rate) * n)) if out else 0.0)
 
-    ranked = sorted(((excess(w), w) for w, n in inside.items() if n >= 2 and n > outside[w]), key=lambda x: (-x[0], x[1]))
-    strong = [w for e, w in ranked if e > EXCESS] or [w for _, w in ranked[:20]] or sorted(inside)[:20]
+    ranked = sorted(((excess(k, out), w) for w, k, out in sample.suspects()), key=lambda x: (-x[0], x[1]))
+    strong = [w for e, w in ranked if e > EXCESS] or [w for _, w in ranked[:20]] or sample.first_inside(20)
     marks: list[str] = []
     for w in strong:
         if len(marks) < LANDMARKS - BACKGROUND and (not marks or Kernel(marks).rows([w]).max() < 0.8 * Kernel([w]).rows([w])[0, 0]):
             marks.append(w)
-    marks += [w for w, _ in sorted(outside.items(), key=lambda x: (-x[1], x[0])) if len(w) >= 3][:BACKGROUND]
+    marks += sample.common(BACKGROUND)
     kernel = Kernel(marks)
     values, vectors = np.linalg.eigh(kernel.rows(marks))
     values = np.maximum(values, 1e-3)
     root = vectors / np.sqrt(values) @ vectors.T
 
-    clean = _order(outside.keys() - set(strong))
-    negative, positive = clean[:NEGATIVES], strong
-    unexplained = [b for b in ([w for w in x if w not in outside] for x in toxic if x.isdisjoint(strong)) if b]
+    first = set(strong)
+    clean = lambda words, n: [w for w in words if w not in first][:n]
+    negative, positive = clean(sample.clean(NEGATIVES + len(strong)), NEGATIVES), strong
+    unexplained = [b for b in sample.unexplained(strong) if b]
     model = Model(np.zeros(2 * SLOTS, np.float32), 0.0, 1.0, 0.0)
     known: dict[str, np.ndarray] = {}
 
@@ -295,16 +437,15 @@ def fit(bags: list[tuple[set[str], int]]) -> Model | None:
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
         w = _svm(rows(pos + neg), y, np.where(y > 0, len(neg) / len(pos) / 4, 1.0))
         model.beta, model.bias = kernel.weights(root @ w[:-1]), float(w[-1])
-        f = model.decide(clean)
-        negative = _order({*negative, *(clean[i] for i in np.argsort(-f, kind="stable")[:HARD])})
-        best = ((max(zip(model.decide(b), b, strict=True))) for b in map(sorted, unexplained))
-        positive = strong + sorted({w for f, w in best if f > 0} - set(strong))
-    cases = held if len({y for _, y in held}) == 2 else bags
-    model.slope, model.shift = _calibrate(np.array([_bag(model, b) for b, _ in cases]), np.array([y for _, y in cases]))
+        negative = _order({*negative, *clean(sample.hardest(model, HARD + len(strong)), HARD)})
+        best = (max(zip(model.decide(b), b, strict=True)) for b in unexplained)
+        positive = strong + sorted({w for f, w in best if f > 0} - first)
+    f, y = zip(*sample.decided(model), strict=True)
+    model.slope, model.shift = _calibrate(np.array(f), np.array(y))
     return model
 
 
-def _bag(model: Model, bag: set[str]) -> float:
+def _bag(model: Model, bag: set[str] | list[str]) -> float:
     return float(max(model.decide(list(bag)), default=-2.0)) if bag else -2.0
 
 
@@ -314,25 +455,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = TRAIN_DOCS) -> Model | None:
-    """Fits on at most ``limit`` labelled documents outside the held-out part; only their distinct words reach the driver."""
-    known = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y"))
+    """Fits on at most ``limit`` labelled documents outside the held-out part, in the order of a hash of their ids."""
+    known = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", (F.col(label) > 0).cast("int").alias("y"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(limit)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [sorted(units(t.as_py())) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], ["y", "words"])
-
     #: The sample has a fixed bound, so it is broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("y", "text").mapInArrow(run, "y int, words array<string>")
-    #: One string object for each distinct word, whatever the number of documents that have it.
-    pool: dict[str, str] = {}
-    bags = [([pool.setdefault(w, w) for w in r["words"]], int(r["y"] > 0)) for r in rows.toLocalIterator()]
-    bags.sort(key=lambda x: (x[0][:3], len(x[0]), x[1]))
-    return fit([(set(w), y) for w, y in bags])
+    return fit(Sample(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")))
 
 
-def _best_words(model: Model, bags: list[set[str]]) -> list[float]:
+def _best_words(model: Model, bags: list[set[str]] | list[list[str]]) -> list[float]:
     """Decision value of the most toxic word of each bag; every distinct word is decided once."""
     words = list(set().union(*bags))
     f = dict(zip(words, model.decide(words).tolist(), strict=True)) if words else {}
@@ -371,5 +501,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """``docs`` without the rows whose score reaches ``cut``."""
-    return score_texts(docs, train(docs, labels), out="_toxicity").where(F.col("_toxicity") < cut).select(*docs.columns)
+    """``docs`` without the rows whose score reaches ``cut``.
+
+    All columns stay as they are, whatever their names. NULL, empty and blank texts are clean and stay, repeated rows share
+    their fate, an empty table gives an empty result; without labels of both classes every row stays.
+    """
+    out = free_name(docs, "_toxicity")
+    return score_texts(docs, train(docs, labels), out=out).where(F.col(out) < cut).select(*docs.columns)

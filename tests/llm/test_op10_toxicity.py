@@ -1,9 +1,12 @@
 import random
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
 
 from barcheck.llm import op10_toxicity as op
+from pyspark.sql import functions as F
 
 INSULTS = ["idiot", "moron", "worthless", "pathetic"]
 
@@ -24,7 +27,7 @@ def corpus(n, seed):
 
 @pytest.fixture(scope="module")
 def model():
-    return op.fit([(op.units(t), y) for _, t, y in corpus(1500, 1)])
+    return op.fit(op.Bags([(op.units(t), y) for _, t, y in corpus(1500, 1)]))
 
 
 def test_held_out_documents(model):
@@ -76,3 +79,56 @@ def test_held_out_rows_are_not_learned_from(spark, make):
 
     flags = {r.doc_id: r.h for r in make([(i, "t") for i in range(50)]).select("doc_id", op.held_out(op.F.col("doc_id")).alias("h")).collect()}
     assert flags == {i: crc32(str(i).encode()) % 4 == 2 for i in range(50)}
+
+
+def test_spark_fits_like_the_plain_form(spark, make, model):
+    rows = corpus(1500, 1)
+    docs = make([(i, t) for i, t, _ in rows])
+    sample = op.Sample(docs.join(spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, y int"), "doc_id"))
+    got = op.fit(sample)
+    assert np.allclose(got.beta, model.beta, atol=1e-5) and got.bias == pytest.approx(model.bias, abs=1e-6)
+    assert (got.slope, got.shift) == pytest.approx((model.slope, model.shift), rel=1e-5)
+
+
+def plain_kernel(a, b):
+    """Every pair of equal subsequences of three or four characters that span at most SPAN, each named like the machine does."""
+
+    def subsequences(word):
+        bare = "^" + "".join(filter(str.isalnum, word)) + "$"
+        codes = op._codes(np.frombuffer(bare.encode("utf-32-le"), np.uint32)).tolist()
+        out = Counter()
+        for k in (3, 4):
+            for places in combinations(range(len(codes)), k):
+                width = places[-1] - places[0]
+                if width < op.SPAN:
+                    number = 0
+                    for p in places:
+                        number = number * op.CODES + codes[p]
+                    if k == 4:
+                        number = op.SLOTS + ((number * 2654435761) % 2**32 >> 14)
+                    out[number] += op.DECAY ** (width - k + 1)
+        return out, op._scale(len(codes))
+
+    (x, m), (y, n) = subsequences(a), subsequences(b)
+    return sum(v * y[u] for u, v in x.items()) / m / n
+
+
+def test_kernel_equals_all_subsequences():
+    words = ["idiot", "idxiot", "worthless", "i.d.i.o.t", "ünï", "ab", "世界平和", "バカ野郎"]
+    got = op.Kernel(words[:5]).rows(words)
+    assert np.allclose(got, [[plain_kernel(a, b) for b in words[:5]] for a in words], atol=1e-5)
+
+
+def test_words_of_one_length_beyond_latin_differ():
+    insult, others = "バカ野郎", ["世界平和", "東京大学", "朝鮮半島", "가나다라"]
+    k = op.Kernel([insult]).rows([insult, *others])[:, 0]
+    assert k[0] > 4 * k[1:].max()
+
+
+def test_a_column_with_the_score_s_name_stays(spark, make):
+    rows = corpus(300, 3)
+    docs = make([(i, t) for i, t, _ in rows]).withColumn("_toxicity", F.lit("mine")).withColumn("__TOXICITY", F.lit(1))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = op.drop_toxic(docs, labels)
+    assert got.columns == docs.columns
+    assert {tuple(r) for r in got.select("_toxicity", "__TOXICITY").distinct().collect()} == {("mine", 1)}
