@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pandas as pd
@@ -107,15 +107,16 @@ def judge_urls(
     """
 
     @F.pandas_udf(SCHEMA)
-    def judge(urls: pd.Series) -> pd.DataFrame:
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known, words = Rules(rules), Vocabulary(strict, soft)
-        rows = []
-        for u in urls:
-            host, path = parts(u)
-            rule, verdict = known.find(host, path)
-            n_strict, n_soft = words.hits(u) if u else (0, 0)
-            rows.append((host, path, rule, verdict or ("block" if n_strict or n_soft >= soft_limit else "allow"), n_strict, n_soft))
-        return pd.DataFrame(rows, columns=SCHEMA.names)
+        for urls in batches:
+            rows = []
+            for u in urls:
+                host, path = parts(u)
+                rule, verdict = known.find(host, path)
+                n_strict, n_soft = words.hits(u) if u else (0, 0)
+                rows.append((host, path, rule, verdict or ("block" if n_strict or n_soft >= soft_limit else "allow"), n_strict, n_soft))
+            yield pd.DataFrame(rows, columns=SCHEMA.names)
 
     return pages.withColumn(out, judge(F.col(url)))
 

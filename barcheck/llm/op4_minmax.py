@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut_lineage, table, words_of
+from .common import cut_lineage, free_name, table, words_of
 from .components import components
 
 WORDS, SHARE = 5, (75, 100)
@@ -257,11 +257,16 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, share: tuple[int, int] = SH
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component, in all their columns."""
-    keep = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    """``docs`` with one row of each component, in all their columns, whatever the columns' names.
+
+    Of repeated rows (same doc_id and text) one stays. Documents without words, NULL texts among them, are components of
+    their own and stay; a NULL doc_id equals itself. An empty table gives an empty result.
+    """
+    hash_, id_, other = (free_name(docs, c) for c in ("_text_hash", "_kept_id", "_kept_hash"))
+    keep = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(other)).distinct()
+    keyed = docs.withColumn(hash_, F.xxhash64("text"))
+    kept = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(other)))
+    return kept.dropDuplicates(["doc_id", hash_]).select(*docs.columns)
 
 
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import cut_lineage, table
+from .common import cut_lineage, free_name, table
 from .perfect_hash import CountIndex
 
 MIN_DOCS, MIN_CHARS = 10, 1
@@ -100,11 +100,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, m
     empty texts have one empty line and come out empty. Columns named ``n_lines`` or ``n_dropped`` are replaced, all
     others are kept. An empty table gives an empty result. Very long texts are handled line by line.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_chunk")]
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    chunk = free_name(docs, "_chunk")
     chunks = max(1, math.ceil(docs.count() / CHUNK_DOCS))
     plain = [F.col(c) for c, kind in docs.select(*own).dtypes if not kind.startswith(("map", "variant"))]
-    keyed = docs.select(*own).withColumn("_chunk", F.pmod(F.xxhash64(*plain), F.lit(chunks)).cast("long"))
-    lines = cut_lineage(line_hashes(keyed, "_chunk", text, min_chars))
+    keyed = docs.select(*own).withColumn(chunk, F.pmod(F.xxhash64(*plain), F.lit(chunks)).cast("long"))
+    lines = cut_lineage(line_hashes(keyed, chunk, text, min_chars))
     shards = max(1, math.ceil(lines.count() / SHARD_LINES))
     index = cut_lineage(build_index(lines, shards))
     drops = frequent(lines, index, shards, min_docs)
@@ -118,12 +119,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, m
             texts.append(b"\n".join(kept).decode("utf-8", "surrogatepass"))
             total.append(len(all_))
             dropped.append(len(all_) - len(kept))
-        out = rows.drop_columns(["_chunk"]).set_column(own.index(text), text, pa.array(texts, pa.string()))
+        out = rows.drop_columns([chunk]).set_column(own.index(text), text, pa.array(texts, pa.string()))
         return out.append_column("n_lines", pa.array(total, pa.int64())).append_column("n_dropped", pa.array(dropped, pa.int64()))
 
     schema = T.StructType([*docs.select(*own).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    by_chunk = drops.withColumnRenamed("chunk", "_chunk").groupBy("_chunk")
-    return keyed.groupBy("_chunk").cogroup(by_chunk).applyInArrow(rewrite, _nullable(schema, text))
+    by_chunk = drops.withColumnRenamed("chunk", chunk).groupBy(chunk)
+    return keyed.groupBy(chunk).cogroup(by_chunk).applyInArrow(rewrite, _nullable(schema, text))
 
 
 def _nullable(schema: T.StructType, text: str) -> T.StructType:

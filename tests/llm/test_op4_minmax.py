@@ -5,6 +5,7 @@ import pytest
 
 from barcheck.llm import op4_minmax as op
 from barcheck.llm.components import components
+from pyspark.sql import functions as F
 
 
 def sets_of(text):
@@ -82,3 +83,11 @@ def test_min_max_estimates_similarity():
     x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
     same = [(op.min_max(x[:300] ^ np.uint64(s)) == op.min_max(x[100:] ^ np.uint64(s))).mean() for s in rng.integers(0, 1 << 60, 40)]
     assert abs(np.mean(same) - 0.5) < 0.03
+
+
+def test_columns_named_like_the_helpers_stay(spark, make):
+    docs = make([(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (None, "x y z u v w")])
+    docs = docs.withColumn("_id", F.lit(7)).withColumn("_hash", F.lit("h")).withColumn("_text_hash", F.lit("mine")).withColumn("_kept_id", F.lit(0))
+    got = op.one_per_component(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r._id, r._hash, r._text_hash, r._kept_id) for r in got.collect()) == [(k, 7, "h", "mine", 0) for k in ("1", "3", "None")]

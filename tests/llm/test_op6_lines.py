@@ -6,6 +6,7 @@ import pytest
 
 from barcheck.llm import op6_lines as op
 from barcheck.llm.perfect_hash import CountIndex, PerfectHash
+from pyspark.sql import functions as F
 
 
 def brute(rows, min_docs, min_chars):
@@ -54,3 +55,8 @@ def test_keys_that_no_level_separates_are_kept_in_full(monkeypatch):
     monkeypatch.setattr(perfect_hash, "LEVELS", 1)
     h = np.arange(1, 200, dtype=np.uint64)
     assert sorted(PerfectHash(h, h).slots(h, h).tolist()) == list(range(199))
+
+
+def test_a_column_named_like_the_chunk_stays(spark, make):
+    got = op.dedup_lines(make([(1, "a\nb"), (2, None)]).withColumn("_chunk", F.lit("mine")))
+    assert [r._chunk for r in got.collect()] == ["mine", "mine"] and "_chunk" in got.columns
