@@ -13,6 +13,21 @@ from ..functions.noise import gaussian
 from .panel import in_bars
 
 MIN_NAMES = 10
+#: A panel may hold several worlds (versions of history) told apart by this column; every signal then treats each on its own
+#: and its weights carry the column.
+WORLD = "world"
+
+
+def worlds(df: DataFrame) -> list[str]:
+    return [WORLD] if WORLD in df.columns else []
+
+
+def _with_last(df: DataFrame, panel: DataFrame) -> DataFrame:
+    """Adds ``_last``, the last bar of the panel, of each world of its own."""
+    w = worlds(panel)
+    if not w:
+        return df.withColumn("_last", panel.agg(F.max("t")).scalar())
+    return df.join(panel.groupBy(*w).agg(F.max("t").alias("_last")), w)
 
 
 def variant(strategy_id: str, window: int = 40, quantile: float = 0.2, rebalance: int = 5, gross: float = 1.0) -> dict:
@@ -25,7 +40,7 @@ def _sides(scored: DataFrame, short_first: bool, q: Column, gross: Column) -> Da
     Groups hold one row per name, so a window per bar stays small. ``short_first``: the low end is sold (momentum) or
     bought (reversal).
     """
-    by = Window.partitionBy("strategy_id", "t")
+    by = Window.partitionBy(*worlds(scored), "strategy_id", "t")
     x = scored.withColumn("_rn", F.row_number().over(by.orderBy("score", "ticker"))).withColumn("_n", F.count("*").over(by))
     x = x.where(F.col("_n") >= MIN_NAMES).withColumn("_m", F.greatest(F.lit(1), F.floor(F.col("_n") * q)))
     low, high = F.col("_rn") <= F.col("_m"), F.col("_rn") > F.col("_n") - F.col("_m")
@@ -38,7 +53,7 @@ def _sides(scored: DataFrame, short_first: bool, q: Column, gross: Column) -> Da
 def from_score(scores: DataFrame, quantile: float = 0.2, gross: float = 1.0) -> DataFrame:
     """Long the top, short the bottom quantile of (strategy_id, t, ticker, score)."""
     x = scores.where(F.col("score").isNotNull() & ~F.isnan("score"))
-    return _sides(x, True, F.lit(quantile), F.lit(gross)).select("strategy_id", "t", "ticker", "w")
+    return _sides(x, True, F.lit(quantile), F.lit(gross)).select(*worlds(scores), "strategy_id", "t", "ticker", "w")
 
 
 def momentum(panel: DataFrame, variants: Sequence[dict]) -> DataFrame:
@@ -46,8 +61,9 @@ def momentum(panel: DataFrame, variants: Sequence[dict]) -> DataFrame:
 
     A rebalance with too few names leaves that bar empty; the earlier book resumes on the next bar.
     """
+    w = worlds(panel)
     cells = in_bars(panel)
-    own = Window.partitionBy("ticker").orderBy("t")
+    own = Window.partitionBy(*w, "ticker").orderBy("t")
     options = F.array(*[
         F.struct(
             F.lit(v["strategy_id"]).alias("strategy_id"), F.lit(float(v["quantile"])).alias("q"), F.lit(int(v["rebalance"])).alias("k"),
@@ -56,26 +72,25 @@ def momentum(panel: DataFrame, variants: Sequence[dict]) -> DataFrame:
         )
         for v in variants
     ])
-    scored = cells.select("t", "ticker", options.alias("o")).select("t", "ticker", F.explode("o").alias("o")).select("t", "ticker", "o.*")
+    scored = cells.select(*w, "t", "ticker", options.alias("o")).select(*w, "t", "ticker", F.explode("o").alias("o")).select(*w, "t", "ticker", "o.*")
     scored = scored.where((F.col("t") % F.col("k") == F.col("k") - 1) & F.col("score").isNotNull())
-    book = _sides(scored, True, F.col("q"), F.col("g")).select("strategy_id", "t", "ticker", "w", "k")
+    book = _sides(scored, True, F.col("q"), F.col("g")).select(*w, "strategy_id", "t", "ticker", "w", "k")
     # the last bar a book serves: just before the next successful rebalance of the same strategy
-    last = panel.agg(F.max("t")).scalar()
-    times = book.select("strategy_id", "t").distinct()
-    until = times.withColumn("until", F.coalesce(F.lead("t").over(Window.partitionBy("strategy_id").orderBy("t")) - 1, last))
-    held = book.join(until, ["strategy_id", "t"]).withColumn("h", F.explode(F.sequence("t", "until")))
+    times = _with_last(book.select(*w, "strategy_id", "t").distinct(), panel)
+    until = times.withColumn("until", F.coalesce(F.lead("t").over(Window.partitionBy(*w, "strategy_id").orderBy("t")) - 1, "_last")).drop("_last")
+    held = book.join(until, [*w, "strategy_id", "t"]).withColumn("h", F.explode(F.sequence("t", "until")))
     held = held.where((F.col("h") == F.col("t")) | (F.col("h") % F.col("k") != F.col("k") - 1))
-    held = held.select("strategy_id", F.col("h").alias("t"), "ticker", "w")
-    return held.join(cells.select("t", "ticker"), ["t", "ticker"], "left_semi").select("strategy_id", "t", "ticker", "w")
+    held = held.select(*w, "strategy_id", F.col("h").alias("t"), "ticker", "w")
+    return held.join(cells.select(*w, "t", "ticker"), [*w, "t", "ticker"], "left_semi").select(*w, "strategy_id", "t", "ticker", "w")
 
 
 def reversal(panel: DataFrame, strategy_id: str = "reversal", quantile: float = 0.2, gross: float = 1.0) -> DataFrame:
     """Buy the losers and sell the winners of one bar, for names present on both bars."""
-    own = Window.partitionBy("ticker").orderBy("t")
+    own = Window.partitionBy(*worlds(panel), "ticker").orderBy("t")
     prev = F.when(F.lag("t").over(own) == F.col("t") - 1, F.lag("close").over(own))
-    x = in_bars(panel).select("t", "ticker", (F.col("close") / F.nullif(prev, F.lit(0.0)) - 1).alias("score")).where("score IS NOT NULL")
+    x = in_bars(panel).select(*worlds(panel), "t", "ticker", (F.col("close") / F.nullif(prev, F.lit(0.0)) - 1).alias("score")).where("score IS NOT NULL")
     x = x.withColumn("strategy_id", F.lit(strategy_id))
-    return _sides(x, False, F.lit(quantile), F.lit(gross)).select("strategy_id", "t", "ticker", "w")
+    return _sides(x, False, F.lit(quantile), F.lit(gross)).select(*worlds(panel), "strategy_id", "t", "ticker", "w")
 
 
 # ------------------------------------------------------------------ positive controls that must be caught
@@ -83,15 +98,15 @@ def reversal(panel: DataFrame, strategy_id: str = "reversal", quantile: float =
 
 def leaky_next_return(panel: DataFrame, strategy_id: str = "leaky_next_return") -> DataFrame:
     """Ranks names by the return they are about to earn."""
-    own = Window.partitionBy("ticker").orderBy("t")
+    own = Window.partitionBy(*worlds(panel), "ticker").orderBy("t")
     ahead = (F.lead("t", 1).over(own) == F.col("t") + 1) & (F.lead("t", 2).over(own) == F.col("t") + 2)
     r = F.when(ahead, F.lead("open", 2).over(own) / F.nullif(F.lead("open", 1).over(own), F.lit(0.0)) - 1)
-    x = panel.where("alive").select("t", "ticker", F.coalesce(r, F.lit(0.0)).alias("score"))
+    x = panel.where("alive").select(*worlds(panel), "t", "ticker", F.coalesce(r, F.lit(0.0)).alias("score"))
     return from_score(x.withColumn("strategy_id", F.lit(strategy_id)))
 
 
 def log_returns(panel: DataFrame) -> DataFrame:
-    own = Window.partitionBy("ticker").orderBy("t")
+    own = Window.partitionBy(*worlds(panel), "ticker").orderBy("t")
     prev = F.when(F.lag("t").over(own) == F.col("t") - 1, F.lag("close").over(own))
     both = (F.col("close") > 0) & (prev > 0)
     return panel.withColumn("lr", F.when(both, F.log("close") - F.log(prev)))
@@ -100,17 +115,18 @@ def log_returns(panel: DataFrame) -> DataFrame:
 def leaky_centred_window(panel: DataFrame, window: int = 11, strategy_id: str = "leaky_centred_window") -> DataFrame:
     """Scores by a moving average that reaches into the future."""
     h = window // 2
-    last = panel.agg(F.max("t")).scalar()
-    frame = Window.partitionBy("ticker").orderBy("t").rangeBetween(-h, h)
+    frame = Window.partitionBy(*worlds(panel), "ticker").orderBy("t").rangeBetween(-h, h)
     x = log_returns(panel).withColumn("score", F.coalesce(F.avg("lr").over(frame), F.lit(0.0)))
-    x = x.where((F.col("t") >= h) & (F.col("t") <= last - h) & F.col("alive"))
-    return from_score(x.select(F.lit(strategy_id).alias("strategy_id"), "t", "ticker", "score"))
+    x = _with_last(x, panel).where((F.col("t") >= h) & (F.col("t") <= F.col("_last") - h) & F.col("alive"))
+    return from_score(x.select(*worlds(panel), F.lit(strategy_id).alias("strategy_id"), "t", "ticker", "score"))
 
 
 def leaky_full_sample_scale(panel: DataFrame, base: dict, target: float = 0.02) -> DataFrame:
     """Momentum scaled by a volatility taken over the whole sample."""
-    sd = log_returns(panel).agg(F.stddev_pop("lr")).scalar()
-    return momentum(panel, [base]).withColumn("w", F.col("w") * F.lit(target) / sd)
+    w, book = worlds(panel), momentum(panel, [base])
+    sd = log_returns(panel).groupBy(*w).agg(F.stddev_pop("lr").alias("_sd"))
+    book = book.join(sd, w) if w else book.withColumn("_sd", sd.scalar())
+    return book.withColumn("w", F.col("w") * F.lit(target) / F.col("_sd")).drop("_sd")
 
 
 # ------------------------------------------------------------------ noise family

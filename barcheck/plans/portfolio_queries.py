@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import BASELINE_EXEC, REGIMES
@@ -241,43 +243,82 @@ def _suite(pipeline):
     return lambda s, f: _round(leakage.leakage_suite(pipeline, _panel(s, f)), "max_abs_diff")
 
 
-TRUNC = ", ".join(
-    f"p{i} AS (SELECT * FROM pn WHERE t < (SELECT floor((max(t) + 1) * {c}::DOUBLE) FROM pn)), {momentum_sql(VARIANTS[:1], f'p{i}', f'c{i}')},"
-    f" d{i} AS (SELECT {c}::DOUBLE AS cut, coalesce(a.strategy_id, b.strategy_id) AS strategy_id, max(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) AS d FROM (SELECT * FROM mw WHERE t < (SELECT"
-    f" floor((max(t) + 1) * {c}::DOUBLE) FROM pn)) a FULL OUTER JOIN c{i}w b ON a.strategy_id = b.strategy_id AND a.t = b.t AND a.ticker = b.ticker GROUP BY 2)"
-    for i, c in enumerate((0.5, 0.7, 0.85))
-)
+CUTS, SCRAMBLES = (0.5, 0.7, 0.85), (0.5, 0.75)
 
 
 def _leaky_sql(panel: str, p: str) -> str:
     return (
         f"{p}s AS (SELECT 'leaky_next_return' AS strategy_id, t, ticker, coalesce(CASE WHEN lead(t) OVER o = t + 1 AND lead(t, 2) OVER o = t + 2 THEN lead(open, 2) OVER o / nullif(lead(open) OVER o, 0) - 1"
-        f" END, 0) AS score FROM {panel} WINDOW o AS (PARTITION BY ticker ORDER BY t)), " + sides_sql(f"{p}s", p, True)
+        f" END, 0) AS score FROM {panel} WINDOW o AS (PARTITION BY ticker ORDER BY t)), " + sides_sql(f"{p}s", p, True) + f", {p}w AS (SELECT strategy_id, t, ticker, w FROM {p}bk)"
     )
 
 
-LEAKY = ", ".join(
-    f"p{i} AS (SELECT * FROM pn WHERE t < (SELECT floor((max(t) + 1) * {c}::DOUBLE) FROM pn)), {_leaky_sql(f'p{i}', f'c{i}')},"
-    f" d{i} AS (SELECT {c}::DOUBLE AS cut, coalesce(a.strategy_id, b.strategy_id) AS strategy_id, max(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) AS d FROM (SELECT * FROM fbk WHERE t < (SELECT"
-    f" floor((max(t) + 1) * {c}::DOUBLE) FROM pn)) a FULL OUTER JOIN c{i}bk b ON a.strategy_id = b.strategy_id AND a.t = b.t AND a.ticker = b.ticker GROUP BY 2)"
-    for i, c in enumerate((0.5, 0.7, 0.85))
-)
-DIFFS = " UNION ALL ".join(f"SELECT 'truncation_invariance' AS test, strategy_id, cut, round(d, 9) AS max_abs_diff FROM d{i}" for i in range(3))
+def _log_returns_sql(panel: str, p: str) -> str:
+    return f"{p}lr AS (SELECT t, ticker, CASE WHEN lag(t) OVER o = t - 1 THEN ln(close) - ln(lag(close) OVER o) END AS lr FROM {panel} WINDOW o AS (PARTITION BY ticker ORDER BY t))"
+
+
+def _centred_sql(panel: str, p: str) -> str:
+    return (
+        _log_returns_sql(panel, p) + f", {p}cs AS (SELECT 'leaky_centred_window' AS strategy_id, t, ticker, coalesce(avg(lr) OVER (PARTITION BY ticker ORDER BY t RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING), 0)"
+        f" AS score FROM {p}lr QUALIFY t >= 5 AND t <= (SELECT max(t) FROM {panel}) - 5), " + sides_sql(f"{p}cs", p, True) + f", {p}w AS (SELECT strategy_id, t, ticker, w FROM {p}bk)"
+    )
+
+
+def _scaled_sql(panel: str, p: str) -> str:
+    return (
+        momentum_sql([sg.variant("leaky_scale", window=10)], panel, f"{p}m") + ", " + _log_returns_sql(panel, p)
+        + f", {p}w AS (SELECT strategy_id, t, ticker, w * 0.02 / (SELECT stddev_pop(lr) FROM {p}lr) AS w FROM {p}mw)"
+    )
+
+
+def _history_sql(test: str, i: int, cut: float) -> str:
+    """A truncated or scrambled copy of the panel, named after the test's first letter."""
+    k = f"(SELECT floor((max(t) + 1) * {cut}::DOUBLE)::INT FROM pn)"
+    if test == "t":
+        return f"t{i} AS (SELECT * FROM pn WHERE t < {k})"
+    word = lambda at: f"('0x' || substr(md5(concat_ws('|', '0', t_new, ticker)), {at}, 8))::BIGINT"
+    noise = f"sqrt(-2.0::DOUBLE * ln(({word(1)} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) * cos({word(9)} * {2 * math.pi / 4294967296.0!r}::DOUBLE)"
+    return (
+        f"s{i}m AS (SELECT t, {k} + row_number() OVER (ORDER BY md5(concat_ws('|', '0', t))) - 1 AS t_new FROM (SELECT DISTINCT t FROM pn) WHERE t >= {k}), s{i} AS (SELECT coalesce(t_new, t)::INT AS t, ticker,"
+        f" open * m AS open, high * m AS high, low * m AS low, close * m AS close, volume FROM (SELECT pn.*, t_new, CASE WHEN t_new IS NULL THEN 1 ELSE exp({noise} * 0.05::DOUBLE) END AS m FROM pn LEFT JOIN s{i}m USING (t)))"
+    )
+
+
+def diffs_sql(weights, tests: str = "ts", digits: int = 9) -> str:
+    """Rows (test, strategy_id, cut, max_abs_diff); ``weights(panel, prefix)`` gives CTEs ending in <prefix>w."""
+    ctes, rows = [weights("pn", "f")], []
+    for test, name, cuts in (("t", "truncation_invariance", CUTS), ("s", "future_scramble", SCRAMBLES)):
+        for i, c in enumerate(cuts if test in tests else ()):
+            ctes += [_history_sql(test, i, c), weights(f"{test}{i}", f"x{test}{i}")]
+            k = f"t < (SELECT floor((max(t) + 1) * {c}::DOUBLE) FROM pn)"
+            rows.append(
+                f"SELECT '{name}' AS test, coalesce(a.strategy_id, b.strategy_id) AS strategy_id, {c}::DOUBLE AS cut, round(max(abs(coalesce(a.w, 0) - coalesce(b.w, 0))), {digits}) AS max_abs_diff FROM (SELECT * FROM fw"
+                f" WHERE {k}) a FULL OUTER JOIN (SELECT * FROM x{test}{i}w WHERE {k}) b ON a.strategy_id = b.strategy_id AND a.t = b.t AND a.ticker = b.ticker GROUP BY 2"
+            )
+    return q.with_ctes(*BASE, *ctes) + " UNION ALL ".join(rows)
+
+
+def suite_sql(weights) -> str:
+    return f"SELECT test, strategy_id, round(max(max_abs_diff), 6) AS max_abs_diff, max(max_abs_diff) <= 1e-9::DOUBLE AS passed FROM ({diffs_sql(weights, digits=12)}) GROUP BY 1, 2"
+
+
+def _mom_sql(panel: str, p: str) -> str:
+    return momentum_sql(VARIANTS[:1], panel, p)
+
+
+def _diffs(pipeline, **kw):
+    return lambda s, f: _round(leakage.suite_diffs(pipeline, _panel(s, f), **kw), "max_abs_diff", digits=9)
+
 
 LEAKAGE = {
-    "truncation_diff": (
-        lambda s, f: _round(leakage.truncation_diffs(_mom, _panel(s, f)), "max_abs_diff", digits=9),
-        q.with_ctes(*BASE, momentum_sql(VARIANTS[:1]), TRUNC) + DIFFS,
-    ),
-    "truncation_diff_leaky": (
-        lambda s, f: _round(leakage.truncation_diffs(sg.leaky_next_return, _panel(s, f)), "max_abs_diff", digits=9),
-        q.with_ctes(*BASE, _leaky_sql("pn", "f"), LEAKY) + DIFFS,
-    ),
-    "scramble_diff": (lambda s, f: _round(leakage.scramble_diffs(_mom, _panel(s, f)), "max_abs_diff", digits=9), None),
-    "leakage_suite_momentum": (_suite(_mom), None),
-    "leakage_suite_next_return": (_suite(sg.leaky_next_return), None),
-    "leakage_suite_centred": (_suite(sg.leaky_centred_window), None),
-    "leakage_suite_scaled": (_suite(_scaled), None),
+    "truncation_diff": (_diffs(_mom, scrambles=()), diffs_sql(_mom_sql, "t")),
+    "truncation_diff_leaky": (_diffs(sg.leaky_next_return, scrambles=()), diffs_sql(_leaky_sql, "t")),
+    "scramble_diff": (_diffs(_mom, cuts=()), diffs_sql(_mom_sql, "s")),
+    "scramble_diff_leaky": (_diffs(sg.leaky_next_return, cuts=()), diffs_sql(_leaky_sql, "s")),
+    "leakage_suite_momentum": (_suite(_mom), suite_sql(_mom_sql)),
+    "leakage_suite_next_return": (_suite(sg.leaky_next_return), suite_sql(_leaky_sql)),
+    "leakage_suite_centred": (_suite(sg.leaky_centred_window), suite_sql(_centred_sql)),
+    "leakage_suite_scaled": (_suite(_scaled), suite_sql(_scaled_sql)),
     "implausible_performance": (
         lambda s, f: _round(leakage.implausible_performance(moments.sharpe_table(_accounts(s, f, [BASELINE_EXEC]).returns(), "net")), "sharpe"),
         q.with_ctes(*BASE, *BOTH, *engine_sql("allw", [BASELINE_EXEC])) + f"SELECT strategy_id, round({SHARPE}, 6) AS sharpe, {SHARPE} < 5 AS passed FROM rt GROUP BY 1",
