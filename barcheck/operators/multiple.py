@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.shape import order_sums, split_index
+from ..functions.shape import order_sums
 from ..session import cut_lineage
 
 
@@ -47,101 +46,130 @@ def bh(pvalues: DataFrame, q: float = 0.05, p: str = "p", family: Sequence[str]
 MOST_SLICES = 16
 
 
-def pbo(returns: DataFrame, slices: int = MOST_SLICES, r: str = "r") -> DataFrame:
-    """Probability of backtest overfitting by symmetric cross-validation: one row (pbo, n_combos, variants).
+def pbo(returns: DataFrame, slices: int = MOST_SLICES, r: str = "r", family: Sequence[str] = ()) -> DataFrame:
+    """Probability of backtest overfitting by symmetric cross-validation: a row (family, pbo, n_combos, variants) per family.
 
     Every variant is reduced to count, sum and square sum per slice; a split of the slices is then a few additions, whatever
-    the number of bars. All splits are taken, 12,870 for 16 slices, as bit masks. There are at most as many slices as
-    bars, and an even number of them; ``slices`` above MOST_SLICES is refused. With fewer than two variants nothing can be
-    overfitted: pbo is NULL and n_combos 0.
+    the number of bars. All splits are taken, 12,870 for 16 slices, as bit masks. A family has at most as many slices as
+    bars, and an even number of them; ``slices`` above MOST_SLICES is refused. With fewer than two variants or bars nothing
+    can be overfitted: pbo is NULL and n_combos 0.
     """
     if not 2 <= slices <= MOST_SLICES:
         raise ValueError(f"slices must be between 2 and {MOST_SLICES}")
-    bars = returns.agg((F.max("t") + 1).alias("n")).first()["n"] or 0
-    s = min(slices, bars) // 2 * 2
-    if s < 2:
-        return returns.agg(F.lit(None).cast("double").alias("pbo"), F.lit(0).cast("long").alias("n_combos"), F.countDistinct("strategy_id").alias("variants"))
-    total = F.lit(bars)
-    x = returns.select("strategy_id", "t", F.col(r).alias("r"), total.alias("bars"))
-    x = x.withColumn("s", split_index(F.col("t"), F.col("bars"), s))
-    per = [F.count_if(F.col("s") == i).cast("double").alias(f"n{i}") for i in range(s)]
-    per += [F.sum(F.when(F.col("s") == i, F.col("r")).otherwise(0.0)).alias(f"a{i}") for i in range(s)]
-    per += [F.sum(F.when(F.col("s") == i, F.col("r") * F.col("r")).otherwise(0.0)).alias(f"b{i}") for i in range(s)]
-    v = x.groupBy("strategy_id").agg(*per)
-    chosen = F.filter(F.sequence(F.lit(0), F.lit((1 << s) - 1)), lambda m: F.bit_count(m) == s // 2)
+    family = list(family)
+    # without a family column all variants are one family; a struct keeps NULL families apart
+    x = returns.select(F.struct(F.lit(0).alias("_all"), *family).alias("_f"), "strategy_id", "t", F.col(r).alias("r"))
+    sizes = x.groupBy("_f").agg((F.max("t") + 1).alias("bars"), F.countDistinct("strategy_id").alias("variants"))
+    sizes = sizes.withColumn("s", F.floor(F.least(F.lit(slices), F.col("bars")) / 2) * 2)
+    some = x.join(sizes.where("s >= 2 AND variants > 1"), "_f")
+    q = F.floor(F.col("bars") / F.col("s"))
+    long = F.col("bars") % F.col("s")
+    head = long * (q + 1)
+    part = F.when(F.col("t") < head, F.floor(F.col("t") / (q + 1))).otherwise(long + F.floor((F.col("t") - head) / q)).cast("int")
+    v = some.groupBy("_f", "variants", "s", "strategy_id", part.alias("part")).agg(F.count("*").cast("double").alias("n"), F.coalesce(F.sum("r"), F.lit(0.0)).alias("a"), F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0)).alias("b"))
+    v = v.groupBy("_f", "variants", "s", "strategy_id").agg(F.map_from_entries(F.collect_list(F.struct("part", F.struct("n", "a", "b").alias("v")))).alias("m"))
     # sums over the slices of every low and every high half of a mask, once per variant; a split then adds two of them
-    half = s // 2
-
-    def halves(c: str, first: int):
-        own = [F.col(f"{c}{first + i}") for i in range(half)]
-        pick = lambda m: sum((F.when(F.getbit(m, F.lit(i)) == 1, x).otherwise(0.0) for i, x in enumerate(own)), F.lit(0.0))
-        return F.transform(F.sequence(F.lit(0), F.lit((1 << half) - 1)), pick)
-
-    v = v.select("strategy_id", *[halves(c, k * half).alias(f"{c}_{k}") for c in "nab" for k in (0, 1)], *[sum(F.col(f"{c}{i}") for i in range(s)).alias(f"{c}_all") for c in "nab"])
-    y = v.withColumn("mask", F.explode(chosen))
-    inside = {c: F.element_at(f"{c}_0", F.col("mask").bitwiseAND(F.lit((1 << half) - 1)) + 1) + F.element_at(f"{c}_1", F.shiftright("mask", half) + 1) for c in "nab"}
-    y = y.select("strategy_id", "mask", *[x.alias(f"i{c}") for c, x in inside.items()], *[(F.col(f"{c}_all") - x).alias(f"o{c}") for c, x in inside.items()])
-
-    def sr(p: str):
-        n, a, b = F.col(f"{p}n"), F.col(f"{p}a"), F.col(f"{p}b")
-        var = (b - a * a / n) / (n - 1)
-        return F.when(var > 1e-30, a / n / F.sqrt(var)).otherwise(F.lit(0.0))
-
-    y = y.select("strategy_id", "mask", sr("i").alias("is_sr"), sr("o").alias("oos_sr"))
-    # the first variant wins ties, as the name order is descending inside the maximum
-    top = y.groupBy("mask").agg(F.max("is_sr").alias("is_sr"), F.count("*").alias("K"))
-    best = y.join(top, ["mask", "is_sr"]).groupBy("mask").agg(F.min_by("oos_sr", "strategy_id").alias("best"), F.first("K").alias("K"))
-    z = y.join(best, "mask").groupBy("mask", "K").agg(F.count_if(F.col("oos_sr") < F.col("best")).alias("below"), F.count_if(F.col("oos_sr") == F.col("best")).alias("same"))
-    w = (F.col("below") + 0.5 * (F.col("same") - 1) + 0.5) / F.col("K")
+    half = (F.col("s") / 2).cast("int")
+    nothing = F.struct(*[F.lit(0.0).alias(c) for c in "nab"])
+
+    def halves(first):
+        def pick(mask):
+            def add(acc, i):
+                y = F.try_element_at("m", first + i)
+                take = y.isNotNull() & (mask.bitwiseAND(F.element_at("_bits", i + 1)) != 0)
+                return F.when(take, F.struct(*[(acc[c] + y[c]).alias(c) for c in "nab"])).otherwise(acc)
+
+            return F.aggregate(F.sequence(F.lit(0), half - 1), nothing, add)
+
+        return F.transform(F.sequence(F.lit(0), F.element_at("_bits", half + 1) - 1), pick)
+
+    v = v.withColumn("_bits", F.array(*[F.lit(1 << i) for i in range(MOST_SLICES + 1)]))
+    whole = F.aggregate(F.map_values("m"), nothing, lambda acc, y: F.struct(*[(acc[c] + y[c]).alias(c) for c in "nab"]))
+    v = v.select("_f", "variants", "s", "strategy_id", halves(F.lit(0)).alias("low"), halves(half).alias("high"), whole.alias("whole"), F.element_at("_bits", half + 1).alias("_size"))
+    masks = sizes.where("s >= 2 AND variants > 1").select("s").distinct()
+    masks = masks.select("s", F.explode(F.sequence(F.lit(0), (F.pow(F.lit(2.0), "s") - 1).cast("int"))).alias("mask")).where(F.bit_count("mask") * 2 == F.col("s"))
+    y = v.join(masks, "s")
+    at = {"low": F.col("mask") % F.col("_size") + 1, "high": F.floor(F.col("mask") / F.col("_size")).cast("int") + 1}
+    y = y.select("_f", "variants", "mask", "strategy_id", "whole", *[F.element_at(c, i).alias(c) for c, i in at.items()])
+    inside = {c: F.col("low")[c] + F.col("high")[c] for c in "nab"}
+    outside = {c: F.col("whole")[c] - inside[c] for c in "nab"}
+
+    def sr(v):
+        var = (v["b"] - v["a"] * v["a"] / v["n"]) / (v["n"] - 1)
+        return F.when((v["n"] > 1) & (var > 1e-30), v["a"] / v["n"] / F.sqrt(var)).otherwise(F.lit(0.0))
+
+    y = y.select("_f", "variants", "mask", "strategy_id", sr(inside).alias("is_sr"), sr(outside).alias("oos_sr"))
+    # one shuffle on the split: the best variant inside, the first of equal ones, and its rank outside
+    split = Window.partitionBy("_f", "mask")
+    y = y.withColumn("best", F.first("oos_sr").over(split.orderBy(F.desc("is_sr"), "strategy_id")))
+    z = y.groupBy("_f", "mask", "variants").agg(F.count_if(F.col("oos_sr") < F.col("best")).alias("below"), F.count_if(F.col("oos_sr") == F.col("best")).alias("same"))
+    w = (F.col("below") + 0.5 * (F.col("same") - 1) + 0.5) / F.col("variants")
     w = F.greatest(F.least(w, F.lit(1 - 1e-6)), F.lit(1e-6))
-    z = z.withColumn("logit", F.log(w / (1 - w)))
-    some = z.agg(F.avg(F.when(F.col("logit") <= 0, 1.0).otherwise(0.0)).alias("pbo"), F.count("*").alias("n_combos"), F.max("K").alias("variants"))
-    many = F.col("variants") > 1
-    return some.select(F.when(many, F.col("pbo")).alias("pbo"), F.when(many, F.col("n_combos")).otherwise(0).alias("n_combos"), "variants")
+    found = z.groupBy("_f").agg(F.avg(F.when(F.log(w / (1 - w)) <= 0, 1.0).otherwise(0.0)).alias("pbo"), F.count("*").alias("n_combos"))
+    out = sizes.select("_f", "variants").join(found, "_f", "left")
+    if not family:
+        # an empty table is a family without variants
+        return out.agg(F.max("pbo").alias("pbo"), F.coalesce(F.max("n_combos"), F.lit(0)).alias("n_combos"), F.coalesce(F.max("variants"), F.lit(0)).alias("variants"))
+    return out.select(*[F.col("_f")[c].alias(c) for c in family], "pbo", F.coalesce("n_combos", F.lit(0)).alias("n_combos"), "variants")
 
 
 # ------------------------------------------------------------------ effective trials
 
-BLOCK = 64
+#: Numbers in one block of standardised series at most.
+BLOCK_CELLS = 2_000_000
 
 
-def effective_trials(returns: DataFrame, corr_thresh: float = 0.7, r: str = "r", block: int = BLOCK) -> DataFrame:
+def correlated(returns: DataFrame, corr_thresh: float = 0.7, r: str = "r", family: Sequence[str] = (), block: int | None = None) -> DataFrame:
+    """(_f, a, b): variants of one family, a before b by name, whose returns correlate at the threshold or more either way.
+
+    Blocks of series meet block by block and one matrix product gives all correlations of two blocks; only links leave.
+    """
+    x = returns.select(F.struct(F.lit(0).alias("_all"), *family).alias("_f"), "strategy_id", "t", F.col(r).alias("r"))
+    bars = x.agg(F.max("t") + 1).scalar()
+    size = F.lit(block) if block else F.greatest(F.lit(1), F.least(F.lit(64), F.floor(F.lit(BLOCK_CELLS) / bars)))
+    m = x.groupBy("_f", "strategy_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "r"))), lambda p: p["r"]).alias("v"))
+    names = m.groupBy("_f").agg(F.count("*").alias("_k"))
+    # variants are dealt to as many blocks as their number asks for
+    m = m.join(names, "_f").withColumn("_n", F.ceil(F.col("_k") / size).cast("int")).withColumn("_b", F.pmod(F.xxhash64("strategy_id"), F.col("_n")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda o: F.struct(F.least("_b", o).alias("i"), F.greatest("_b", o).alias("j")))
+    cell = m.withColumn("p", F.explode(pairs))
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        u = np.stack([_unit(np.asarray(v, float)) for v in pdf["v"]])
+        of, name = pdf["_b"].to_numpy(), pdf["strategy_id"].to_numpy()
+        a, b = np.nonzero(np.abs(u @ u.T) >= corr_thresh)
+        # a pair inside one block is taken where the block meets itself only
+        inside = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
+        keep = (name[a] < name[b]) & (inside | (of[a] != of[b]))
+        return pd.DataFrame({"_key": pdf["_key"].iloc[0], "a": name[a][keep], "b": name[b][keep]})
+
+    # families travel as text, which keeps a NULL one apart
+    cell = cell.select(F.to_json("_f").alias("_key"), F.col("p.i").alias("_i"), F.col("p.j").alias("_j"), "strategy_id", "v", "_b")
+    found = cell.groupBy("_key", "_i", "_j").applyInPandas(links, "_key string, a string, b string")
+    return found.join(names.select("_f", F.to_json("_f").alias("_key")), "_key").select("_f", "a", "b")
+
+
+def effective_trials(returns: DataFrame, corr_thresh: float = 0.7, r: str = "r", family: Sequence[str] = (), block: int | None = None) -> DataFrame:
     """Clusters met when variants are taken in name order and everything correlated with a taken one is dropped.
 
-    Exact, without the matrix of all pairs: the next ``block`` variants settle which of them lead, then one distributed
-    pass drops what correlates with these leaders. Only ``block`` standardised series travel per round.
+    One row (family, effective, variants) per family. Who leads is settled in rounds of joins on the links: a variant leads
+    once all linked variants before it are dropped, and is dropped once one of them leads. Only the number of open variants
+    reaches the driver.
     """
-    spark = returns.sparkSession
-    m = returns.groupBy("strategy_id").agg(F.sort_array(F.collect_list(F.struct("t", F.col(r).alias("r")))).alias("p"))
-    left = m.select("strategy_id", F.col("p.r").alias("v"))
-    clusters = 0
-    while True:
-        head = left.orderBy("strategy_id").limit(block).collect()
-        if not head:
-            break
-        leaders: list[np.ndarray] = []
-        for row in head:
-            u = _unit(np.asarray(row["v"], float))
-            if not any(abs(float(u @ w)) >= corr_thresh for w in leaders):
-                leaders.append(u)
-        clusters += len(leaders)
-        mark = head[-1]["strategy_id"]
-        if len(head) < block:
-            break
-        lead = spark.sparkContext.broadcast(np.stack(leaders))
-
-        left = cut_lineage(left.where(F.col("strategy_id") > mark).where(_apart(lead, corr_thresh)("v")))
-    return returns.agg(F.lit(clusters).alias("effective"), F.countDistinct("strategy_id").alias("variants"))
-
-
-def _apart(lead: Broadcast, limit: float):
-    """Filter: series that correlate with none of the leaders."""
-
-    def apart(v: pd.Series) -> pd.Series:
-        u = np.stack([_unit(np.asarray(x, float)) for x in v])
-        return pd.Series((np.abs(u @ lead.value.T) < limit).all(axis=1))
-
-    return F.pandas_udf(apart, "boolean")
+    family = list(family)
+    names = returns.select(F.struct(F.lit(0).alias("_all"), *family).alias("_f"), "strategy_id").distinct()
+    links = cut_lineage(correlated(returns, corr_thresh, r, family, block))
+    state = cut_lineage(names.join(links.select("_f", F.col("b").alias("strategy_id")).distinct().withColumn("_open", F.lit(True)), ["_f", "strategy_id"], "left").select(
+        "_f", "strategy_id", F.when(F.col("_open"), F.lit("open")).otherwise("leads").alias("state")))
+    while state.where("state = 'open'").limit(1).count():
+        before = links.join(state.select("_f", F.col("strategy_id").alias("a"), "state"), ["_f", "a"]).groupBy("_f", F.col("b").alias("strategy_id")).agg(
+            F.bool_or(F.col("state") == "leads").alias("_led"), F.bool_and(F.col("state") == "dropped").alias("_free"))
+        now = F.when(F.col("state") != "open", F.col("state")).when(F.col("_led"), F.lit("dropped")).when(F.col("_free"), F.lit("leads")).otherwise("open")
+        state = cut_lineage(state.join(before, ["_f", "strategy_id"], "left").select("_f", "strategy_id", now.alias("state")))
+    out = state.groupBy("_f").agg(F.count_if(F.col("state") == "leads").alias("effective"), F.count("*").alias("variants"))
+    if not family:
+        return out.agg(F.coalesce(F.max("effective"), F.lit(0)).alias("effective"), F.coalesce(F.max("variants"), F.lit(0)).alias("variants"))
+    return out.select(*[F.col("_f")[c].alias(c) for c in family], "effective", "variants")
 
 
 def _unit(v: np.ndarray) -> np.ndarray:

@@ -16,34 +16,71 @@ def bars_total(df: DataFrame) -> Column:
     return df.agg(F.max("t") + 1).scalar()
 
 
-def bootstrap_index(spark: SparkSession, total: Column, replicates: int, mean_block: float = 10, seed: int = 0) -> DataFrame:
-    """Stationary bootstrap (b, t, idx): blocks restart with probability 1/mean_block.
+def bootstrap_blocks(totals: DataFrame, replicates: int, mean_block: float = 10, seed: int = 0) -> DataFrame:
+    """Blocks (bars, b, j, at, start, len) of the stationary bootstrap for every length in ``totals`` (bars).
 
-    A position is its block's start plus the distance to the restart, modulo the length; the last restart is a running
-    maximum. Replicates are generated in parallel, one replicate has one row per bar.
+    Block j of replicate b starts at a uniform bar and has a geometric length of mean ``mean_block``; ``at`` is its place in
+    the replicate. About bars / mean_block rows a replicate are drawn, ten standard deviations and twenty more than needed;
+    the last one drawn would take whatever is left.
     """
     p = 1.0 / max(mean_block, 1.0)
-    x = spark.range(replicates).select(F.col("id").cast("int").alias("b"), total.cast("int").alias("bars"))
-    x = x.select("b", "bars", F.explode(F.sequence(F.lit(0), F.col("bars") - 1)).alias("t"))
-    again = (F.col("t") == 0) | (uniform(seed, "p", F.col("b"), F.col("t")) < p)
-    begin = F.when(again, F.struct(F.col("t").alias("t0"), uniform_int(F.col("bars"), seed, "s", F.col("b"), F.col("t")).alias("s0")))
-    w = Window.partitionBy("b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("k", F.max(begin).over(w))
-    return x.select("b", "t", ((F.col("k.s0") + F.col("t") - F.col("k.t0")) % F.col("bars")).alias("idx"))
+    need = F.ceil(F.col("bars") * p + 10 * F.sqrt(F.col("bars") * (p * (1 - p))) + 20).cast("int")
+    x = totals.select(F.col("bars").cast("int").alias("bars")).where("bars > 0").distinct().withColumn("most", need)
+    x = x.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("most") - 1)))
+    size = F.lit(1) if p >= 1 else 1 + F.floor(F.log(1 - uniform(seed, "p", F.col("b"), F.col("j"))) / F.lit(math.log(1 - p)))
+    x = x.withColumn("size", size.cast("long"))
+    x = x.withColumn("at", F.sum("size").over(Window.partitionBy("bars", "b").orderBy("j")) - F.col("size")).where(F.col("at") < F.col("bars"))
+    left = F.col("bars") - F.col("at")
+    return x.select(
+        "bars", "b", "j", "at", uniform_int(F.col("bars"), seed, "s", F.col("b"), F.col("j")).alias("start"),
+        F.when(F.col("j") == F.col("most") - 1, left).otherwise(F.least("size", left)).alias("len"),
+    )
+
+
+def bootstrap_index(spark: SparkSession, total: Column, replicates: int, mean_block: float = 10, seed: int = 0) -> DataFrame:
+    """The same replicates bar by bar: (b, t, idx), one row per bar."""
+    x = bootstrap_blocks(spark.range(1).select(total.cast("int").alias("bars")), replicates, mean_block, seed)
+    x = x.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("len") - 1)))
+    return x.select("b", (F.col("at") + F.col("i")).cast("int").alias("t"), ((F.col("start") + F.col("i")) % F.col("bars")).cast("int").alias("idx"))
+
 
+#: Bars whose running sums are worked out together.
+SUM_CHUNK = 4096
 
-def replicate_sums(returns: DataFrame, replicates: int, mean_block: float = 10, seed: int = 0, keys: Sequence[str] = ("strategy_id",), r: str = "r") -> DataFrame:
-    """(keys, b, bars, s1, s2): sums of r and r^2 over each replicate.
 
-    Replicates are reduced to how often each bar occurs before they meet the returns, and the joined rows are summed
-    map-side, so the shuffle carries one row per (strategy, replicate) and task.
+def prefix_sums(returns: DataFrame, keys: Sequence[str], r: str = "r") -> DataFrame:
+    """(keys, e, p1, p2): sums of r and r^2 over the bars before e, for e from 1 on; chunks of bars, chained by their totals."""
+    keys = list(keys)
+    x = returns.select(*keys, "t", F.coalesce(F.col(r), F.lit(0.0)).alias("_r"), F.floor(F.col("t") / F.lit(SUM_CHUNK)).alias("_c"))
+    per = x.groupBy(*keys, "_c").agg(F.sum("_r").alias("_s1"), F.sum(F.col("_r") * F.col("_r")).alias("_s2"))
+    past = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(*keys, "_c", *[F.coalesce(F.sum(f"_s{i}").over(past), F.lit(0.0)).alias(f"_k{i}") for i in (1, 2)])
+    w = Window.partitionBy(*keys, "_c").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_a", F.sum("_r").over(w)).withColumn("_b", F.sum(F.col("_r") * F.col("_r")).over(w)).join(carry, [*keys, "_c"])
+    return x.select(*keys, (F.col("t") + 1).alias("e"), (F.col("_a") + F.col("_k1")).alias("p1"), (F.col("_b") + F.col("_k2")).alias("p2"))
+
+
+def replicate_sums(returns: DataFrame, replicates: int, mean_block: float = 10, seed: int = 0, keys: Sequence[str] = ("strategy_id",), r: str = "r",
+                   family: Sequence[str] = ()) -> DataFrame:
+    """(family, keys, b, bars, s1, s2): sums of r and r^2 over each replicate.
+
+    The sum over a block is a difference of two running sums, so a replicate is a set of signed block ends: about two rows
+    a block instead of one a bar. Families of one length share one bootstrap; ``keys`` are unique across families. Every
+    key has one row for each bar of its family; a NULL return counts as 0. Joined rows are summed map-side, so the shuffle
+    carries one row per (key, replicate) and task.
     """
-    spark = returns.sparkSession
-    total = bars_total(returns)
-    times = bootstrap_index(spark, total, replicates, mean_block, seed).groupBy("b", F.col("idx").alias("t")).agg(F.count("*").alias("k"))
-    x = returns.select(*keys, "t", F.col(r).alias("r")).join(times, "t")
-    s = x.groupBy(*keys, "b").agg(F.sum(F.col("k") * F.col("r")).alias("s1"), F.sum(F.col("k") * F.col("r") * F.col("r")).alias("s2"))
-    return s.withColumn("bars", total)
+    family, keys = list(family), list(keys)
+    # one struct holds the family, so that a NULL in it is a family of its own
+    x = returns.select(F.struct(F.lit(0).alias("_all"), *family).alias("_f"), *keys, "t", F.col(r).alias("r"))
+    totals = x.groupBy("_f").agg((F.max("t") + 1).cast("int").alias("bars"))
+    n, end = F.col("bars"), F.col("start") + F.col("len")
+    point = lambda e, c: F.struct(e.cast("int").alias("e"), F.lit(c).alias("c"))
+    ends = F.when(end <= n, F.array(point(end, 1), point(F.col("start"), -1))).otherwise(F.array(point(n, 1), point(end - n, 1), point(F.col("start"), -1)))
+    signs = bootstrap_blocks(totals, replicates, mean_block, seed).select("bars", "b", F.explode(ends).alias("x")).select("bars", "b", "x.*").where("e > 0")
+    signs = signs.groupBy("bars", "e", "b").agg(F.sum("c").alias("c")).where("c <> 0")
+    x = prefix_sums(x, ["_f", *keys]).join(totals, "_f").join(signs, ["bars", "e"])
+    x = x.groupBy("_f", *keys, "b", "bars").agg(F.sum(F.col("c") * F.col("p1")).alias("s1"), F.sum(F.col("c") * F.col("p2")).alias("s2"))
+    return x.select(*[F.col("_f")[c].alias(c) for c in family], *keys, "b", "bars", "s1", "s2")
 
 
 def sharpe_interval(sums: DataFrame, keys: Sequence[str] = ("strategy_id",), ppy: int = 252, level: float = 0.95) -> DataFrame:
@@ -59,18 +96,21 @@ def variant_means(returns: DataFrame, keys: Sequence[str] = ("strategy_id",), r:
     return returns.groupBy(*keys).agg(F.avg(r).alias("mu"))
 
 
-def reality_check(returns: DataFrame, replicates: int = 1000, mean_block: float = 10, seed: int = 0, sums: DataFrame | None = None) -> DataFrame:
-    """White's reality check over all variants: one row (p, replicates)."""
-    s = replicate_sums(returns, replicates, mean_block, seed) if sums is None else sums
+def reality_check(returns: DataFrame, replicates: int = 1000, mean_block: float = 10, seed: int = 0, sums: DataFrame | None = None, family: Sequence[str] = ()) -> DataFrame:
+    """White's reality check over the variants of each family: (family, p, replicates). ``sums`` come from ``replicate_sums``
+    with the same ``family``."""
+    family = list(family)
+    s = replicate_sums(returns, replicates, mean_block, seed, family=family) if sums is None else sums
     m = variant_means(returns)
     root = F.sqrt(F.col("bars").cast("double"))
-    boot = s.join(m, "strategy_id").groupBy("b").agg(F.max(root * (F.col("s1") / F.col("bars") - F.col("mu"))).alias("vb"), F.max(root * F.col("mu")).alias("v"))
-    return boot.agg(F.avg(F.when(F.col("vb") >= F.col("v"), 1.0).otherwise(0.0)).alias("p"), F.count("*").alias("replicates"))
+    boot = s.join(m, "strategy_id").groupBy(*family, "b").agg(F.max(root * (F.col("s1") / F.col("bars") - F.col("mu"))).alias("vb"), F.max(root * F.col("mu")).alias("v"))
+    return boot.groupBy(*family).agg(F.avg(F.when(F.col("vb") >= F.col("v"), 1.0).otherwise(0.0)).alias("p"), F.count("*").alias("replicates"))
 
 
-def spa_test(returns: DataFrame, replicates: int = 1000, mean_block: float = 10, seed: int = 0, sums: DataFrame | None = None) -> DataFrame:
-    """Hansen's test: studentised, poor variants re-centred, statistics clamped at 0."""
-    s = replicate_sums(returns, replicates, mean_block, seed) if sums is None else sums
+def spa_test(returns: DataFrame, replicates: int = 1000, mean_block: float = 10, seed: int = 0, sums: DataFrame | None = None, family: Sequence[str] = ()) -> DataFrame:
+    """Hansen's test per family: studentised, poor variants re-centred, statistics clamped at 0."""
+    family = list(family)
+    s = replicate_sums(returns, replicates, mean_block, seed, family=family) if sums is None else sums
     root = F.sqrt(F.col("bars").cast("double"))
     x = s.join(variant_means(returns), "strategy_id").withColumn("d", root * (F.col("s1") / F.col("bars") - F.col("mu")))
     om = x.groupBy("strategy_id").agg(F.greatest(F.stddev_samp("d"), F.lit(1e-12)).alias("om"))
@@ -79,8 +119,8 @@ def spa_test(returns: DataFrame, replicates: int = 1000, mean_block: float = 10,
     g = F.when(F.col("ts") <= bar, F.col("mu")).otherwise(F.lit(0.0))
     z = F.col("d") / F.col("om") + root * g / F.col("om")
     zero = F.lit(0.0)
-    boot = x.groupBy("b").agg(F.greatest(F.max(z), zero).alias("vb"), F.greatest(F.max("ts"), zero).alias("v"))
-    return boot.agg(F.avg(F.when(F.col("vb") >= F.col("v"), 1.0).otherwise(0.0)).alias("p"), F.count("*").alias("replicates"))
+    boot = x.groupBy(*family, "b").agg(F.greatest(F.max(z), zero).alias("vb"), F.greatest(F.max("ts"), zero).alias("v"))
+    return boot.groupBy(*family).agg(F.avg(F.when(F.col("vb") >= F.col("v"), 1.0).otherwise(0.0)).alias("p"), F.count("*").alias("replicates"))
 
 
 # ------------------------------------------------------------------ permutations

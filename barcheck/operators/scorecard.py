@@ -96,10 +96,10 @@ def flags(sharpes: DataFrame, ablation_of: DataFrame | None = None, keep: float
 
 
 def trials_for_deflation(trial_counts: DataFrame, effective: DataFrame, variance: DataFrame) -> DataFrame:
-    """Per family: n_trials = max(its logged variants, effective trials, 1) and the variance of the variants' Sharpe ratios."""
-    one = F.lit(1).alias("_one")
-    t = trial_counts.groupBy("family").agg(F.max("variants").alias("logged"))
-    x = t.select("*", one).join(effective.select("effective", one), "_one").join(variance.select("var_sr", one), "_one")
+    """Per family with returns: n_trials = max(its logged variants, its effective trials, 1) and the variance of its variants'
+    Sharpe ratios. All three tables have a column ``family``; a family without a log has logged 0."""
+    x = effective.select("family", "effective").join(variance.select("family", "var_sr"), "family")
+    x = x.join(trial_counts.groupBy("family").agg(F.max("variants").alias("logged")), "family", "left").withColumn("logged", F.coalesce("logged", F.lit(0).cast("long")))
     return x.select("family", "logged", "effective", F.greatest("logged", "effective", F.lit(1)).cast("double").alias("n_trials"), "var_sr")
 
 

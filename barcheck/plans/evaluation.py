@@ -29,12 +29,15 @@ def evaluate(
     leaks: DataFrame | None = None,
     neighbors: DataFrame | None = None,
     trial_counts: DataFrame | None = None,
+    families: DataFrame | None = None,
     th: dict = THRESHOLDS,
     base: dict = BASELINE_EXEC,
     capitals: Sequence[float] = (1e3, 1e4, 1e5, 1e6, 1e7),
     stage: bool = True,
 ) -> Evaluation:
-    """All strategies of ``weights`` are one search family. ``findings`` and ``leaks`` carry (strategy_id, hard_fails).
+    """Overfitting, data snooping and deflation are judged within each search family: ``families`` (strategy_id, family), or
+    all strategies of ``weights`` as one. ``trial_counts`` (family, variants) is the log. ``findings`` and ``leaks`` carry
+    (strategy_id, hard_fails).
 
     With ``stage`` the cells and returns are written once to the shared folder for the statistics that share them.
     """
@@ -54,32 +57,39 @@ def evaluate(
     m = moments.power_table(b).select("strategy_id", "n", F.col("sharpe").alias("baseline_sharpe"), "power")
     pess = at("pessimistic").groupBy("strategy_id").agg(F.avg("net").alias("pessimistic_mean"))
     be = pf.break_even(at("baseline")).select("strategy_id", F.col("cost_multiple").alias("gross_to_cost"))
-    eff = multiple.effective_trials(b)
-    # the job evaluates one family; ``trial_counts`` holds that family's row
-    logged = (trial_counts.agg(F.max("variants").alias("variants")) if trial_counts is not None else eff.select(F.lit(0).alias("variants"))).withColumn("family", F.lit("this"))
-    trials = sc.trials_for_deflation(logged, eff, moments.sharpe_variance(b))
     names = weights.select("strategy_id").distinct()
-    one = F.lit(1).alias("_one")
-    per = names.select("*", one).join(trials.select("n_trials", "var_sr", one), "_one").drop("_one")
+    if families is None:
+        families = names.withColumn("family", F.lit("this"))
+        if trial_counts is not None:  # the log of a job with one family holds that family's rows
+            trial_counts = trial_counts.agg(F.max("variants").alias("variants")).withColumn("family", F.lit("this"))
+    families = families.select("strategy_id", "family").distinct()
+    if stage:
+        families = cut_lineage(families)
+    by = ["family"]
+    bf = b.join(families, "strategy_id")
+    eff = multiple.effective_trials(bf, family=by)
+    logged = trial_counts if trial_counts is not None else eff.select("family", F.lit(0).cast("long").alias("variants"))
+    trials = sc.trials_for_deflation(logged, eff, moments.sharpe_variance(bf, by))
+    per = families.join(trials.select("family", "n_trials", "var_sr"), by).drop("family")
     dsr = moments.deflated_sharpe(b, per).select("strategy_id", "dsr")
     held = cells.where((F.col("scenario") == "baseline") & (F.col("w") != 0)).select("strategy_id", "t", "ticker", "w")
     nxt = pan.next_open(panel).select("t", "ticker", F.coalesce(F.col("next_open") / F.nullif(F.col("open"), F.lit(0.0)) - 1, F.lit(0.0)).alias("r"))
     total = panel.agg(F.max("t") + 1).scalar()
     perm = rs.shift_pvalue(rs.shifted_means(held, nxt, total, th["n_perm"], 20, th["seed"])).select("strategy_id", F.col("p").alias("perm_p"))
-    sums = rs.replicate_sums(b, th["n_boot"], 10, th["seed"])
+    sums = rs.replicate_sums(bf, th["n_boot"], 10, th["seed"], family=by)
     if stage:
         sums = cut_lineage(sums)
-    spa = rs.spa_test(b, sums=sums).select(F.col("p").alias("spa_p"), one)
-    rc = rs.reality_check(b, sums=sums).select(F.col("p").alias("rc_p"), one)
-    over = multiple.pbo(b).select("pbo", one)
-    family = spa.join(rc, "_one").join(over, "_one")
+    spa = rs.spa_test(b, sums=sums, family=by).select("family", F.col("p").alias("spa_p"))
+    rc = rs.reality_check(b, sums=sums, family=by).select("family", F.col("p").alias("rc_p"))
+    over = multiple.pbo(bf, family=by).select("family", "pbo")
+    family = families.join(spa, by).join(rc, by).join(over, by).drop("family")
+    interval = rs.sharpe_interval(sums).select("strategy_id", F.col("lo").alias("sharpe_lo"), F.col("hi").alias("sharpe_hi"))
     ep = pf.trade_episodes(cells.where("scenario = 'baseline'"))
     conc = trades.concentration(ep).select("strategy_id", "n_trades", "top5_share", "net_without_top1pct")
     sub = sc.subperiod_share(b)
     alpha = regression.factor_regression(b, pan.market_proxy(panel), ["market_return"]).select("strategy_id", "alpha_t")
-    for part in (pess, be, dsr, perm, conc, sub, alpha):
+    for part in (pess, be, dsr, perm, conc, sub, alpha, family, interval):
         m = m.join(part, "strategy_id", "left")
-    m = m.select("*", one).join(family, "_one").drop("_one")
     if neighbors is not None:
         base_sharpes = ladders.where("scenario = 'baseline'").select("strategy_id", "sharpe")
         m = m.join(sc.neighbourhood(base_sharpes, neighbors), "strategy_id", "left")

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import INTERESTING, LIVE, PAPER_VALIDATED, REJECTED, ROBUST, ROBUST_DEV, THRESHOLDS
-from ..operators import audits, eventlog, leakage, moments, panel as pan, regression, resampling as rs, scorecard as sc, signals as sg
+from ..operators import audits, eventlog, leakage, moments, regression, resampling as rs, scorecard as sc, signals as sg
 from ..session import cut_lineage, shared_folder
 from ..sources import tables as src
 from ..streaming import checks
-from . import integrity_queries as iq, ledger_queries as lq, sqltext as q, stats_queries as sq
+from . import ledger_queries as lq, sqltext as q, stats_queries as sq
 from .evaluation import evaluate, leak_failures
 from .integrity_queries import _round
 from .portfolio_queries import _panel, _terminal
@@ -126,9 +126,9 @@ def _data_gate(spark, folder):
 def _trials(spark, folder):
     from ..operators import multiple
 
-    r = sq._vr(spark, folder)
+    r = sq._families(spark, folder)
     tc = eventlog.trial_counts(src.experiment_events(spark, folder))
-    return sc.trials_for_deflation(tc, multiple.effective_trials(r), moments.sharpe_variance(r))
+    return sc.trials_for_deflation(tc, multiple.effective_trials(r, sq.THR, family=sq.FAMILY), moments.sharpe_variance(r, sq.FAMILY))
 
 
 def _full(spark, folder):
@@ -177,9 +177,9 @@ SCORE = {
     ),
     "trials_for_deflation": (
         lambda s, f: _round(_trials(s, f), "var_sr", digits=9),
-        q.with_ctes(q.VARIANTS, lq.EV, "vn AS (SELECT family, count(DISTINCT hyp_id || '|' || version || '|' || st) AS v FROM ev WHERE kind = 'EXPERIMENT' GROUP BY 1)",
-                    "sh AS (SELECT strategy_id, avg(r) / stddev_samp(r) AS s FROM vr GROUP BY 1)", "ef AS (SELECT count(*) AS e FROM sh)")
-        + "SELECT family, v AS logged, e AS effective, greatest(v, e, 1)::DOUBLE AS n_trials, (SELECT round(var_samp(s), 9) FROM sh) AS var_sr FROM vn, ef",
+        "WITH RECURSIVE " + ", ".join((q.VARIANTS, lq.EV, sq.EFF, "vn AS (SELECT family, count(DISTINCT hyp_id || '|' || version || '|' || st) AS v FROM ev WHERE kind = 'EXPERIMENT' GROUP BY 1)",
+                    "sh AS (SELECT split_part(strategy_id, '/', 1) AS family, var_samp(s) AS v FROM (SELECT strategy_id, avg(r) / stddev_samp(r) AS s FROM vr GROUP BY 1) GROUP BY 1)"))
+        + " SELECT family, vn.v AS logged, effective, greatest(vn.v, effective, 1)::DOUBLE AS n_trials, round(sh.v, 9) AS var_sr FROM ef JOIN vn USING (family) JOIN sh USING (family)",
     ),
     "data_gate": (
         _data_gate,
@@ -293,5 +293,3 @@ def _stream_signals(spark, folder):
 
 
 QUERIES = {**SCORE, **STREAMS}
-
-__all__ = ["QUERIES", "iq", "pan", "regression"]

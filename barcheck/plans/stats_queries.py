@@ -57,22 +57,29 @@ DD = (
     "eq AS (SELECT strategy_id, t, product(1 + r) OVER (PARTITION BY strategy_id ORDER BY t) AS e FROM vr)",
     "dd AS (SELECT strategy_id, min((e - pk) / pk) AS mdd FROM (SELECT *, max(e) OVER (PARTITION BY strategy_id ORDER BY t) AS pk FROM eq) GROUP BY 1)",
 )
+_P = 1 / BLOCK
 BOOT = (
-    "tt AS (SELECT max(t) + 1 AS n FROM vr)",
-    f"bx AS (SELECT b, t, n FROM tt, LATERAL (SELECT unnest(range({B})) AS b), LATERAL (SELECT unnest(range(n)) AS t))",
-    f"by_ AS (SELECT b, t, n, CASE WHEN t = 0 OR {q.unif(repr(str(SEED)), repr('p'), 'b', 't')} < {1 / BLOCK!r}::DOUBLE THEN t END AS t0,"
-    f" floor({q.unif(repr(str(SEED)), repr('s'), 'b', 't')} * n)::BIGINT AS s FROM bx)",
-    "bz AS (SELECT b, t, n, max(t0) OVER (PARTITION BY b ORDER BY t) AS t0 FROM by_)",
-    "bi AS (SELECT z.b, z.t, (y.s + z.t - z.t0) % z.n AS idx FROM bz z JOIN by_ y ON y.b = z.b AND y.t = z.t0)",
+    f"tt AS (SELECT n, ceil(n * {_P!r}::DOUBLE + 10 * sqrt(n * {_P * (1 - _P)!r}::DOUBLE) + 20)::BIGINT AS most FROM (SELECT max(t) + 1 AS n FROM vr))",
+    f"bx AS (SELECT b, j, n, most, 1 + floor(ln(1 - {q.unif(repr(str(SEED)), repr('p'), 'b', 'j')}) / {math.log(1 - _P)!r}::DOUBLE)::BIGINT AS size, floor({q.unif(repr(str(SEED)), repr('s'), 'b', 'j')} * n)::BIGINT"
+    f" AS s FROM tt, LATERAL (SELECT unnest(range({B})) AS b), LATERAL (SELECT unnest(range(most)) AS j))",
+    "by_ AS (SELECT *, sum(size) OVER (PARTITION BY b ORDER BY j)::BIGINT - size AS at_ FROM bx)",
+    "bz AS (SELECT b, n, s, at_, CASE WHEN j = most - 1 THEN n - at_ ELSE least(size, n - at_) END AS len FROM by_ WHERE at_ < n)",
+    "bi AS (SELECT b, at_ + i AS t, (s + i) % n AS idx FROM bz, LATERAL (SELECT unnest(range(len)) AS i))",
     "bs AS (SELECT strategy_id, b, sum(r) AS s1, sum(r * r) AS s2 FROM bi JOIN vr ON vr.t = bi.idx GROUP BY 1, 2)",
-    "bm AS (SELECT strategy_id, avg(r) AS mu FROM vr GROUP BY 1)",
+    "bm AS (SELECT strategy_id, split_part(strategy_id, '/', 1) AS family, avg(r) AS mu FROM vr GROUP BY 1)",
 )
-RC = "b1 AS (SELECT b, max(sqrt(n) * (s1 / n - mu)) AS vb, max(sqrt(n) * mu) AS v FROM bs JOIN bm USING (strategy_id), tt GROUP BY b)"
+RC = "b1 AS (SELECT family, b, max(sqrt(n) * (s1 / n - mu)) AS vb, max(sqrt(n) * mu) AS v FROM bs JOIN bm USING (strategy_id), tt GROUP BY family, b)"
 SPA = (
-    "b2 AS (SELECT strategy_id, b, n, mu, sqrt(n) * (s1 / n - mu) AS d FROM bs JOIN bm USING (strategy_id), tt)",
+    "b2 AS (SELECT family, strategy_id, b, n, mu, sqrt(n) * (s1 / n - mu) AS d FROM bs JOIN bm USING (strategy_id), tt)",
     "b3 AS (SELECT b2.*, om, sqrt(n) * mu / om AS ts FROM b2 JOIN (SELECT strategy_id, greatest(stddev_samp(d), 1e-12) AS om FROM b2 GROUP BY 1) USING (strategy_id))",
-    "b4 AS (SELECT b, greatest(max(d / om + sqrt(n) * CASE WHEN ts <= -sqrt(2 * ln(ln(n))) THEN mu ELSE 0 END / om), 0) AS vb, greatest(max(ts), 0) AS v FROM b3 GROUP BY b)",
+    "b4 AS (SELECT family, b, greatest(max(d / om + sqrt(n) * CASE WHEN ts <= -sqrt(2 * ln(ln(n))) THEN mu ELSE 0 END / om), 0) AS vb, greatest(max(ts), 0) AS v FROM b3 GROUP BY family, b)",
 )
+FAMILY = ["family"]
+
+
+def _families(spark, folder):
+    """Variant returns with the order priority as their search family."""
+    return _vr(spark, folder).withColumn("family", F.split("strategy_id", "/")[0])
 
 
 def _pvals(spark, folder):
@@ -130,16 +137,18 @@ PBO_SQL = (
     f" ps AS (SELECT strategy_id, s, count(*) AS n, sum(r) AS a, sum(r * r) AS b FROM sl GROUP BY 1, 2), ag AS (SELECT m, strategy_id, sum(n) FILTER ((m >> s) & 1 = 1) AS ni, sum(a) FILTER ((m >> s) & 1 = 1) AS ai, sum(b) FILTER ((m >> s) & 1 = 1) AS bi,"
     " sum(n) FILTER ((m >> s) & 1 = 0) AS no, sum(a) FILTER ((m >> s) & 1 = 0) AS ao, sum(b) FILTER ((m >> s) & 1 = 0) AS bo FROM ps, ms GROUP BY 1, 2),"
     " sr AS (SELECT m, strategy_id, ai / ni / sqrt((bi - ai * ai / ni) / (ni - 1)) AS i, ao / no / sqrt((bo - ao * ao / no) / (no - 1)) AS o FROM ag),"
-    " be AS (SELECT m, arg_max(o, i) AS best, count(*) AS k FROM sr GROUP BY m), rk AS (SELECT sr.m, (count(*) FILTER (o < best) + 0.5 * (count(*) FILTER (o = best) - 1) + 0.5) / any_value(k) AS w"
-    " FROM sr JOIN be USING (m) GROUP BY sr.m) SELECT round(avg(CASE WHEN w <= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS pbo, count(*) AS n_combos, (SELECT max(k) FROM be) AS variants FROM rk"
+    " sf AS (SELECT *, split_part(strategy_id, '/', 1) AS family FROM sr), be AS (SELECT family, m, arg_max(o, i) AS best, count(*) AS k FROM sf GROUP BY family, m), rk AS (SELECT family, sf.m, any_value(k) AS k, (count(*) FILTER (o < best) + 0.5 * (count(*) FILTER (o = best) - 1) + 0.5) / any_value(k) AS w"
+    " FROM sf JOIN be USING (family, m) GROUP BY family, sf.m) SELECT family, round(avg(CASE WHEN w <= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS pbo, count(*) AS n_combos, max(k) AS variants FROM rk GROUP BY 1"
 )
 THR = 0.02
-EFF_SQL = (
-    f"WITH RECURSIVE {q.VARIANTS}, vk AS (SELECT strategy_id, row_number() OVER (ORDER BY strategy_id) AS i FROM (SELECT DISTINCT strategy_id FROM vr)),"
-    " vi2 AS (SELECT i, t, r FROM vr JOIN vk USING (strategy_id)), cm AS (SELECT a.i AS a, b.i AS b, coalesce(corr(a.r, b.r), 0) AS c FROM vi2 a JOIN vi2 b ON a.t = b.t AND b.i < a.i GROUP BY 1, 2),"
-    f" g AS (SELECT 1 AS i, [1]::BIGINT[] AS l UNION ALL SELECT i + 1, CASE WHEN EXISTS (SELECT 1 FROM cm WHERE cm.a = g.i + 1 AND list_contains(g.l, cm.b) AND abs(c) >= {THR}) THEN l ELSE"
-    " list_append(l, (i + 1)::BIGINT) END FROM g WHERE i < (SELECT max(i) FROM vk)) SELECT len(l) AS effective, i AS variants FROM g ORDER BY i DESC LIMIT 1"
+EFF = (
+    "vk AS (SELECT *, split_part(strategy_id, '/', 1) AS family, row_number() OVER (PARTITION BY split_part(strategy_id, '/', 1) ORDER BY strategy_id) AS i FROM (SELECT DISTINCT strategy_id FROM vr)),"
+    " vi2 AS (SELECT family, i, t, r FROM vr JOIN vk USING (strategy_id)), cm AS (SELECT a.family, a.i AS a, b.i AS b, coalesce(corr(a.r, b.r), 0) AS c FROM vi2 a JOIN vi2 b ON a.family = b.family AND a.t = b.t"
+    " AND b.i < a.i GROUP BY 1, 2, 3), g AS (SELECT DISTINCT family, 1::BIGINT AS i, [1]::BIGINT[] AS l FROM vk UNION ALL SELECT family, i + 1, CASE WHEN EXISTS (SELECT 1 FROM cm WHERE cm.family = g.family AND"
+    f" cm.a = g.i + 1 AND list_contains(g.l, cm.b) AND abs(c) >= {THR}) THEN l ELSE list_append(l, (i + 1)::BIGINT) END FROM g WHERE i < (SELECT max(i) FROM vk WHERE vk.family = g.family)),"
+    " ef AS (SELECT family, arg_max(len(l), i) AS effective, max(i) AS variants FROM g GROUP BY 1)"
 )
+EFF_SQL = f"WITH RECURSIVE {q.VARIANTS}, {EFF} SELECT family, effective, variants FROM ef"
 
 SHIFT_SCEN = [scenario("base")]
 DRAWS = 1000
@@ -243,12 +252,12 @@ QUERIES = {
         + "SELECT strategy_id, round(quantile_cont(sr, 0.025), 6) AS lo, round(quantile_cont(sr, 0.975), 6) AS hi FROM br GROUP BY 1",
     ),
     "reality_check": (
-        lambda s, f: _round(rs.reality_check(_vr(s, f), B, BLOCK, SEED), "p"),
-        q.with_ctes(q.VARIANTS, *BOOT, RC) + "SELECT round(avg(CASE WHEN vb >= v THEN 1.0 ELSE 0 END), 6) AS p, count(*) AS replicates FROM b1",
+        lambda s, f: _round(rs.reality_check(_families(s, f), B, BLOCK, SEED, family=FAMILY), "p"),
+        q.with_ctes(q.VARIANTS, *BOOT, RC) + "SELECT family, round(avg(CASE WHEN vb >= v THEN 1.0 ELSE 0 END), 6) AS p, count(*) AS replicates FROM b1 GROUP BY 1",
     ),
     "spa": (
-        lambda s, f: _round(rs.spa_test(_vr(s, f), B, BLOCK, SEED), "p"),
-        q.with_ctes(q.VARIANTS, *BOOT, *SPA) + "SELECT round(avg(CASE WHEN vb >= v THEN 1.0 ELSE 0 END), 6) AS p, count(*) AS replicates FROM b4",
+        lambda s, f: _round(rs.spa_test(_families(s, f), B, BLOCK, SEED, family=FAMILY), "p"),
+        q.with_ctes(q.VARIANTS, *BOOT, *SPA) + "SELECT family, round(avg(CASE WHEN vb >= v THEN 1.0 ELSE 0 END), 6) AS p, count(*) AS replicates FROM b4 GROUP BY 1",
     ),
     "bh": (
         lambda s, f: _round(multiple.bh(_pvals(s, f), 0.6).select("o_orderkey", "keep", "p_adj"), "p_adj"),
@@ -257,8 +266,8 @@ QUERIES = {
                     "aj AS (SELECT o_orderkey, p, least(1, min(p * m / i) OVER (ORDER BY i DESC)) AS a FROM rk)")
         + "SELECT o_orderkey, coalesce(p <= (SELECT c FROM ct), false) AS keep, round(min(a) OVER (PARTITION BY p), 6) AS p_adj FROM aj",
     ),
-    "pbo": (lambda s, f: _round(multiple.pbo(_vr(s, f), S), "pbo"), PBO_SQL),
-    "effective_trials": (lambda s, f: multiple.effective_trials(_vr(s, f), THR, block=4), EFF_SQL),
+    "pbo": (lambda s, f: _round(multiple.pbo(_families(s, f), S, family=FAMILY), "pbo"), PBO_SQL),
+    "effective_trials": (lambda s, f: multiple.effective_trials(_families(s, f), THR, family=FAMILY), EFF_SQL),
     "shift_null": (_shift, SHIFT_SQL),
     "sign_flip": (lambda s, f: _round(rs.sign_flip_pvalue(_vr(s, f), FLIPS, SEED), "p"), FLIP_SQL),
     "concentration": (_conc, q.with_ctes(LT) + CONC),
