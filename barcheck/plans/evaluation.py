@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..constants import BASELINE_EXEC, REGIMES, THRESHOLDS
 from ..session import cut_lineage
-from ..operators import leakage, moments, multiple, panel as pan, portfolio as pf, regression, resampling as rs, scorecard as sc, trades
+from ..operators import guards, leakage, moments, multiple, panel as pan, portfolio as pf, regression, resampling as rs, scorecard as sc, trades
 
 
 @dataclass
@@ -19,6 +19,8 @@ class Evaluation:
     gates: DataFrame
     verdicts: DataFrame
     ladders: DataFrame
+    failures: DataFrame
+    flags: DataFrame
 
 
 def evaluate(
@@ -30,6 +32,10 @@ def evaluate(
     neighbors: DataFrame | None = None,
     trial_counts: DataFrame | None = None,
     families: DataFrame | None = None,
+    survivorship: DataFrame | None = None,
+    ablations: DataFrame | None = None,
+    contaminated: DataFrame | None = None,
+    dataset_id: str | None = None,
     th: dict = THRESHOLDS,
     base: dict = BASELINE_EXEC,
     capitals: Sequence[float] = (1e3, 1e4, 1e5, 1e6, 1e7),
@@ -39,6 +45,10 @@ def evaluate(
     all strategies of ``weights`` as one. ``trial_counts`` (family, variants) is the log. ``findings`` and ``leaks`` carry
     (strategy_id, hard_fails).
 
+    The evaluation guards itself: failed checks of the panel, positions on missing prices and positions over an unknown
+    terminal return are ``failures`` (strategy_id, check, n), which reject. ``survivorship`` are findings on delisted names.
+    ``flags`` (strategy_id, flag, value) do not reject; ``ablations`` (strategy_id, ablation) name strategies that lack a part.
+
     With ``stage`` the cells and returns are written once to the shared folder for the statistics that share them.
     """
     keep = {k: base[k] for k in ("mode", "capital", "max_weight", "max_gross")}
@@ -94,13 +104,19 @@ def evaluate(
         base_sharpes = ladders.where("scenario = 'baseline'").select("strategy_id", "sharpe")
         m = m.join(sc.neighbourhood(base_sharpes, neighbors), "strategy_id", "left")
     g = sc.gates(m, th)
-    hard = None
+    failures = guards.gap_failures(acc).unionByName(guards.panel_failures(panel, names, survivorship))
+    if stage:
+        failures = cut_lineage(failures)
+    hard = guards.hard_failures(failures)
     for h in (findings, leaks):
         if h is not None:
-            hard = h if hard is None else hard.unionByName(h)
-    if hard is not None:
-        hard = hard.groupBy("strategy_id").agg(F.sum("hard_fails").alias("hard_fails"))
-    return Evaluation(ret, m, g, sc.classify(g, m, hard, th), ladders)
+            hard = hard.unionByName(h.select("strategy_id", "hard_fails"))
+    notes = guards.flags(
+        acc.assumptions(cells), ladders, conc, b, families, sc.flags(ladders.where("scenario = 'baseline'").select("strategy_id", "sharpe"), ablations) if ablations is not None else None,
+        contaminated, dataset_id, th,
+    )
+    hard = hard.groupBy("strategy_id").agg(F.sum("hard_fails").alias("hard_fails"))
+    return Evaluation(ret, m, g, sc.classify(g, m, hard, th), ladders, failures, notes)
 
 
 def leak_failures(suite: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import BASELINE_EXEC, REGIMES
-from ..operators import leakage, moments, panel as pan, portfolio as pf, signals as sg
+from ..operators import guards, leakage, moments, panel as pan, portfolio as pf, signals as sg
 from ..session import cut_lineage
 from ..sources import tables as src
 from . import sqltext as q
@@ -228,6 +229,44 @@ def _undocumented(spark, folder):
     return pf.Accounts(a.panel, a.weights, REGIMES, None)
 
 
+def _unguarded(spark, folder):
+    """Books of the observed panel on a dense one whose holes nobody documented, without terminal returns."""
+    a = _accounts(spark, folder)
+    return pf.Accounts(cut_lineage(_holes(spark, folder)), a.weights, [BASELINE_EXEC], None)
+
+
+def _flags(spark, folder):
+    """Every strategy as a family of its own, so that a search of one is pointed out."""
+    a = _accounts(spark, folder, LADDER)
+    cells = cut_lineage(a.cells())
+    r = cut_lineage(a.returns(cells))
+    b = r.where("scenario = 'baseline'")
+    trades = pf.trade_episodes(cells.where("scenario = 'baseline'")).groupBy("strategy_id").agg(F.count("*").alias("n_trades"))
+    families = b.select("strategy_id", F.col("strategy_id").alias("family")).distinct()
+    ladders = moments.sharpe_table(r, "net", ("strategy_id", "scenario"))
+    return guards.flags(a.assumptions(cells), ladders, trades, b.select("strategy_id", "t", F.col("net").alias("r")), families)
+
+
+GUARDS = (
+    "hl AS (SELECT life.ticker, idx.t FROM (SELECT ticker, min(t) AS a, max(t) AS b FROM pn GROUP BY ticker) life JOIN idx ON idx.t BETWEEN a AND b LEFT JOIN pn ON pn.ticker = life.ticker AND pn.t = idx.t"
+    " WHERE pn.open IS NULL)"
+)
+GUARDS_SELECT = (
+    "SELECT strategy_id, 'held_missing_price' AS check, count(*) AS n FROM lw JOIN hl ON hl.ticker = lw.ticker AND hl.t = lw.t + 1 + latency_bars GROUP BY 1 UNION ALL"
+    " SELECT strategy_id, 'unknown_terminal_return', count(*) FROM hd JOIN ends e ON e.ticker = hd.ticker CROSS JOIN mx WHERE hd.t = t_end AND hd.t < last_t GROUP BY 1"
+)
+_Z95, _Z80 = NormalDist().inv_cdf(0.95), NormalDist().inv_cdf(0.8)
+FLAGS = (
+    f"sh AS (SELECT strategy_id, scenario, count(*) AS n, {SHARPE} AS s FROM rt GROUP BY 1, 2)",
+    f"pz AS (SELECT strategy_id, n, greatest(s, 0) / sqrt(252) * sqrt(n) - {_Z95!r} AS z FROM sh WHERE scenario = 'baseline')",
+    "pv AS (SELECT strategy_id, max(s) FILTER (scenario = 'baseline') AS s0, max(s) FILTER (scenario = 'delay+1') AS s1 FROM sh GROUP BY 1)",
+    "cp AS (SELECT strategy_id, max(c) FILTER (s > 0) AS most, max(c) AS tried FROM (SELECT strategy_id, s, substr(scenario, 9)::DOUBLE AS c FROM sh WHERE scenario LIKE 'capital=%') GROUP BY 1)",
+    f"fl AS (SELECT strategy_id, 'assumed_spread' AS flag, count(*)::DOUBLE AS value FROM ce WHERE scenario = 'baseline' AND w <> 0 GROUP BY 1 UNION ALL"
+    f" SELECT strategy_id, 'delay_fragility', s1 FROM pv WHERE s0 > 1 AND s1 < 0.15 * s0 UNION ALL SELECT strategy_id, 'capacity', most FROM cp WHERE most IS NULL OR most < tried UNION ALL"
+    f" SELECT strategy_id, 'few_trades', count(*) FROM tr WHERE scenario = 'baseline' GROUP BY 1 HAVING count(*) < 20 UNION ALL SELECT DISTINCT strategy_id, 'single_variant', 1 FROM rt UNION ALL"
+    f" SELECT strategy_id, 'low_power', {(_Z95 + _Z80) * math.sqrt(252)!r} / sqrt(n) FROM pz WHERE {q.cdf_sql('z')} < 0.5)",
+)
+
 # ------------------------------------------------------------------ leakage
 
 
@@ -331,4 +370,12 @@ LEAKAGE = {
     ),
 }
 
-QUERIES = {**SIGNALS, **POSITIONS, **LEAKAGE}
+EVALUATION = {
+    "evaluation_guards": (lambda s, f: guards.gap_failures(_unguarded(s, f)), q.with_ctes(*BASE, *BOTH, *engine_sql("allw", [BASELINE_EXEC]), GUARDS) + GUARDS_SELECT),
+    "evaluation_flags": (
+        lambda s, f: _round(_flags(s, f), "value", digits=5),
+        q.with_ctes(*BASE, *BOTH, *engine_sql("allw", LADDER), EPISODES, *FLAGS) + "SELECT strategy_id, flag, round(value, 5) AS value FROM fl",
+    ),
+}
+
+QUERIES = {**SIGNALS, **POSITIONS, **LEAKAGE, **EVALUATION}

@@ -39,9 +39,15 @@ def use_utc(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for staged tables: the one named in ``spark.checkpoint.dir``, else one under the session's warehouse.
 
-    Both are shared between the driver and the executors; a machine-local temporary folder is never used.
+    A warehouse that nobody configured is a folder of the driver's machine. It serves a local session; on a cluster the
+    executors would each write to their own disk, so it is refused there.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {warehouse} is a folder of this machine")
+        folder = f"{warehouse}/_staged"
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
