@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import MATERIAL, MINOR
+from ..functions.quantiles import median_at_least
 from ..functions.shape import previous_row, running_sum
 from .gaps import as_gaps
 
@@ -54,7 +55,9 @@ def flat_runs(daily: DataFrame) -> DataFrame:
 
 
 def liquid_tickers(daily: DataFrame, floor: float) -> DataFrame:
-    return daily.groupBy("ticker").agg(F.median("volume").alias("mv"), F.count_if(F.col("volume") <= 0).alias("zeros")).where(F.col("mv") >= floor)
+    """(ticker, zeros) of tickers with a median volume of at least ``floor``; no list of volumes is kept for a ticker."""
+    x = daily.groupBy("ticker").agg(median_at_least("volume", floor).alias("liquid"), F.count_if(F.col("volume") <= 0).alias("zeros"))
+    return x.where("liquid").drop("liquid")
 
 
 def check_stale_daily(daily: DataFrame, dataset_id: str, liquid_min_volume: float = 100_000, run_len: int = 3) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import EULER_GAMMA
 from ..functions.normal import norm_cdf, norm_ppf
+from ..functions.quantiles import exact_quantiles
 
 SID = ("strategy_id",)
 CHUNK = 4096
@@ -50,7 +51,7 @@ def max_drawdown(returns: DataFrame, r: str = "r", keys: Sequence[str] = SID, ch
 
 
 def risk_summary(returns: DataFrame, r: str = "r", keys: Sequence[str] = SID, ppy: int = 252) -> DataFrame:
-    """Sixteen measures per strategy. One aggregation, one for the tail mean, one for the drawdown."""
+    """Sixteen measures per strategy. One aggregation, one each for the tail quantile, the tail mean and the drawdown."""
     keys = list(keys)
     x = F.col(r)
     inf, zero = F.lit(float("inf")), F.lit(0.0)
@@ -59,8 +60,9 @@ def risk_summary(returns: DataFrame, r: str = "r", keys: Sequence[str] = SID, pp
         F.count(x).alias("n"), F.product(1 + x).alias("_growth"), F.stddev_samp(x).alias("_sd"), sharpe(r, ppy).alias("sharpe"),
         sortino(r, ppy).alias("sortino"), F.avg(F.when(x > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.coalesce(F.avg(win), zero).alias("avg_win"),
         F.coalesce(F.avg(loss), zero).alias("avg_loss"), F.avg(x).alias("expectancy"), F.sum(win).alias("_win"), F.sum(loss).alias("_loss"),
-        F.skewness(x).alias("_skew"), F.kurtosis(x).alias("_kurt"), F.percentile(x, 0.05).alias("var95"),
+        F.skewness(x).alias("_skew"), F.kurtosis(x).alias("_kurt"),
     )
+    m = m.join(exact_quantiles(returns, keys, r, {"var95": 0.05}), keys, "left")
     tail = returns.select(*keys, x.alias("_x")).join(m.select(*keys, "var95"), keys).where(F.col("_x") <= F.col("var95"))
     tail = tail.groupBy(*keys).agg(F.avg("_x").alias("es95"))
     y = m.join(tail, keys, "left").join(max_drawdown(returns, r, keys), keys)

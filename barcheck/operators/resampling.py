@@ -126,15 +126,37 @@ def spa_test(returns: DataFrame, replicates: int = 1000, mean_block: float = 10,
 # ------------------------------------------------------------------ permutations
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _circular_sums(total: pd.Series, wt: pd.Series, wv: pd.Series, rt: pd.Series, rv: pd.Series) -> pd.Series:
-    """All circular lag sums of two sparse series by the convolution theorem."""
-    out = []
-    for n, a, x, b, y in zip(total, wt, wv, rt, rv):
-        w, r = np.zeros(n), np.zeros(n)
-        w[a], r[b] = x, y
-        out.append(np.fft.irfft(np.conj(np.fft.rfft(w)) * np.fft.rfft(r), n))
-    return pd.Series(out)
+#: Bars of one piece of a history; the sums of a longer one are put together from its pieces.
+LAG_CHUNK = 1 << 16
+
+
+def _piece_lags(chunk: int):
+    """UDF: sums w[t] * r[t + k] of a piece of each series, for the wanted circular lags k, by the convolution theorem."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def lags(n: pd.Series, base: pd.Series, w: pd.Series, r: pd.Series, wanted: pd.Series) -> pd.Series:
+        out = []
+        for n_, base_, w_, r_, ks in zip(n, base, w, r, wanted):
+            at = lambda v: np.array([x["at"] for x in v], dtype=np.int64)
+            val = lambda v: np.array([x["v"] for x in v], dtype=np.float64)
+            whole = n_ <= chunk
+            size = n_ if whole else 2 * chunk
+            a, b = np.zeros(size), np.zeros(size)
+            a[at(w_)], b[at(r_)] = val(w_), val(r_)
+            c = np.fft.irfft(np.conj(np.fft.rfft(a)) * np.fft.rfft(b), size)
+            ks = np.asarray(ks, np.int64)
+            if whole:
+                out.append(c[ks % n_])
+                continue
+            # distances d of the pieces' own places that stand for lag k: k = base + d modulo n, -chunk < d < chunk
+            s, d = np.zeros(len(ks)), (ks - base_ + chunk - 1) % n_ - (chunk - 1)
+            while (inside := d < chunk).any():
+                s[inside] += c[d[inside] % size]
+                d = d + n_
+            out.append(s)
+        return pd.Series(out)
+
+    return lags
 
 
 def shift_draws(spark: SparkSession, total: Column, draws: int, min_shift: int = 20, seed: int = 0) -> DataFrame:
@@ -143,22 +165,33 @@ def shift_draws(spark: SparkSession, total: Column, draws: int, min_shift: int =
 
 
 def shifted_means(held: DataFrame, returns: DataFrame, total: Column, draws: int = 1000, min_shift: int = 20, seed: int = 0,
-                  keys: Sequence[str] = ("strategy_id",)) -> DataFrame:
+                  keys: Sequence[str] = ("strategy_id",), chunk: int = LAG_CHUNK) -> DataFrame:
     """Mean gross return of the book shifted in time by k bars: (keys, i, k, null_mean), and observed as i = -1.
 
-    held(keys, t, ticker, w), returns(t, ticker, r). Per (strategy, name) all lags come from one transform instead of one
-    pass per shift; the rows that leave are the drawn lags only. Arrays hold one name's bars.
+    held(keys, t, ticker, w), returns(t, ticker, r), one row per bar; NULL weights and returns count as 0. Per (strategy, name)
+    all lags come from transforms instead of one pass per shift, and only the drawn ones leave. A history longer than ``chunk``
+    bars is cut in pieces: every piece of the weights meets the pieces of the returns that a drawn lag leads to, and
+    their sums are added, so no cell or task holds a history.
     """
     spark = held.sparkSession
     keys = list(keys)
-    pack = lambda v: F.collect_list(F.struct("t", v))
-    w = held.groupBy(*keys, "ticker").agg(pack("w").alias("w"))
-    r = returns.where("r <> 0").groupBy("ticker").agg(pack("r").alias("r"))
     shifts = shift_draws(spark, total, draws, min_shift, seed)
     wanted = shifts.agg(F.array_union(F.array(F.lit(0)), F.collect_set("k"))).scalar()
-    x = w.join(r, "ticker").withColumn("bars", total.cast("int"))
-    x = x.withColumn("c", _circular_sums("bars", F.col("w.t"), F.col("w.w"), F.col("r.t"), F.col("r.r")))
-    x = x.select(*keys, "bars", "c", F.explode(wanted).alias("k")).select(*keys, "bars", "k", F.get("c", F.col("k") % F.col("bars")).alias("s"))
+    at, piece = (F.col("t") % F.lit(chunk)).cast("int").alias("at"), F.floor(F.col("t") / F.lit(chunk)).cast("int")
+    pack = lambda v: F.collect_list(F.struct(at, F.col(v).cast("double").alias("v"))).alias(v)
+    w = held.where("w <> 0").groupBy(*keys, "ticker", piece.alias("wc")).agg(pack("w"))
+    r = returns.where("r <> 0").groupBy("ticker", piece.alias("rc")).agg(pack("r")).withColumn("bars", total.cast("int")).withColumn("all", wanted)
+    # the returns have no strategies, so it is their pieces that are copied to the pieces of the weights
+    r = r.withColumn("wc", F.explode(F.sequence(F.lit(0), F.floor((F.col("bars") - 1) / F.lit(chunk)).cast("int"))))
+    r = r.withColumn("base", (F.col("rc") - F.col("wc")).cast("long") * chunk)
+    meets = lambda k: F.pmod(k - F.col("base") + (chunk - 1), F.col("bars")) < 2 * chunk - 1
+    r = r.withColumn("ks", F.filter("all", meets)).drop("all")
+    x = w.join(r.where(F.size("ks") > 0), ["ticker", "wc"])
+    x = x.select(*keys, "bars", "ks", _piece_lags(chunk)("bars", "base", "w", "r", "ks").alias("s"))
+    x = x.select(*keys, "bars", F.explode(F.arrays_zip("ks", "s")).alias("x")).select(*keys, "bars", F.col("x.ks").alias("k"), F.col("x.s").alias("s"))
+    # a lag that leads to no piece of the returns has a sum of 0
+    none = held.select(*keys).distinct().withColumn("bars", total.cast("int"))
+    x = x.unionByName(none.select(*keys, "bars", F.explode(wanted).alias("k"), F.lit(0.0).alias("s")))
     per = x.groupBy(*keys, "k").agg((F.sum("s") / F.first("bars")).alias("null_mean"))
     every = shifts.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("i"), F.lit(0).alias("k")))
     return per.join(every, "k").select(*keys, "i", "k", "null_mean")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..constants import AMBIGUOUS, MATERIAL, MINOR
+from ..functions.quantiles import median_at_least
 from . import calendar as cal
 from .gaps import as_gaps, union_all
 
@@ -148,7 +149,7 @@ class DailySessions:
         )
 
     def liquidity(self) -> DataFrame:
-        return self.daily.groupBy("ticker").agg((F.median("volume") >= self.liquid_min_volume).alias("liquid"))
+        return self.daily.groupBy("ticker").agg(median_at_least("volume", self.liquid_min_volume).alias("liquid"))
 
     def ticker_gaps(self) -> DataFrame:
         x = self.missing_runs().join(self.liquidity(), "ticker")
