@@ -82,6 +82,15 @@ def summary(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("check", "kind", "severity", "status").agg(F.count("*").alias("n_gaps"))
 
 
+def rollup(ledger: DataFrame) -> DataFrame:
+    """(level, check, kind, severity, status, n_gaps, n_rows): counts of gaps and the sum of their ``n`` for every prefix of the four.
+
+    ``level`` is the grouping id: 0 for a full row, 15 for the total; it tells a rolled-up column from a NULL value.
+    """
+    x = ledger.rollup("check", "kind", "severity", "status")
+    return x.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n_gaps"), F.sum("n").alias("n_rows"))
+
+
 def gate_reasons(requirements: DataFrame, coverage: DataFrame, checks_run: DataFrame, ledger: DataFrame) -> DataFrame:
     """(experiment, reason, subject): everything that keeps the gate shut; an experiment with no row is open.
 

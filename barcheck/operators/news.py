@@ -64,8 +64,20 @@ class News:
         return p.select(
             "n_articles", share("midnight").alias("midnight_utc_fraction"), share("sec0").alias("zero_seconds_fraction"),
             share("quarter").alias("quarter_hour_fraction"), "distinct_publishers",
+            self.per_session().agg(F.median("k")).scalar().alias("median_articles_per_session"),
+            self._syndicated().agg(F.count("*")).scalar().alias("syndicated_titles"),
         )
 
+    def _headlines(self) -> DataFrame:
+        """Normalised headlines, which may be whole texts, with a digest that tells them apart."""
+        x = self.news.select(headline_key(F.col("title")).alias("headline"), "publisher_name", "ts").dropna()
+        return x.where(F.length("headline") > 15).select(F.sha2("headline", 256).alias("_d"), "publisher_name", "headline")
+
+    def _syndicated(self) -> DataFrame:
+        """Digests of headlines with two publishers or more: the least and the greatest of them differ. No text is shuffled."""
+        x = self._headlines().groupBy("_d").agg(F.min("publisher_name").alias("a"), F.max("publisher_name").alias("b"))
+        return x.where("a <> b").select("_d")
+
     def timestamp_gaps(self) -> DataFrame:
         def row(when, kind, severity, n, text):
             return F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), n.cast("long").alias("n"), F.lit(text).alias("text")))
@@ -90,15 +102,14 @@ class News:
 
     def syndicated_titles(self) -> DataFrame:
         """Normalised headlines carried by more than one publisher (distinct pairs first: a hot headline stays cheap)."""
-        x = self.news.select(headline_key(F.col("title")).alias("headline"), "publisher_name", "ts").dropna()
-        # headlines may be whole texts: pairs are told apart by digest, and only the headlines of several publishers are fetched
-        x = x.where(F.length("headline") > 15).select(F.sha2("headline", 256).alias("_d"), "publisher_name", "headline")
+        # the headlines of several publishers only are fetched
+        x = self._headlines()
         pairs = x.select("_d", "publisher_name").distinct()
         several = pairs.groupBy("_d").agg(F.count("*").alias("publishers")).where("publishers > 1")
         return x.join(several, "_d").groupBy("_d", "publishers").agg(F.first("headline").alias("headline")).select("headline", "publishers")
 
     def syndication(self) -> DataFrame:
-        x = self.syndicated_titles().agg(F.count("*").alias("n")).where("n > 0")
+        x = self._syndicated().agg(F.count("*").alias("n")).where("n > 0")
         return as_gaps(x, self.dataset_id, "news_independence", "SYNDICATED_ARTICLES", MINOR,
                        F.format_string("%d headlines appear under several publishers", "n"), n=F.col("n"))
 

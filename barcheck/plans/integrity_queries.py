@@ -415,9 +415,10 @@ NEWS = {
     ),
     "news_statistics": (
         lambda s, f: _round(_news(s, f).statistics(), "midnight_utc_fraction", "zero_seconds_fraction", "quarter_hour_fraction"),
-        q.with_ctes(*NEWS_PROFILE)
+        q.with_ctes(*NEWS_PROFILE, SYND, *[c for c in COVER if c not in NEWS_PROFILE])
         + "SELECT n AS n_articles, round(mid / usable, 6) AS midnight_utc_fraction, round(sec0 / usable, 6) AS zero_seconds_fraction,"
-        " round(qh / usable, 6) AS quarter_hour_fraction, pubs AS distinct_publishers FROM p",
+        " round(qh / usable, 6) AS quarter_hour_fraction, pubs AS distinct_publishers, (SELECT median(k) FROM cs) AS median_articles_per_session,"
+        " (SELECT count(*) FROM sy) AS syndicated_titles FROM p",
     ),
 }
 

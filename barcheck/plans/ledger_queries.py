@@ -140,6 +140,11 @@ LEDGER = {
         lambda s, f: ledger.summary(_decided(s, f)),
         q.with_ctes(LED, DEC) + "SELECT \"check\", kind, severity, status, count(*) AS n_gaps FROM dec GROUP BY 1, 2, 3, 4",
     ),
+    "ledger_rollup": (
+        lambda s, f: ledger.rollup(_decided(s, f)),
+        q.with_ctes(LED, DEC) + "SELECT grouping_id(\"check\", kind, severity, status)::INTEGER AS level, \"check\", kind, severity, status, count(*) AS n_gaps, sum(n)::BIGINT AS n_rows"
+        " FROM dec GROUP BY ROLLUP (\"check\", kind, severity, status)",
+    ),
     "gate_reasons": (_reasons, q.with_ctes(LED, DEC, EXPS, REASONS) + "SELECT experiment, reason, subject FROM reasons"),
     "gate": (
         lambda s, f: ledger.gate(_requirements(s), _reasons(s, f)),

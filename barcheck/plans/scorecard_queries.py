@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from ..constants import INTERESTING, LIVE, PAPER_VALIDATED, REJECTED, ROBUST, ROBUST_DEV, THRESHOLDS
 from ..operators import audits, eventlog, leakage, moments, regression, resampling as rs, scorecard as sc, signals as sg
@@ -13,7 +16,7 @@ from ..sources import tables as src
 from ..streaming import checks
 from . import ledger_queries as lq, sqltext as q, stats_queries as sq
 from .evaluation import evaluate, leak_failures
-from .integrity_queries import _round
+from .integrity_queries import _gap_sql, _round
 from .portfolio_queries import _panel, _terminal
 
 # ------------------------------------------------------------------ gates over the variant returns
@@ -205,55 +208,61 @@ SCORE = {
 BATCHES = 3
 
 
-def _stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The events table as a stream of several micro-batches with late rows, and a last one that closes what is open.
+def _flow(spark: SparkSession, folder: str, build: Callable[[DataFrame], DataFrame], sink: Callable[[DataStreamWriter, str], DataStreamWriter] | None = None) -> tuple[str, int, StructType]:
+    """Runs a stream over the events table, which arrives in several micro-batches with late rows; returns what the sink wrote.
 
-    Events go to batches by time, but every ninth comes one batch later, as far as it is still within the lateness. The
-    last file holds one row without a type a day later, so the watermark passes every window.
+    Events go to batches by time, but every ninth comes one batch later, as far as it is still within the lateness; events
+    without an instant come first. A batch is as many files as the table has scan partitions. The query takes what has come,
+    stops, and goes on from its checkpoint with the next batch. A last batch holds one row without a type, a day after
+    all others, so the watermark passes every window; its instant, in microseconds, and the
+    schema are returned too. Input, output and state live in the
+    shared folder the session names.
     """
     e = spark.read.parquet(f"{folder}/events.parquet")
-    base = f"{shared_folder(spark)}/stream-in-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     ts = F.unix_micros(F.col("ts").cast("timestamp"))
-    lo, hi = e.agg(F.min(ts), F.max(ts)).first()
+    lo, hi = e.agg(F.coalesce(F.min(ts), F.lit(0)), F.coalesce(F.max(ts), F.lit(0))).first()
     width = max(1, -(-(hi - lo + 1) // BATCHES))
     batch = F.floor((ts - lo) / width)
     late = (F.col("event_id") % 9 == 0) & (batch < BATCHES - 1) & (F.floor((ts + 480_000_000 - lo) / width) > batch)
-    placed = e.withColumn("_batch", batch + late.cast("long"))
-    for i in range(BATCHES):
-        placed.where(F.col("_batch") == i).drop("_batch").coalesce(1).write.mode("append").parquet(base)
-    end = e.select(*[F.max(c).alias(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in e.dtypes])
-    end.select(*[(F.col(c) + F.expr("interval 1 day")).cast(t).alias(c) if c == "ts" else F.col(c) for c, t in e.dtypes]).coalesce(1).write.mode("append").parquet(base)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(base)
-
-
-def _drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over everything available into parquet and reads it back.
-
-    Output and stream state live in the shared folder the session names.
-    """
-    spark = df.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    out = f"{base}/out"
-    q_ = df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q_.awaitTermination()
-    found = spark.read.schema(df.schema).parquet(out)
-    return found.where("ticker IS NOT NULL") if "ticker" in df.columns else found
-
-
-def _trades(spark, folder):
-    e = _stream(spark, folder)
+    placed = e.withColumn("_batch", F.coalesce(batch + F.coalesce(late, F.lit(False)).cast("long"), F.lit(0)))
+    closing = hi + 86_400_000_000
+    end = spark.range(1).select(*[(F.timestamp_micros(F.lit(closing)) if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in e.dtypes])
+    for arrived in [*[placed.where(F.col("_batch") == i).drop("_batch") for i in range(BATCHES)], end]:
+        arrived.write.mode("append").parquet(f"{base}/in")
+        out = build(spark.readStream.schema(e.schema).parquet(f"{base}/in"))
+        writer = out.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+        writer = sink(writer, f"{base}/out") if sink else writer.format("parquet").outputMode("append").option("path", f"{base}/out")
+        writer.start().awaitTermination()
+    return f"{base}/out", closing, out.schema
+
+
+def _drain(spark: SparkSession, folder: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the stream wrote, without what comes from the closing row."""
+    out, closing, schema = _flow(spark, folder, build)
+    found = spark.read.schema(schema).parquet(out)
+    return found.where(F.coalesce(F.unix_micros("ts") < F.lit(closing // 60_000_000 * 60_000_000), F.lit(True))) if "ts" in found.columns else found
+
+
+def _trades(e):
     return e.select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("size"), F.col("event_id").alias("seq"))
 
 
 def _stream_bars(spark, folder):
-    b = _drain(checks.minute_bars(_trades(spark, folder)))
+    b = _drain(spark, folder, lambda e: checks.minute_bars(_trades(e)))
     return b.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
-def _stream_raw(spark, folder):
-    t = _trades(spark, folder)
+def _stream_raw(e):
     px = {c: F.col("price") for c in ("open", "high", "low", "close")}
-    return t.withColumn("ts", F.date_trunc("minute", "ts")).withColumns(px).withColumn("volume", F.col("size")).select("ticker", "ts", "open", "high", "low", "close", "volume")
+    return _trades(e).withColumn("ts", F.date_trunc("minute", "ts")).withColumns(px).withColumn("volume", F.col("size")).select("ticker", "ts", "open", "high", "low", "close", "volume")
+
+
+def _stream_ledger(spark, folder):
+    """The ledger that foreachBatch wrote over all batches."""
+    sink = lambda writer, path: writer.foreachBatch(checks.ledger_sink(path))
+    out, _, schema = _flow(spark, folder, lambda e: checks.late_signal_gaps(_stream_signals(e), "signals"), sink)
+    return spark.read.schema(schema).parquet(out).select("kind", "severity", "ticker", "start", "end", "n", "gap_id")
 
 
 STREAMS = {
@@ -262,29 +271,34 @@ STREAMS = {
         q.with_ctes(q.MINUTES) + "SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, open, high, low, close, volume FROM minutes",
     ),
     "stream_first_bars": (
-        lambda s, f: _drain(checks.first_bars(_stream_raw(s, f))).groupBy("ticker").agg(F.count("*").alias("bars")),
+        lambda s, f: _drain(s, f, lambda e: checks.first_bars(_stream_raw(e))).groupBy("ticker").agg(F.count("*").alias("bars")),
         "SELECT event_type AS ticker, count(DISTINCT date_trunc('minute', ts)) AS bars FROM events GROUP BY 1",
     ),
     "stream_duplicates": (
-        lambda s, f: _drain(checks.duplicate_counts(_stream_raw(s, f))).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
+        lambda s, f: _drain(s, f, lambda e: checks.duplicate_counts(_stream_raw(e))).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
         "WITH d AS (SELECT event_type AS ticker, date_trunc('minute', ts) AS ts, count(*) AS n, count(DISTINCT value) > 1 AS conflict FROM events GROUP BY 1, 2 HAVING count(*) > 1)"
         " SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, n, conflict FROM d",
     ),
     "stream_gaps": (
-        lambda s, f: _drain(checks.gap_alerts(_stream_raw(s, f))),
+        lambda s, f: _drain(s, f, lambda e: checks.gap_alerts(_stream_raw(e))),
         f"WITH d AS (SELECT DISTINCT event_type AS ticker, date_trunc('minute', ts) AS ts FROM events), e AS (SELECT ticker, {q.ny_date('ts')} AS session, ts, lead(ts) OVER (PARTITION BY ticker,"
         f" {q.ny_date('ts')} ORDER BY ts) AS nx FROM d) SELECT ticker, session::VARCHAR AS session, epoch_us(ts) AS start_us, epoch_us(nx) AS end_us, (epoch_us(nx) - epoch_us(ts)) // 60000000 AS minutes"
         " FROM e WHERE epoch_us(nx) - epoch_us(ts) > 300000000",
     ),
     "stream_late_signals": (
-        lambda s, f: _drain(checks.late_signals(_stream_signals(s, f))).select("event_id", "ticker", "zero_latency"),
+        lambda s, f: _drain(s, f, lambda e: checks.late_signals(_stream_signals(e))).select("event_id", "ticker", "zero_latency"),
         q.with_ctes(lq.SIG) + "SELECT event_id, event_type AS ticker, true AS zero_latency FROM sg JOIN events USING (event_id) WHERE signal_ts <= publication_ts",
     ),
+    "stream_signal_ledger": (
+        _stream_ledger,
+        q.with_ctes(lq.SIG, "late AS (SELECT DISTINCT event_type AS ticker, strftime(publication_ts, '%Y-%m-%dT%H:%M:%S+00:00') AS p, strftime(signal_ts, '%Y-%m-%dT%H:%M:%S+00:00') AS g"
+                    " FROM sg JOIN events USING (event_id) WHERE signal_ts <= publication_ts)")
+        + _gap_sql("signals", "'signal_times'", "'ZERO_LATENCY_SIGNAL'", "'MATERIAL'", "late", ticker="ticker", start="p", end="g"),
+    ),
 }
 
 
-def _stream_signals(spark, folder):
-    e = _stream(spark, folder)
+def _stream_signals(e):
     sec = F.unix_seconds(F.date_trunc("second", F.col("ts").cast("timestamp")))
     return e.select(
         "event_id", F.col("event_type").alias("ticker"), F.timestamp_seconds(sec).alias("event_ts"), F.timestamp_seconds(sec + F.col("user_id") % 50).alias("publication_ts"),

@@ -1,4 +1,8 @@
-"""Streaming forms of the bar checks. Each takes a streaming DataFrame and returns one."""
+"""Streaming forms of the bar checks. Each takes a streaming DataFrame and returns one.
+
+A row without an instant has no place before or after a watermark: the checks leave it out, and ``undated`` returns it. A row
+without a ticker belongs to the ticker NULL.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +11,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..constants import EXCHANGE_TZ
+from ..constants import EXCHANGE_TZ, MATERIAL
 from ..operators import ledger
+from ..operators.gaps import as_gaps, iso_utc
+
+
+def undated(rows: DataFrame) -> DataFrame:
+    """Rows without an instant; stateless."""
+    return rows.where("ts IS NULL")
+
+
+def _dated(rows: DataFrame, lateness: str) -> DataFrame:
+    return rows.where("ts IS NOT NULL").withWatermark("ts", lateness)
 
 
 def minute_bars(trades: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """OHLCV minute bars of trades (ticker, ts, price, size, seq), emitted when the watermark passes a minute."""
     order = F.struct("ts", "seq")
-    x = trades.withWatermark("ts", lateness).groupBy(F.window("ts", "1 minute"), "ticker").agg(
+    x = _dated(trades, lateness).groupBy(F.window("ts", "1 minute"), "ticker").agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", order).alias("close"), F.sum("size").alias("volume"),
     )
@@ -26,12 +40,12 @@ def minute_bars(trades: DataFrame, lateness: str = "10 minutes") -> DataFrame:
 
 def first_bars(bars: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Drops repeats of (ticker, ts) within the watermark; state is bounded by it."""
-    return bars.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["ticker", "ts"])
+    return _dated(bars, lateness).dropDuplicatesWithinWatermark(["ticker", "ts"])
 
 
 def duplicate_counts(bars: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Repeated instants per ticker, with a conflict mark, in append mode; two instants of one minute are no duplicates."""
-    x = bars.withWatermark("ts", lateness).groupBy("ticker", "ts").agg(
+    x = _dated(bars, lateness).groupBy("ticker", "ts").agg(
         F.count("*").alias("n"), *[f(c).alias(f"{c}_{k}") for c in ("open", "high", "low", "close", "volume") for k, f in (("lo", F.min), ("hi", F.max))]
     )
     conflict = F.lit(False)
@@ -44,7 +58,7 @@ def gap_alerts(bars: DataFrame, max_gap_minutes: int = 5, lateness: str = "10 mi
     """(ticker, session, start, end, minutes) for pauses between consecutive bars of a session.
 
     Timestamps are held until the watermark has passed them, so a late bar within ``lateness`` still closes a pause. State per
-    (ticker, exchange session) is the last settled timestamp and those not yet passed; it ends with the watermark.
+    (ticker, exchange session) is the last settled timestamp and those not yet passed; it ends when the watermark leaves the day.
     """
     us = max_gap_minutes * 60_000_000
 
@@ -57,16 +71,19 @@ def gap_alerts(bars: DataFrame, max_gap_minutes: int = 5, lateness: str = "10 mi
         chain = settled if last is None else np.concatenate([[last], settled[settled > last]])
         at = np.flatnonzero(np.diff(chain) > us)
         last = int(chain[-1]) if len(chain) else None
-        if state.hasTimedOut and not len(open_):
-            state.remove()
-        else:
+        # the last bar is kept until the watermark leaves the exchange's day: the next one may come after a long pause
+        day = pd.Timestamp(key[1]).tz_localize(EXCHANGE_TZ) + pd.DateOffset(days=1)
+        over = int(day.timestamp() * 1000)
+        if len(open_) or mark < over:
             state.update((last, open_.tolist()))
-            state.setTimeoutTimestamp(max(mark, int(stamps[-1]) // 1000 if len(stamps) else mark) + 1)
+            state.setTimeoutTimestamp(max(mark, int(open_[-1]) // 1000) + 1 if len(open_) else over)
+        elif state.exists:
+            state.remove()
         if len(at):
             start, end = chain[at], chain[at + 1]
             yield pd.DataFrame({"ticker": key[0], "session": key[1], "start_us": start, "end_us": end, "minutes": (end - start) // 60_000_000})
 
-    keyed = bars.withWatermark("ts", lateness).select(
+    keyed = _dated(bars, lateness).select(
         "ticker", "ts", F.date_format(F.from_utc_timestamp("ts", EXCHANGE_TZ), "yyyy-MM-dd").alias("session"), F.unix_micros("ts").alias("us")
     )
     return keyed.groupBy("ticker", "session").applyInPandasWithState(
@@ -80,17 +97,29 @@ def late_signals(signals: DataFrame) -> DataFrame:
     return signals.where(bad | (F.col("event_ts") > F.col("publication_ts"))).select("event_id", "ticker", "publication_ts", "signal_ts", bad.alias("zero_latency"))
 
 
+def late_signal_gaps(signals: DataFrame, dataset_id: str) -> DataFrame:
+    """The same signals as ledger rows, named by ticker, publication and signal instant; stateless."""
+    c = F.col
+    kind = F.when(c("zero_latency"), F.lit("ZERO_LATENCY_SIGNAL")).otherwise(F.lit("EVENT_AFTER_PUBLICATION"))
+    detail = F.format_string("signal at %s, publication at %s", iso_utc(c("signal_ts")), iso_utc(c("publication_ts")))
+    return as_gaps(late_signals(signals), dataset_id, "signal_times", kind, MATERIAL, detail, c("ticker"), iso_utc(c("publication_ts")), iso_utc(c("signal_ts")))
+
+
 def ledger_sink(path: str):
-    """foreachBatch writer: appends only gap ids the ledger lacks, so a replayed batch adds nothing."""
+    """foreachBatch writer of a ledger that holds every gap id once, whatever is replayed.
+
+    A batch owns the folder of its number, which a replay overwrites, so a batch that was cut off while writing
+    leaves nothing behind; it appends only the ids that no batch before it has.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         try:
-            have = spark.read.schema(batch.schema).parquet(path)
+            have = batch.sparkSession.read.schema(T.StructType([*batch.schema, T.StructField("batch_id", T.LongType())])).parquet(path)
+            have = have.where(F.col("batch_id") < batch_id)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":  # only the first batch may find no ledger
                 raise
             have = None
-        ledger.merge(batch, existing=have).write.mode("append").parquet(path)
+        ledger.merge(batch, existing=have).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return write

@@ -82,3 +82,37 @@ def test_a_late_bar_closes_a_pause(spark, tmp_path):
     q.awaitTermination()
     got = [(r["ticker"], r["minutes"]) for r in spark.read.schema("ticker string, session string, start_us long, end_us long, minutes long").parquet(out).orderBy("start_us").collect()]
     assert got == [("A", 4), ("A", 4)]
+
+
+def run_in_batches(spark, tmp_path, build, batches):
+    """The query stops after each batch and goes on from its checkpoint."""
+    for rows in batches:
+        x = spark.createDataFrame(rows, "ticker string, s string, price double").select("ticker", F.to_timestamp("s").alias("ts"), *[F.col("price").alias(c) for c in ("open", "high", "low", "close", "volume")])
+        x.repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        out = build(spark.readStream.schema(x.schema).parquet(str(tmp_path / "in")))
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(str(tmp_path / "out"))
+
+
+def test_a_pause_longer_than_the_lateness_is_found(spark, tmp_path):
+    """A rests for two hours of its session while B and rows without a ticker go on. A row without an instant changes nothing, nor
+    does the bar at 15:01, which comes when the watermark is at 16:20: Spark drops it before the state sees it."""
+    day = "2024-03-05 "
+    batches = [
+        [("A", day + "15:00:00", 1.0), ("B", day + "15:00:00", 1.0), (None, day + "15:00:00", 1.0), ("A", None, 1.0)],
+        [("B", day + "16:30:00", 1.0)],
+        [("A", day + "17:00:00", 1.0), (None, day + "15:01:00", 1.0), (None, day + "17:10:00", 1.0)],
+        [("Z", "2024-03-07 15:00:00", 1.0)],
+        [("Z", "2024-03-07 15:00:00", 1.0)],
+    ]
+    got = run_in_batches(spark, tmp_path, lambda b: checks.gap_alerts(b, 5), batches)
+    assert sorted((str(r["ticker"]), r["session"], r["minutes"]) for r in got.collect()) == [("A", "2024-03-05", 120), ("B", "2024-03-05", 90), ("None", "2024-03-05", 130)]
+
+
+def test_streams_keep_rows_without_a_ticker(spark, tmp_path):
+    batches = [[(None, "2024-03-05 15:00:00", 1.0), (None, "2024-03-05 15:00:00", 2.0), ("A", "2024-03-05 15:00:00", 1.0), ("A", None, 1.0)], [("Z", "2024-03-06 15:00:00", 1.0)]]
+    got = run_in_batches(spark, tmp_path, checks.duplicate_counts, batches).collect()
+    assert [(r["ticker"], r["n"], r["conflict"]) for r in got] == [(None, 2, True)]
+    (lost,) = checks.undated(spark.read.parquet(str(tmp_path / "in"))).collect()
+    assert lost["ticker"] == "A"

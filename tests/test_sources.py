@@ -5,6 +5,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from barcheck.operators import ledger
 from barcheck.operators.gaps import as_gaps
 from barcheck.sources import provider
 from barcheck.streaming.checks import ledger_sink
@@ -39,3 +40,25 @@ def test_replayed_batches_add_nothing_to_the_ledger(spark, tmp_path):
     write(gaps, 0)
     got = spark.read.parquet(str(tmp_path / "ledger"))
     assert got.count() == 3 and got.select("gap_id").distinct().count() == 3
+
+
+def test_a_batch_cut_off_while_writing_is_written_again(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = lambda ids: as_gaps(spark.createDataFrame([(str(i),) for i in ids], "id string"), "d", "sessions", "K", "MINOR", "x", ticker=F.col("id"))
+    write = ledger_sink(path)
+    write(rows([0, 1, 1]), 0)
+    # half of batch 1 is there already, then it comes whole, with an id of batch 0, and once more
+    rows([2]).write.parquet(f"{path}/batch_id=1")
+    for _ in range(2):
+        write(rows([1, 2, 3]), 1)
+    write(rows([0, 3, 4]), 2)
+    got = sorted((r["ticker"], r["batch_id"]) for r in spark.read.parquet(path).collect())
+    assert got == [("0", 0), ("1", 0), ("2", 1), ("3", 1), ("4", 2)]
+
+
+def test_rollup_tells_a_null_from_a_total(spark):
+    led = spark.createDataFrame([("c", "k", "MINOR", "OPEN", 2), ("c", None, "MINOR", "OPEN", 3)], "check string, kind string, severity string, status string, n long")
+    got = sorted((r["level"], str(r["kind"]), r["n_gaps"], r["n_rows"]) for r in ledger.rollup(led).collect())
+    full = [(n, k, 1, v) for n in (0, 1, 3) for k, v in (("None", 3), ("k", 2))]
+    assert got == full + [(7, "None", 2, 5), (15, "None", 2, 5)]
+    assert [(r["level"], r["n_gaps"]) for r in ledger.rollup(led.where("false")).collect()] in ([], [(15, 0)])
