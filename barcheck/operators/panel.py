@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.shape import dense_index, with_halo
+from ..functions.shape import dense_index, running_sum, with_halo
 
 BAR_CHUNK = 2048
 
@@ -78,17 +78,25 @@ def close_returns(panel: DataFrame) -> DataFrame:
 
 
 def exclude_cells(panel: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Marks the cells of ledger gaps (ticker, start, end as dates). Gaps are unfolded to days and matched by equality;
-    a gap without ticker hits every name."""
-    day = gaps.where("start IS NOT NULL").select(
-        "ticker",
-        F.explode(F.sequence(F.to_date(F.substring("start", 1, 10)), F.to_date(F.substring(F.coalesce("end", "start"), 1, 10)), F.expr("interval 1 day"))).alias("_d"),
-    ).distinct()
-    mine = day.where("ticker IS NOT NULL").withColumn("_one", F.lit(True))
-    every = day.where("ticker IS NULL").select("_d", F.lit(True).alias("_all"))
-    x = panel.withColumn("_d", F.to_date("ts")).join(mine, ["ticker", "_d"], "left").join(every, "_d", "left")
-    hit = F.col("_one").isNotNull() | F.col("_all").isNotNull()
-    return x.withColumn("excluded", F.col("excluded") | hit).select(*panel.columns)
+    """Marks the cells of ledger gaps (ticker, start, end as dates, both included); a gap without ticker hits every name.
+
+    A gap opens on its first day and closes after its last one; a cell is excluded where more gaps have opened than
+    closed. The count runs per name in chunks of a year, so the work grows with cells and gaps, not with the days of
+    long gaps. Gaps for every name become disjoint spans, at most one row per calendar day. A gap without a
+    start, or with an end before it, and a cell without an instant mark nothing.
+    """
+    day = lambda c: F.to_date(F.substring(c, 1, 10))
+    g = gaps.select("ticker", day(F.col("start")).alias("a"), F.date_add(day(F.coalesce("end", "start")), 1).alias("b")).where("a < b")
+    edge = lambda c, n: F.struct(F.col(c).alias("_d"), F.lit(n).cast("long").alias("_add"))
+    edges = g.select("ticker", F.explode(F.array(edge("a", 1), edge("b", -1))).alias("_e")).groupBy("ticker", "_e._d").agg(F.sum("_e._add").alias("_add"))
+    # calendar rows only
+    w = Window.orderBy("_d")
+    market = edges.where("ticker IS NULL").select("_d", F.sum("_add").over(w).alias("_open"), F.date_sub(F.lead("_d").over(w), 1).alias("_to")).where("_open > 0")
+    every = market.select(F.explode(F.sequence("_d", "_to")).alias("_d"), F.lit(True).alias("_all"))
+    cells = panel.withColumn("_d", F.to_date("ts")).withColumn("_add", F.lit(0).cast("long")).withColumn("_cell", F.lit(True))
+    x = cells.unionByName(edges.where("ticker IS NOT NULL").withColumn("_cell", F.lit(False)), allowMissingColumns=True)
+    x = running_sum(x, ["ticker"], ["_d", "_cell"], F.col("_add"), "_in", F.trunc("_d", "year")).where("_cell").join(every, "_d", "left")
+    return x.withColumn("excluded", F.col("excluded") | (F.col("_in") > 0) | F.col("_all").isNotNull()).select(*panel.columns)
 
 
 def trailing(panel: DataFrame, bars: int = 20, min_obs: int = 5) -> DataFrame:

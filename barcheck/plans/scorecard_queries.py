@@ -258,6 +258,12 @@ def _stream_raw(e):
     return _trades(e).withColumn("ts", F.date_trunc("minute", "ts")).withColumns(px).withColumn("volume", F.col("size")).select("ticker", "ts", "open", "high", "low", "close", "volume")
 
 
+def _spells(spark, folder):
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    # the closing row, whose spell never passes the watermark, is not written
+    return _drain(spark, folder, lambda e: checks.trading_spells(_stream_raw(e))).select("ticker", text("start"), text("end"), "bars")
+
+
 def _stream_ledger(spark, folder):
     """The ledger that foreachBatch wrote over all batches."""
     sink = lambda writer, path: writer.foreachBatch(checks.ledger_sink(path))
@@ -289,6 +295,17 @@ STREAMS = {
         lambda s, f: _drain(s, f, lambda e: checks.late_signals(_stream_signals(e))).select("event_id", "ticker", "zero_latency"),
         q.with_ctes(lq.SIG) + "SELECT event_id, event_type AS ticker, true AS zero_latency FROM sg JOIN events USING (event_id) WHERE signal_ts <= publication_ts",
     ),
+    "stream_spells": (
+        lambda s, f: _spells(s, f),
+        "WITH m AS (SELECT event_type AS ticker, date_trunc('minute', ts) AS ts FROM events WHERE ts IS NOT NULL), l AS (SELECT *, lag(ts) OVER (PARTITION BY ticker ORDER BY ts) AS p FROM m),"
+        " g AS (SELECT *, count(*) FILTER (p IS NULL OR ts - p > INTERVAL 5 MINUTE) OVER (PARTITION BY ticker ORDER BY ts) AS g FROM l)"
+        " SELECT ticker, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS \"end\", count(*) AS bars FROM g GROUP BY ticker, g",
+    ),
+    "stream_signal_latency": (
+        lambda s, f: _drain(s, f, lambda e: checks.signal_latency(_stream_signals(e).select("event_id", "publication_ts"), _stream_signals(e).select("event_id", "ticker", "signal_ts"))),
+        q.with_ctes(lq.SIG) + "SELECT event_id, event_type AS ticker, (epoch_us(signal_ts) - epoch_us(publication_ts)) / 1000000 AS latency_s, signal_ts <= publication_ts AS zero_latency"
+        " FROM sg JOIN events USING (event_id) WHERE signal_ts BETWEEN publication_ts - INTERVAL 5 MINUTE AND publication_ts + INTERVAL 1 MINUTE",
+    ),
     "stream_signal_ledger": (
         _stream_ledger,
         q.with_ctes(lq.SIG, "late AS (SELECT DISTINCT event_type AS ticker, strftime(publication_ts, '%Y-%m-%dT%H:%M:%S+00:00') AS p, strftime(signal_ts, '%Y-%m-%dT%H:%M:%S+00:00') AS g"

@@ -91,6 +91,28 @@ def gap_alerts(bars: DataFrame, max_gap_minutes: int = 5, lateness: str = "10 mi
     )
 
 
+def trading_spells(bars: DataFrame, pause_minutes: int = 5, lateness: str = "10 minutes") -> DataFrame:
+    """(ticker, start, end, bars): spells of bars without a pause of more than ``pause_minutes``, first and last bar, in append mode.
+
+    A spell is emitted once the watermark has passed its last bar by the pause; a late bar may join two spells before.
+    """
+    x = _dated(bars, lateness).groupBy(F.session_window("ts", f"{pause_minutes} minutes").alias("w"), "ticker").agg(F.count("*").alias("bars"))
+    return x.select("ticker", F.col("w.start").alias("start"), (F.col("w.end") - F.expr(f"interval {pause_minutes} minutes")).alias("end"), "bars")
+
+
+def signal_latency(publications: DataFrame, signals: DataFrame, before: str = "5 minutes", after: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
+    """(event_id, ticker, latency_s, zero_latency) of signals from ``before`` to ``after`` around the publication of their event.
+
+    A join of two streams, publications(event_id, publication_ts) and signals(event_id, ticker, signal_ts); the interval lets both
+    sides forget rows that the watermarks have passed. Several signals of an event are several rows.
+    """
+    p = publications.where("publication_ts IS NOT NULL").withWatermark("publication_ts", lateness).alias("p")
+    s = signals.where("signal_ts IS NOT NULL").withWatermark("signal_ts", lateness).alias("s")
+    near = F.expr(f"s.event_id = p.event_id AND s.signal_ts >= p.publication_ts - interval {before} AND s.signal_ts <= p.publication_ts + interval {after}")
+    latency = (F.unix_micros("s.signal_ts") - F.unix_micros("p.publication_ts")) / 1_000_000
+    return s.join(p, near).select("s.event_id", "s.ticker", latency.alias("latency_s"), (latency <= 0).alias("zero_latency"))
+
+
 def late_signals(signals: DataFrame) -> DataFrame:
     """Signals that precede their publication or break the life-cycle order; stateless."""
     bad = F.col("signal_ts") <= F.col("publication_ts")

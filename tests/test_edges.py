@@ -1,13 +1,14 @@
 """Rows and texts that are easy to get wrong: odd time forms, days outside the calendar, repeated gaps, bad splits."""
 
-from datetime import date, datetime, timezone
+import random
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from barcheck.functions.noise import gaussian
 from barcheck.functions.text import iso_instant
-from barcheck.operators import calendar as cal, ledger, signals
+from barcheck.operators import calendar as cal, ledger, panel as pan, signals
 from barcheck.operators.corporate import CorporateActions
 from barcheck.operators.gaps import GAP_COLUMNS, as_gaps
 from barcheck.streaming import checks
@@ -116,3 +117,33 @@ def test_streams_keep_rows_without_a_ticker(spark, tmp_path):
     assert [(r["ticker"], r["n"], r["conflict"]) for r in got] == [(None, 2, True)]
     (lost,) = checks.undated(spark.read.parquet(str(tmp_path / "in"))).collect()
     assert lost["ticker"] == "A"
+
+
+def test_excluded_cells_against_every_gap_and_cell(spark):
+    """Nested, touching, repeated, reversed and open gaps, gaps for every name, over years; instants within a day and NULLs."""
+    rnd = random.Random(9)
+    text = lambda d: (date(2019, 12, 1) + timedelta(days=d)).isoformat()
+    gaps = []
+    for _ in range(40):
+        a = rnd.randrange(800)
+        gaps.append((rnd.choice(["A", "B", "C", None]) if rnd.random() < 0.9 else None, text(a), rnd.choice([text(a + rnd.randrange(-3, 25)), text(a) + "T10:00:00", None])))
+    gaps += [("A", text(20), text(700)), ("A", text(20), text(700)), ("B", text(5), text(9)), ("B", text(10), text(12)), ("B", None, text(3))]
+    cells = [(i, rnd.choice(["A", "B", "C", "D", None]), f"{text(rnd.randrange(830))} {rnd.randrange(10, 20)}:00:00") for i in range(300)] + [(300, "A", None)]
+    df = spark.createDataFrame(cells, "t int, ticker string, s string").select("t", "ticker", F.to_timestamp("s").alias("ts"), (F.col("t") == 7).alias("excluded"))
+    led = spark.createDataFrame(gaps, 'ticker string, start string, end string')
+    got = {r["t"]: r["excluded"] for r in pan.exclude_cells(df, led).collect()}
+    want = {t: t == 7 or any(a and s and (g is None or g == k) and a <= s[:10] <= (b or a)[:10] for g, a, b in gaps) for t, k, s in cells}
+    assert got == want
+    assert {r["t"] for r in pan.exclude_cells(df, led.where("false")).where("excluded").collect()} == {7}
+
+
+def test_spells_join_over_late_bars_and_latencies_stay_in_their_interval(spark, tmp_path):
+    """A late bar at 15:08 makes one spell of two; the pause of exactly five minutes does not end a spell."""
+    day = "2024-03-05 "
+    batches = [
+        [("A", day + "15:00:00", 1.0), ("A", day + "15:05:00", 1.0), ("A", day + "15:12:00", 1.0), ("B", day + "15:00:00", 1.0), ("B", None, 1.0)],
+        [("A", day + "15:08:00", 1.0), ("A", day + "15:18:00", 1.0), (None, day + "15:18:00", 1.0)],
+        [("Z", "2024-03-06 15:00:00", 1.0)],
+    ]
+    got = run_in_batches(spark, tmp_path, lambda b: checks.trading_spells(b, 5), batches)
+    assert sorted((str(r["ticker"]), r["start"].minute, r["end"].minute, r["bars"]) for r in got.collect()) == [("A", 0, 12, 4), ("A", 18, 18, 1), ("B", 0, 0, 1), ("None", 18, 18, 1)]
