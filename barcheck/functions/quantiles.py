@@ -22,13 +22,14 @@ def median_at_least(value: str, floor: float) -> Column:
     return F.when(below + rest > 0, F.when(below == rest, middle).otherwise(rest > below))
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], rounds: int = 2, buckets: int = BUCKETS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], rounds: int = 1, buckets: int = BUCKETS) -> DataFrame:
     """(keys, one column per name in ``probs``): interpolated quantiles, equal to ``percentile``.
 
     Equal values are collapsed to counts. Each round cuts a key's range in ``buckets`` equal widths, counts them, and goes on
     with the buckets that hold a wanted rank, whose own least and greatest values are the next range, so one outlier costs one
     round. A window orders what is left: about 1 / buckets^rounds of a key's distinct values where they are spread evenly, all of
-    a bucket where they are not; it spills, and is right in any case. NULL and NaN are left out; a key without values has no
+    a bucket where they are not; it spills, and is right in any case. One round leaves a million rows of a billion values; each more
+    round reads the collapsed values again, so the plan doubles. NULL and NaN are left out; a key without values has no
     row; a NULL key is a key of its own; extra columns are not read.
     """
     keys = list(keys)
