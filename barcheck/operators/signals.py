@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.noise import gaussian
+from ..functions.noise import gaussian, hash32
 from .panel import in_bars
 
 MIN_NAMES = 10
@@ -34,6 +34,25 @@ def variant(strategy_id: str, window: int = 40, quantile: float = 0.2, rebalance
     return {"strategy_id": strategy_id, "window": window, "quantile": quantile, "rebalance": rebalance, "gross": gross}
 
 
+#: Parts of the momentum pipeline, and what a variant row becomes without each: the trailing return gives way to keyed noise,
+#: the extremes to halves of all names, a book is set anew on every bar, or one leg is left out.
+PARTS = {
+    "ranking": {"noise": True},
+    "selection": {"quantile": 0.5},
+    "holding": {"rebalance": 1},
+    "long_leg": {"side": -1},
+    "short_leg": {"side": 1},
+}
+
+
+def ablations(variants: Sequence[dict], parts: Sequence[str] = tuple(PARTS)) -> list[dict]:
+    """For each variant and part a row without that part, named ``<strategy>-<part>`` and naming its ``base`` and ``part``.
+
+    The rows run beside their variants in one ``momentum`` job and share its window pass.
+    """
+    return [{**v, **PARTS[p], "strategy_id": f"{v['strategy_id']}-{p}", "base": v["strategy_id"], "part": p} for v in variants for p in parts]
+
+
 def _sides(scored: DataFrame, short_first: bool, q: Column, gross: Column) -> DataFrame:
     """Equal weights for the lowest and highest share of names per (strategy, bar); fewer than ten names give none.
 
@@ -59,26 +78,33 @@ def from_score(scores: DataFrame, quantile: float = 0.2, gross: float = 1.0) ->
 def momentum(panel: DataFrame, variants: Sequence[dict]) -> DataFrame:
     """Trailing-return momentum over each name's own observed bars, rebalanced every k-th bar, held in between.
 
-    A rebalance with too few names leaves that bar empty; the earlier book resumes on the next bar.
+    A rebalance with too few names leaves that bar empty; the earlier book resumes on the next bar. A variant's ``noise``
+    ranks the same names by a hash of name and bar, its ``side`` keeps the bought (1) or the sold (-1) names only.
     """
     w = worlds(panel)
     cells = in_bars(panel)
     own = Window.partitionBy(*w, "ticker").orderBy("t")
+
+    def score(v: dict) -> Column:
+        trailing = F.col("close") / F.nullif(F.lag("close", int(v["window"])).over(own), F.lit(0.0)) - 1
+        return F.when(trailing.isNotNull(), hash32("ablation", F.col("ticker"), F.col("t")).cast("double")) if v.get("noise") else trailing
+
     options = F.array(*[
         F.struct(
             F.lit(v["strategy_id"]).alias("strategy_id"), F.lit(float(v["quantile"])).alias("q"), F.lit(int(v["rebalance"])).alias("k"),
-            F.lit(float(v["gross"])).alias("g"),
-            (F.col("close") / F.nullif(F.lag("close", int(v["window"])).over(own), F.lit(0.0)) - 1).alias("score"),
+            F.lit(float(v["gross"])).alias("g"), F.lit(int(v.get("side", 0))).alias("side"), score(v).alias("score"),
         )
         for v in variants
     ])
     scored = cells.select(*w, "t", "ticker", options.alias("o")).select(*w, "t", "ticker", F.explode("o").alias("o")).select(*w, "t", "ticker", "o.*")
     scored = scored.where((F.col("t") % F.col("k") == F.col("k") - 1) & F.col("score").isNotNull())
-    book = _sides(scored, True, F.col("q"), F.col("g")).select(*w, "strategy_id", "t", "ticker", "w", "k")
+    book = _sides(scored, True, F.col("q"), F.col("g")).select(*w, "strategy_id", "t", "ticker", "w", "k", "side")
     # the last bar a book serves: just before the next successful rebalance of the same strategy
     times = _with_last(book.select(*w, "strategy_id", "t").distinct(), panel)
     until = times.withColumn("until", F.coalesce(F.lead("t").over(Window.partitionBy(*w, "strategy_id").orderBy("t")) - 1, "_last")).drop("_last")
-    held = book.join(until, [*w, "strategy_id", "t"]).withColumn("h", F.explode(F.sequence("t", "until")))
+    # a leg is left out after the books' times are known, so a book of one leg serves as long as the whole one
+    legs = book.where((F.col("side") == 0) | (F.col("side") * F.col("w") > 0))
+    held = legs.join(until, [*w, "strategy_id", "t"]).withColumn("h", F.explode(F.sequence("t", "until")))
     held = held.where((F.col("h") == F.col("t")) | (F.col("h") % F.col("k") != F.col("k") - 1))
     held = held.select(*w, "strategy_id", F.col("h").alias("t"), "ticker", "w")
     return held.join(cells.select(*w, "t", "ticker"), [*w, "t", "ticker"], "left_semi").select(*w, "strategy_id", "t", "ticker", "w")

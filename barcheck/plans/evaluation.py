@@ -34,6 +34,7 @@ def evaluate(
     families: DataFrame | None = None,
     survivorship: DataFrame | None = None,
     ablations: DataFrame | None = None,
+    ablation_weights: DataFrame | None = None,
     contaminated: DataFrame | None = None,
     dataset_id: str | None = None,
     th: dict = THRESHOLDS,
@@ -48,6 +49,8 @@ def evaluate(
     The evaluation guards itself: failed checks of the panel, positions on missing prices and positions over an unknown
     terminal return are ``failures`` (strategy_id, check, n), which reject. ``survivorship`` are findings on delisted names.
     ``flags`` (strategy_id, flag, value) do not reject; ``ablations`` (strategy_id, ablation) name strategies that lack a part.
+    Those are among ``weights``, or in ``ablation_weights``: then they are priced beside them, but are no trials of a family
+    and get no verdict.
 
     With ``stage`` the cells and returns are written once to the shared folder for the statistics that share them.
     """
@@ -111,16 +114,24 @@ def evaluate(
     for h in (findings, leaks):
         if h is not None:
             hard = hard.unionByName(h.select("strategy_id", "hard_fails"))
-    notes = guards.flags(
-        acc.assumptions(cells), ladders, conc, b, families, sc.flags(ladders.where("scenario = 'baseline'").select("strategy_id", "sharpe"), ablations) if ablations is not None else None,
-        contaminated, dataset_id, th,
-    )
+    less = None
+    if ablations is not None:
+        known = ladders.where("scenario = 'baseline'").select("strategy_id", "sharpe")
+        if ablation_weights is not None:
+            known = known.unionByName(ablated_sharpes(panel, ablation_weights, terminal, base))
+        less = sc.flags(known, ablations)
+    notes = guards.flags(acc.assumptions(cells), ladders, conc, b, families, less, contaminated, dataset_id, th)
     hard = hard.groupBy("strategy_id").agg(F.sum("hard_fails").alias("hard_fails"))
     return Evaluation(ret, m, g, sc.classify(g, m, hard, th), ladders, failures, notes)
 
 
+def ablated_sharpes(panel: DataFrame, weights: DataFrame, terminal: DataFrame | None = None, base: dict = BASELINE_EXEC) -> DataFrame:
+    """(strategy_id, sharpe) after costs of the base scenario."""
+    return moments.sharpe_table(pf.Accounts(panel, weights, [base], terminal).returns(), "net")
+
+
 def leak_failures(suite: DataFrame) -> DataFrame:
     return suite.groupBy("strategy_id").agg(F.count_if(~F.col("passed")).alias("hard_fails"))
 
 
-__all__ = ["Evaluation", "evaluate", "leak_failures", "leakage"]
+__all__ = ["Evaluation", "ablated_sharpes", "evaluate", "leak_failures", "leakage"]

@@ -8,10 +8,11 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import BASELINE_EXEC, REGIMES
-from ..operators import guards, leakage, moments, panel as pan, portfolio as pf, signals as sg
+from ..operators import guards, leakage, moments, panel as pan, portfolio as pf, scorecard as sc, signals as sg
 from ..session import cut_lineage
 from ..sources import tables as src
 from . import sqltext as q
+from .evaluation import ablated_sharpes
 from .integrity_queries import _round
 
 VARIANTS = [sg.variant("mom10", window=10), sg.variant("mom20", window=20), sg.variant("mom40", window=40, rebalance=10)]
@@ -41,23 +42,27 @@ PN = "pn AS (SELECT t, ticker, open, high, low, close, volume FROM bars JOIN idx
 BASE = (q.bars_cte(), IDX, PN)
 
 
-def sides_sql(src_: str, p: str, low_sold: bool) -> str:
+def sides_sql(src_: str, p: str, low_sold: bool, share: str = "0.2::DOUBLE") -> str:
     a, b = ("-0.5 / m", "0.5 / m")
     body = f"CASE WHEN rn <= m THEN {a} WHEN rn > n - m THEN {b} END" if low_sold else f"CASE WHEN rn > n - m THEN {a} WHEN rn <= m THEN {b} END"
     return (
         f"{p}rk AS (SELECT *, row_number() OVER (PARTITION BY strategy_id, t ORDER BY score, ticker) AS rn, count(*) OVER (PARTITION BY strategy_id, t) AS n FROM {src_}"
-        f" WHERE score IS NOT NULL), {p}bk AS (SELECT * FROM (SELECT *, {body} AS w FROM (SELECT *, greatest(1, floor(n * 0.2::DOUBLE)) AS m FROM {p}rk WHERE n >= 10))"
+        f" WHERE score IS NOT NULL), {p}bk AS (SELECT * FROM (SELECT *, {body} AS w FROM (SELECT *, greatest(1, floor(n * {share})) AS m FROM {p}rk WHERE n >= 10))"
         " WHERE w IS NOT NULL)"
     )
 
 
-def momentum_sql(variants, panel: str = "pn", p: str = "m") -> str:
+NOISE = "('0x' || substr(md5(concat_ws('|', 'ablation', ticker, t)), 1, 8))::BIGINT"
+
+
+def momentum_sql(variants, panel: str = "pn", p: str = "m", share: str = "0.2::DOUBLE", noise: bool = False) -> str:
+    score = f"CASE WHEN score IS NOT NULL THEN {NOISE} END" if noise else "score"
     sc = " UNION ALL ".join(
         f"SELECT '{v['strategy_id']}' AS strategy_id, {v['rebalance']} AS k, t, ticker, close / nullif(lag(close, {v['window']}) OVER (PARTITION BY ticker ORDER BY t), 0) - 1 AS score FROM {panel}"
         for v in variants
     )
     return (
-        f"{p}sc AS (SELECT * FROM ({sc}) WHERE t % k = k - 1), " + sides_sql(f"{p}sc", p, True)
+        f"{p}sc AS (SELECT * REPLACE ({score} AS score) FROM ({sc}) WHERE t % k = k - 1), " + sides_sql(f"{p}sc", p, True, share)
         + f", {p}tm AS (SELECT DISTINCT strategy_id, k, t AS rt FROM {p}bk), {p}al AS (SELECT DISTINCT strategy_id, k FROM {p}bk),"
         f" {p}pt AS (SELECT a.strategy_id, a.k, d.t FROM {p}al a, (SELECT DISTINCT t FROM {panel}) d),"
         f" {p}as AS (SELECT x.strategy_id, x.k, x.t, y.rt FROM {p}pt x ASOF JOIN {p}tm y ON x.strategy_id = y.strategy_id AND x.t >= y.rt),"
@@ -66,6 +71,13 @@ def momentum_sql(variants, panel: str = "pn", p: str = "m") -> str:
     )
 
 
+def ablated_sql(variants, panel: str = "pn", p: str = "a") -> str:
+    """Books of variants that lack a part."""
+    books = [momentum_sql([v], panel, f"{p}{i}", f"{v['quantile']}::DOUBLE", v.get("noise", False)) for i, v in enumerate(variants)]
+    rows = " UNION ALL ".join(f"SELECT strategy_id, t, ticker, w FROM {p}{i}w" + (f" WHERE w * {v['side']} > 0" if v.get("side") else "") for i, v in enumerate(variants))
+    return ", ".join([*books, f"{p}w AS ({rows})"])
+
+
 def reversal_sql(panel: str = "pn", p: str = "r") -> str:
     return (
         f"{p}sc AS (SELECT 'reversal' AS strategy_id, t, ticker, CASE WHEN lag(t) OVER o = t - 1 THEN close / nullif(lag(close) OVER o, 0) - 1 END AS score FROM {panel}"
@@ -139,6 +151,10 @@ SIGNALS = {
         lambda s, f: _w(sg.momentum(_panel(s, f), VARIANTS)),
         q.with_ctes(*BASE, momentum_sql(VARIANTS)) + "SELECT strategy_id, t, ticker, round(w, 9) AS w FROM mw",
     ),
+    "ablation_weights": (
+        lambda s, f: _w(sg.momentum(_panel(s, f), sg.ablations(VARIANTS))),
+        q.with_ctes(*BASE, ablated_sql(sg.ablations(VARIANTS))) + "SELECT strategy_id, t, ticker, round(w, 9) AS w FROM aw",
+    ),
     "reversal_weights": (
         lambda s, f: _w(sg.reversal(_panel(s, f))),
         q.with_ctes(*BASE, reversal_sql()) + "SELECT strategy_id, t, ticker, round(w, 9) AS w FROM rw",
@@ -370,7 +386,37 @@ LEAKAGE = {
     ),
 }
 
+# ------------------------------------------------------------------ ablations
+
+ABLATED = sg.ablations(VARIANTS[:1])
+
+
+def _ablated(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Sharpe ratios of a momentum strategy with and without each part, from one set of books, and which lacks which."""
+    p = _panel(spark, folder)
+    w = cut_lineage(sg.momentum(p, [*VARIANTS[:1], *ABLATED]))
+    pairs = spark.createDataFrame([(v["base"], v["strategy_id"]) for v in ABLATED], "strategy_id string, ablation string")
+    return ablated_sharpes(p, w, _terminal(spark, folder)), pairs
+
+
+def _ablation_sharpes(spark, folder):
+    sharpes, pairs = _ablated(spark, folder)
+    return sharpes.join(pairs.select(F.col("ablation").alias("strategy_id"), F.col("strategy_id").alias("base")), "strategy_id", "left")
+
+
+ABLATIONS = (*BASE, momentum_sql(VARIANTS[:1]), ablated_sql(ABLATED), "allw AS (SELECT strategy_id, t, ticker, w FROM mw UNION ALL SELECT strategy_id, t, ticker, w FROM aw)",
+             *engine_sql("allw", [BASELINE_EXEC]), f"ab AS (SELECT strategy_id, split_part(strategy_id, '-', 1) AS base, {SHARPE} AS s FROM rt GROUP BY 1)")
+
 EVALUATION = {
+    "ablation_sharpes": (
+        lambda s, f: _round(_ablation_sharpes(s, f), "sharpe"),
+        q.with_ctes(*ABLATIONS) + "SELECT strategy_id, nullif(base, strategy_id) AS base, round(s, 6) AS sharpe FROM ab",
+    ),
+    "ablation_flags": (
+        lambda s, f: _round(sc.flags(*_ablated(s, f)), "ablation_sharpe", "sharpe"),
+        q.with_ctes(*ABLATIONS) + "SELECT a.base AS strategy_id, a.strategy_id AS ablation, round(a.s, 6) AS ablation_sharpe, round(b.s, 6) AS sharpe FROM ab a JOIN ab b ON b.strategy_id = a.base"
+        " WHERE a.strategy_id <> a.base AND a.s >= 0.9 * b.s",
+    ),
     "evaluation_guards": (lambda s, f: guards.gap_failures(_unguarded(s, f)), q.with_ctes(*BASE, *BOTH, *engine_sql("allw", [BASELINE_EXEC]), GUARDS) + GUARDS_SELECT),
     "evaluation_flags": (
         lambda s, f: _round(_flags(s, f), "value", digits=5),

@@ -172,7 +172,7 @@ SCORE = {
         + "SELECT a.strategy_id, round(avg(CASE WHEN b.s > 0 THEN 1.0 ELSE 0.0 END), 5) AS neighbor_pos, round(CASE WHEN any_value(a.s) > 0 THEN median(b.s) / any_value(a.s) ELSE 0 END, 5)"
         " AS neighbor_ratio FROM sh a JOIN sh b ON split_part(a.strategy_id, '/', 1) = split_part(b.strategy_id, '/', 1) AND a.strategy_id <> b.strategy_id GROUP BY 1",
     ),
-    "ablation_flags": (
+    "neighbour_flags": (
         lambda s, f: _round(sc.flags(_sharpes(s, f), _neighbors(s, f).where("strategy_id <> neighbor").withColumnRenamed("neighbor", "ablation")), "ablation_sharpe", "sharpe"),
         q.with_ctes(q.VARIANTS, "sh AS (SELECT strategy_id, avg(r) / stddev_samp(r) * sqrt(252) AS s FROM vr GROUP BY 1)")
         + "SELECT a.strategy_id, b.strategy_id AS ablation, round(b.s, 6) AS ablation_sharpe, round(a.s, 6) AS sharpe FROM sh a JOIN sh b ON split_part(a.strategy_id, '/', 1) ="

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barcheck.constants import BASELINE_EXEC, REJECTED, THRESHOLDS
 from barcheck.operators import guards, portfolio as pf
-from barcheck.plans.evaluation import evaluate
+from barcheck.plans.evaluation import ablated_sharpes, evaluate
 from barcheck.session import shared_folder
 
 BARS, NAMES = 60, 3
@@ -98,3 +98,18 @@ def test_a_folder_of_the_driver_is_refused_on_a_cluster():
     assert shared_folder(session("spark://host:7077", spark_sql_warehouse_dir="hdfs://x/w")) == "hdfs://x/w/_staged/app"
     assert shared_folder(session("spark://host:7077", spark_checkpoint_dir="file:/shared", spark_sql_warehouse_dir="file:/w")) == "file:/shared/app"
     assert shared_folder(session("local[4]", spark_sql_warehouse_dir="file:/w")) == "file:/w/_staged/app"
+
+
+def test_ablations_are_priced_but_are_no_trials(spark):
+    """A copy of the book and one that holds it the other way round: a copy keeps its Sharpe ratio exactly."""
+    th = {**THRESHOLDS, "n_perm": 20, "n_boot": 20}
+    same = book(spark).where("strategy_id = 'safe'").withColumn("strategy_id", F.lit("copy"))
+    less = same.unionByName(same.withColumn("strategy_id", F.lit("turned")).withColumn("w", -F.col("w")))
+    pairs = spark.createDataFrame([("safe", "copy"), ("safe", "turned")], "strategy_id string, ablation string")
+    e = evaluate(panel(spark), book(spark), ablations=pairs, ablation_weights=less, th=th)
+    assert {r["strategy_id"] for r in e.verdicts.collect()} == {r["strategy_id"] for r in e.measures.collect()} == {"safe", "risky"}
+    known = {r["strategy_id"]: r["sharpe"] for r in ablated_sharpes(panel(spark), less).collect()}
+    base = e.ladders.where("strategy_id = 'safe' AND scenario = 'baseline'").first()["sharpe"]
+    assert known["copy"] == pytest.approx(base) != known["turned"]
+    flagged = {r["flag"]: r["value"] for r in e.flags.where("flag LIKE 'ablation:%'").collect()}
+    assert flagged == {f"ablation:{k}": pytest.approx(v) for k, v in known.items() if v >= 0.9 * base}
