@@ -29,19 +29,25 @@ TEST_PATHS = r"(?i)test|mock|fixture|example|sample|doc"
 #: Letter pairs that are common in words of the corpus's languages; their share tells words from random letters.
 PAIRS = ("th", "he", "in", "er", "an", "re", "on", "en", "at", "es", "ed", "te", "ti", "or", "st", "ar", "nd", "to", "nt", "is", "de", "le", "qu", "ou", "ch", "ei", "ie", "ge", "ci", "la")
 NEAR = 40
+#: Pieces of a text that are placed together; a full block is longer than NEAR, as every second piece is a candidate of at
+#: least one character behind a name of at least four, or of 16.
+BLOCK = 64
+#: Words of three letters or more, at humps and capitals; the dictionary is the corpus's words in one of this many documents.
+WORDS = r"\p{Lu}?\p{Ll}{2,}|\p{Lu}{3,}(?!\p{Ll})|\p{Lo}{3,}"
+FREQUENT = 2_000
 #: Findings that the forest is fitted on at most, by hash of their place, and how many of them with either label.
 TRAIN_FINDINGS, TREES, DEPTH, SEED = 20_000, 40, 6, 20_240_603
 
-FEATURES = ("length", "digits", "upper", "classes", "changes", "pairs", "spread", "hexlike", "keyword", "assigned", "quoted", "soft", "test_path", "dotted")
+FEATURES = ("length", "digits", "upper", "classes", "changes", "pairs", "dictionary", "spread", "hexlike", "keyword", "assigned", "quoted", "soft", "test_path", "dotted")
 
 
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
-def _placed(pieces: Column, start: Column, before: Column, after: Column) -> Column:
-    """start, piece, hit, before, after of all pieces of a text: places are running sums of lengths, and the neighbours are
-    carried over pieces shorter than NEAR."""
+def _in_block(pieces: Column, start: Column, before: Column, after: Column) -> Column:
+    """start, piece, hit, before, after of the pieces of a block: places are running sums of lengths, and the neighbours are
+    carried over pieces shorter than NEAR. Every step copies what it has so far, so a block is short."""
     part = "start:bigint,piece:string,hit:boolean,before:string"
     there = F.aggregate(
         pieces,
@@ -64,6 +70,38 @@ def _placed(pieces: Column, start: Column, before: Column, after: Column) -> Col
     )
 
 
+def _placed(pieces: Column, start: Column, before: Column, after: Column) -> Column:
+    """The same for all pieces of a text, in blocks: a block's length and ends place the next ones, so that no step copies
+    what stands before its block."""
+
+    def blocks(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(p) - 1) / BLOCK).cast("int"), F.lit(0))), lambda i: F.slice(p, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def placed(cut: Column) -> Column:
+        whole = F.transform(cut, lambda b: F.struct(F.array_join(F.transform(b, lambda x: x["piece"]), "").alias("piece"), F.lit(True).alias("hit")))
+        ends = F.transform(whole, lambda x: F.struct(F.char_length(x["piece"]).alias("n"), F.left(x["piece"], F.lit(NEAR)).alias("head"), F.right(x["piece"], F.lit(NEAR)).alias("tail")))
+        return F.flatten(F.element_at(F.transform(F.array(ends), lambda e: F.zip_with(cut, _around(e, start, before, after), lambda b, a: _in_block(b, a["start"], a["before"], a["after"]))), 1))
+
+    return F.element_at(F.transform(F.array(F.element_at(F.transform(F.array(pieces), blocks), 1)), placed), 1)
+
+
+def _around(ends: Column, start: Column, before: Column, after: Column) -> Column:
+    """(start, before, after) of each block from the (n, head, tail) of all: only the last block may be shorter than NEAR."""
+    starts = F.aggregate(
+        ends,
+        F.struct(start.cast("long").alias("next"), F.array().cast("array<bigint>").alias("out")),
+        lambda s, e: F.struct((s["next"] + e["n"]).alias("next"), F.concat(s["out"], F.array(s["next"])).alias("out")),
+        lambda s: s["out"],
+    )
+    last = F.size(ends) - 1
+
+    def one(at: Column, i: Column) -> Column:
+        ahead = F.when(i == last, after).when(i == last - 1, F.left(F.concat(F.get(ends, i + 1)["head"], after), F.lit(NEAR))).otherwise(F.get(ends, i + 1)["head"])
+        return F.struct(at.alias("start"), F.when(i == 0, before).otherwise(F.get(ends, i - 1)["tail"]).alias("before"), ahead.alias("after"))
+
+    return F.transform(starts, one)
+
+
 def _pieces(text: Column, pattern: str, lead: str | None = None) -> Column:
     """The text cut at the matches of a pattern: (piece, hit). What ``lead`` finds at the start of a match stands before it."""
     found, gaps = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1)
@@ -97,7 +135,7 @@ def candidates(docs: DataFrame, text: str = "text", path: str | None = None) ->
 
 
 def with_features(found: DataFrame) -> DataFrame:
-    """Adds the FEATURES as doubles: length, character classes and their changes, word-likeness, path and neighbours."""
+    """Adds the FEATURES but ``dictionary`` as doubles: length, character classes and their changes, common pairs, path and neighbours."""
     c, low = F.col("value"), F.lower("value")
     n = F.greatest(F.char_length("value"), F.lit(1)).cast("double")
     before, after = F.lower("before"), F.lower("after")
@@ -126,6 +164,23 @@ def with_features(found: DataFrame) -> DataFrame:
     )
 
 
+def dictionary(docs: DataFrame, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """word: the lower-cased words found in at least one of ``frequent`` documents, and in two. Counts run over all whole texts
+    and are combined before they are shuffled."""
+    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0)), F.lower))).alias("word"))
+    counted = words.groupBy("word").agg(F.count("*").alias("n"))
+    return counted.where((F.col("n") >= 2) & (F.col("n") * frequent >= docs.agg(F.count("*")).scalar())).select("word")
+
+
+def with_coverage(featured: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds ``dictionary``, the share of a value's characters that stand in words of the dictionary. Each distinct value is
+    looked up once; a value on very many rows meets its one share in the last join, which Spark splits or broadcasts."""
+    pieces = featured.select("value").distinct().select("value", F.explode(F.regexp_extract_all("value", F.lit(WORDS), F.lit(0))).alias("w"))
+    known = pieces.withColumn("word", F.lower("w")).join(words, "word").groupBy("value").agg(F.sum(F.char_length("w")).alias("_covered"))
+    share = F.coalesce("_covered", F.lit(0)) / F.greatest(F.char_length("value"), F.lit(1))
+    return featured.join(known, "value", "left").withColumn("dictionary", share.cast("double")).drop("_covered")
+
+
 def label(featured: DataFrame) -> DataFrame:
     """Adds ``label``: 1 for findings in a provider's format or set as a value by a word for a secret, 0 for harmless shapes, else NULL."""
     value = F.col("value")
@@ -147,13 +202,14 @@ def fit(labelled: DataFrame, limit: int = TRAIN_FINDINGS) -> PipelineModel | Non
 def scan_secrets(docs: DataFrame, text: str = "text", path: str | None = None, cut: float = 0.5) -> DataFrame:
     """doc_id, position, candidate, score, is_secret for every candidate of ``docs`` (doc_id, text and perhaps a path).
 
-    Candidates are found in whole texts, described by numbers, and judged by a random forest that is fitted on the
+    Candidates are found in whole texts, described by numbers (their share of frequent corpus words among them), and judged by a random forest that is fitted on the
     findings whose format or setting settles their label. Without findings of both labels the score is the rule's own
     answer. NULL and empty texts have no candidates. Every occurrence is a row; repeated rows give repeated findings.
     Other columns are not read. An empty table gives an empty result. Only DataFrame functions and Spark's own forest
     are used.
     """
-    found = cut_lineage(label(with_features(candidates(docs, text, path))))
+    found = cut_lineage(with_features(candidates(docs, text, path)))
+    found = cut_lineage(label(with_coverage(found, dictionary(docs, text))))
     model = fit(found)
     if model is None:
         scored = found.withColumn("score", F.coalesce("label", F.lit(0.0)))
