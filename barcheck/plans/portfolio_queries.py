@@ -146,6 +146,25 @@ def _w(df):
     return df.select("strategy_id", "t", "ticker", F.round("w", 9).alias("w"))
 
 
+def noise_sql(variants: int, phi: float = 0.97, shock: float = 0.25, rebalance: int = 5, panel: str = "pn", p: str = "n") -> str:
+    """Books of smoothed keyed noise; the sum of all shocks with weights phi^lag is one running sum of shocks times phi^-t."""
+    word = lambda at: f"('0x' || substr(md5(concat_ws('|', 'noise', v, ticker, t)), {at}, 8))::BIGINT"
+    e = f"{shock}::DOUBLE * sqrt(-2.0::DOUBLE * ln(({word(1)} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) * cos({word(9)} * {2 * math.pi / 4294967296.0!r}::DOUBLE)"
+    return (
+        f"{p}e AS (SELECT v, t, ticker, {e} AS e FROM {panel}, (SELECT unnest(range({variants})) AS v)),"
+        f" {p}sc AS (SELECT * FROM (SELECT printf('noise%04d', v) AS strategy_id, t, ticker, sum(e * pow({phi}::DOUBLE, -t)) OVER (PARTITION BY v, ticker ORDER BY t) * pow({phi}::DOUBLE, t) AS score"
+        f" FROM {p}e) WHERE t % {rebalance} = 0), " + sides_sql(f"{p}sc", p, True)
+        + f", {p}w AS (SELECT strategy_id, h AS t, ticker, w FROM (SELECT strategy_id, ticker, w, unnest(range(t, t + {rebalance})) AS h FROM {p}bk) JOIN {panel} c USING (ticker) WHERE c.t = h)"
+    )
+
+
+def _noise_returns(spark, folder):
+    """What a family of signals without information earns after costs."""
+    p = _panel(spark, folder)
+    w = cut_lineage(sg.noise_family(p, 4))
+    return pf.Accounts(p, w, [BASELINE_EXEC], _terminal(spark, folder)).returns().select("strategy_id", "t", "gross", "cost", "net")
+
+
 SIGNALS = {
     "momentum_weights": (
         lambda s, f: _w(sg.momentum(_panel(s, f), VARIANTS)),
@@ -183,7 +202,11 @@ SIGNALS = {
     "noise_family": (
         lambda s, f: sg.noise_family(_panel(s, f), 4).groupBy("strategy_id", "t").agg(
             F.count("*").alias("names"), F.round(F.sum(F.abs("w")), 6).alias("gross"), F.round(F.sum("w"), 6).alias("net")),
-        None,
+        q.with_ctes(*BASE, noise_sql(4)) + "SELECT strategy_id, t, count(*) AS names, round(sum(abs(w)), 6) AS gross, round(sum(w), 6) AS net FROM nw GROUP BY 1, 2",
+    ),
+    "noise_returns": (
+        lambda s, f: _round(_noise_returns(s, f), "gross", "cost", "net", digits=9),
+        q.with_ctes(*BASE, noise_sql(4), *engine_sql("nw", [BASELINE_EXEC])) + "SELECT strategy_id, t, round(gross, 9) AS gross, round(cost, 9) AS cost, round(net, 9) AS net FROM rt",
     ),
 }
 
