@@ -37,6 +37,12 @@ def _sessions(spark: SparkSession, folder: str) -> DailySessions:
     return DailySessions(src.staged_daily_bars(spark, folder), DS, LIQUID_DAILY)
 
 
+def _with_outage(spark: SparkSession, folder: str) -> DailySessions:
+    """The bars without those of 9 to 16 March of any year, as a feed that was down would leave them."""
+    lost = (F.month("date") == 3) & F.dayofmonth("date").between(9, 16)
+    return DailySessions(src.staged_daily_bars(spark, folder).where(~lost), DS, LIQUID_DAILY)
+
+
 def _minutes(spark: SparkSession, folder: str) -> MinuteBars:
     return MinuteBars(src.raw_minutes(spark, folder), "minutes", LIQUID_MINUTES)
 
@@ -117,6 +123,11 @@ EV_DAYS = (
     f"win AS (SELECT date, {q.open_sql('date')} AS o, CASE WHEN {q.early_sql('date')} THEN 210 ELSE 390 END AS m FROM days WHERE {q.session_sql('date')})",
 )
 
+OUTAGE = (q.bars_cte(name="all_bars"), "bars AS (SELECT * FROM all_bars WHERE NOT (month(date) = 3 AND day(date) BETWEEN 9 AND 16))", DAYS, q.SESS)
+MARKETWIDE = (
+    "r AS (SELECT min(date) AS a, max(date) AS b, count(*) AS n FROM (SELECT date, pos - row_number() OVER (ORDER BY pos) AS g FROM sess WHERE date NOT IN (SELECT date FROM bars)) GROUP BY g)"
+)
+
 CALENDAR = {
     "bars_daily": (bars_daily, q.with_ctes(BARS) + "SELECT ticker, date::VARCHAR AS date, open, high, low, close, volume FROM bars"),
     "bars_minute": (bars_minute, q.with_ctes(q.MINUTES) + f"SELECT ticker, strftime(ts, {FMT}) AS ts, open, high, low, close, volume FROM minutes"),
@@ -177,6 +188,10 @@ SESSIONS = {
         " WHERE date NOT IN (SELECT date FROM bars)) GROUP BY g) "
         + _gap_sql(DS, "'sessions'", "'MISSING_SESSION_MARKETWIDE'", "'MATERIAL'", "r", start="a", end="b", n="n"),
     ),
+    "gap_marketwide_outage": (
+        lambda s, f: _show(_with_outage(s, f).marketwide_missing()),
+        q.with_ctes(*OUTAGE, MARKETWIDE) + _gap_sql(DS, "'sessions'", "'MISSING_SESSION_MARKETWIDE'", "'MATERIAL'", "r", start="a", end="b", n="n"),
+    ),
     "gap_nontrading": (
         lambda s, f: _show(_sessions(s, f).non_trading_days()),
         q.with_ctes(BARS) + _gap_sql(DS, "'sessions'", "'DATA_ON_NON_TRADING_DAY'", "'MATERIAL'",
@@ -367,6 +382,18 @@ COVER = (
     f"cs AS (SELECT days.date, count(nyd) AS k FROM days LEFT JOIN ok ON nyd = days.date WHERE {q.session_sql('days.date')} GROUP BY days.date)",
 )
 
+#: One day of New York without articles.
+DEAD = ("2024-01-02 05:00:00", "2024-01-03 05:00:00")
+DEAD_COVER = (COVER[0], COVER[1][:-1] + f" AND NOT (ts >= TIMESTAMP '{DEAD[0]}' AND ts < TIMESTAMP '{DEAD[1]}'))", *COVER[2:])
+
+
+def _with_dead_day(spark: SparkSession, folder: str) -> News:
+    """The news without the articles of DEAD, as a feed that was down would leave them."""
+    at = F.translate(F.substring("published_utc", 1, 19), "T", " ")
+    lost = F.coalesce((at >= DEAD[0]) & (at < DEAD[1]), F.lit(False))
+    return News(src.news(spark, folder).where(~lost), "news", RETRIEVED)
+
+
 NEWS = {
     "news_quality": (
         lambda s, f: _show(_news(s, f).timestamp_gaps()),
@@ -409,6 +436,11 @@ NEWS = {
         q.with_ctes(*COVER) + _gap_sql("news", "'news_coverage'", "'NEWS_COVERAGE_GAP'", "'MATERIAL'",
                                        "cs WHERE (SELECT median(k) FROM cs) >= 5 AND k < 0.1 * (SELECT median(k) FROM cs)", start="date", end="date"),
     ),
+    "news_coverage_dead_day": (
+        lambda s, f: _show(_with_dead_day(s, f).coverage_gaps()),
+        q.with_ctes(*DEAD_COVER) + _gap_sql("news", "'news_coverage'", "'NEWS_COVERAGE_GAP'", "'MATERIAL'",
+                                            "cs WHERE (SELECT median(k) FROM cs) >= 5 AND k < 0.1 * (SELECT median(k) FROM cs)", start="date", end="date"),
+    ),
     "news_per_session": (
         lambda s, f: _news(s, f).per_session().withColumn("date", F.col("date").cast("string")),
         q.with_ctes(*COVER) + "SELECT date::VARCHAR AS date, k FROM cs",
