@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import SIGNAL_CHAIN
 from ..functions.shape import previous_row
+from ..session import cut_lineage
 from .gaps import union_all
 
 
@@ -117,29 +118,43 @@ def asof_latest(filings: DataFrame, decision_ts: Column | str, tie: str | None =
 
 
 def asof_join(decisions: DataFrame, filings: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], tie: str | None = None,
-              bucket: str = "month") -> DataFrame:
+              bucket: str = "month", hot: int = 100_000) -> DataFrame:
     """For each decision the latest right row with ``right_ts`` <= ``left_ts`` and equal keys.
 
-    Both sides are merged in time buckets, so one hot key is spread over its buckets; the last right row of earlier
-    buckets arrives through a per-bucket summary. All columns of the decisions are kept; without a match values are NULL.
+    Both sides meet by their keys in one exchange. Only keys of about ``hot`` rows or more are cut into time buckets, whose
+    carry is then a small relation; a summary per bucket of every key would be as large as the rows themselves. All columns
+    of the decisions are kept; without a match values are NULL.
     """
-    order = [right_ts, *([tie] if tie else []), *values]
-    packed = F.struct(*[F.col(c) for c in order])
-    left_cols = decisions.columns
-    l = decisions.select(*keys, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*left_cols).alias("_l"))
-    r = filings.where(F.col(right_ts).isNotNull()).select(*keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), packed.alias("_r"))
-    both = l.unionByName(r, allowMissingColumns=True)
-    # one struct of keys and bucket: NULLs in it are equal, so decisions without a key or an instant stay
-    both = both.withColumn("_k", F.struct(*keys, F.date_trunc(bucket, "_ts").alias("_b"))).repartition("_k")
-    tails = both.groupBy("_k").agg(F.max("_r").alias("_tail"))
-    past = Window.partitionBy(*[f"_k.{k}" for k in keys]).orderBy("_k._b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select("_k", F.max("_tail").over(past).alias("_carry"))
-    w = Window.partitionBy("_k").orderBy("_ts", "_side")
-    seen = F.max("_r").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    x = both.withColumn("_seen", seen).where("_side = 1").join(carry, "_k")
-    # a NULL key, like a NULL instant, matches nothing
-    known = F.col("_ts").isNotNull() & F.lit(True)
+    # hot keys are counted before the merge, so the decisions are read more than once
+    left = cut_lineage(decisions)
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    ks = [f"_k{i}" for i in range(len(keys))]
+    # a NULL key, like a NULL instant, matches nothing: such decisions stay out of the exchange
+    known = F.col(left_ts).isNotNull()
     for k in keys:
-        known = known & F.col(f"_k.{k}").isNotNull()
-    hit = F.when(known, F.coalesce(F.col("_seen"), F.col("_carry")))
-    return x.select(F.col("_l.*"), hit[right_ts].alias(right_ts), *[hit[v].alias(v) for v in values])
+        known = known & F.col(k).isNotNull()
+    order = [right_ts, *([tie] if tie else []), *values]
+    rs = [f"_r{i}" for i in range(len(order))]
+    l = left.where(known).select(*named, *[F.col(c).alias(f"_l{i}") for i, c in enumerate(left.columns)])
+    r = filings.where(F.col(right_ts).isNotNull()).select(*named, *[F.col(c).alias(n) for n, c in zip(rs, order)]).dropna(subset=ks)
+    split = cut_lineage(_hot_keys(l.select(*ks).unionByName(r.select(*ks)), ks, hot)).withColumn("_hot", F.lit(True))
+    at_left = F.col(f"_l{left.columns.index(left_ts)}")
+    is_left, at = at_left.isNotNull(), F.coalesce(at_left, "_r0")
+    both = l.unionByName(r, allowMissingColumns=True).join(split, ks, "left").withColumn("_b", F.when(F.col("_hot"), F.date_trunc(bucket, at))).drop("_hot")
+    row = F.when(~is_left, F.struct(*rs))
+    tails = both.where(F.col("_b").isNotNull()).groupBy(*ks, "_b").agg(F.max(row).alias("_tail"))
+    past = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select(*ks, "_b", F.max("_tail").over(past).alias("_carry"))
+    w = Window.partitionBy(*ks, "_b").orderBy(at, is_left, *rs[1:]).rowsBetween(Window.unboundedPreceding, 0)
+    x = both.repartition(*ks, "_b").withColumn("_seen", F.last(row, ignorenulls=True).over(w)).where(is_left).join(carry, [*ks, "_b"], "left")
+    hit = F.coalesce("_seen", "_carry")
+    found = {c: hit[n] for n, c in zip(rs, order)}
+    out = x.select(*[F.col(f"_l{i}").alias(c) for i, c in enumerate(left.columns)], *[found[c].alias(c) for c in (right_ts, *values)])
+    return out.union(left.where(~known).select("*", *[F.lit(None).cast(filings.schema[c].dataType).alias(c) for c in (right_ts, *values)]))
+
+
+def _hot_keys(rows: DataFrame, keys: list[str], hot: int) -> DataFrame:
+    """Keys of about ``hot`` rows or more, by some 2,000 sampled rows each. They settle where rows meet, not what is found."""
+    every = max(1, hot // 2_000)
+    seen = rows.sample(1 / every, seed=7) if every > 1 else rows
+    return seen.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot / every).select(*keys)
