@@ -51,15 +51,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read back.
+def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written once as a table in the shared folder, a part for each value of ``by``, and read back.
 
     A relation that several branches of a plan use is then computed once, survives lost executors, keeps column pruning
     and has exact sizes for join planning. The file system removes the folder when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/barcheck-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     _delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -61,3 +61,17 @@ def test_copies_whose_score_rounds_up_keep_the_smallest_ids(make, monkeypatch):
     random.Random(11).shuffle(rows)
     got = op.search(make(rows, 4), make([(7, copy)]), 10).collect()
     assert sorted((r["rank"], r["doc_id"]) for r in got) == [(i + 1, i) for i in range(10)]
+
+
+def test_shards_of_a_task_hand_on_their_bounds(make, monkeypatch):
+    monkeypatch.setattr(op, "SHARD_DOCS", 50)
+    monkeypatch.setattr(op, "FIRST", 1_000)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(300)], k=rng.randint(1, 60)))) for i in range(1_000)]
+    sent, top = [], op._top
+    monkeypatch.setattr(op, "_top", lambda found, k: sent.append(found.count()) or top(found, k))
+    got = {tuple(r) for r in op.search(make(rows, 1), make(rows[:20]), 10).collect()}
+    assert got == brute(rows, rows[:20], 10)
+    #: 20 shards with 10 rows for each of 20 queries would be 4,000.
+    assert sum(sent) < 3_000, sent
